@@ -284,6 +284,14 @@ def with_target(df: DataFrame, horizon: int = 3, threshold: float = -0.015, k: S
     return out.withColumn("label", F.when(F.col("fwd_return") < threshold, 1).otherwise(0))
 
 
+def lookback_sequences(df: DataFrame, values: Sequence, n: int = 20, k: Series = STOCKS) -> DataFrame:
+    """Adds ``sequence``: the feature vectors of the ``n`` rows before each row, oldest first. Rows with a shorter history
+    are left out. ``values`` are columns or names."""
+    vector = F.array(*[(F.col(v) if isinstance(v, str) else v).cast("double") for v in values])
+    out = df.withColumn("sequence", k.lookback(vector, n))
+    return out.where(F.size("sequence") == n)
+
+
 def build_feature_matrix(bars: DataFrame, index_bars: DataFrame | None = None,
                          features: FeatureSettings = FeatureSettings(), target: TargetSettings = TargetSettings(),
                          keep_tail: bool = False, as_float: bool = False) -> DataFrame:
