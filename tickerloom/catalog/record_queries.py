@@ -13,6 +13,7 @@ from tickerloom.config import FoldSettings, ModelSettings
 from tickerloom.operators import cleaning as cl, folds as fo, metrics as me, models as mo, quality as qa, tabular as tb
 from tickerloom.operators import reports as rp, tracking as tr
 from tickerloom.plans import plugins
+from tickerloom.session import cut_lineage
 from tickerloom.sources import tables as io
 from tickerloom.streaming import metrics as sm
 
@@ -348,11 +349,12 @@ def _stratified(spark, d):
 
 
 def _prepared(spark, d):
-    t = tb.impute(tab(spark, d), ["price"], ["priority"])
-    t = tb.label_encode(t, ["priority", "segment", "status"])
-    split = tb.stratified_split(t, "o_orderkey", "status")
+    # Every step reads its input several times, so each starts from stored rows.
+    t = cut_lineage(tb.impute(cut_lineage(tab(spark, d)), ["price"], ["priority"]))
+    t = cut_lineage(tb.label_encode(t, ["priority", "segment", "status"]))
+    split = cut_lineage(tb.stratified_split(t, "o_orderkey", "status"))
     names = ["balance", "priority", "segment"]
-    return tb.standard_scale(split, names, fit_on=split.where("is_train")).persist(), names
+    return cut_lineage(tb.standard_scale(split, names, fit_on=split.where("is_train"))), names
 
 
 @query("wf21_generic_classifier")
@@ -381,7 +383,7 @@ def _stored_matrix(spark, d):
 
 
 def _regime(spark, d):
-    return regime_table(spark, d).persist()
+    return cut_lineage(regime_table(spark, d))
 
 
 @query("wf12_run_walk_forward")
@@ -398,11 +400,9 @@ def _ablation(spark, d):
 def _one_fold(spark, d):
     m = _stored_matrix(spark, d)
     names = cl.feature_columns(m)
-    table = mo.training_table(m, _regime(spark, d), names)
-    fold = fo.data_folds(m, FOLDS)[0]
-    train, test = mo._fold_parts(table, fold, FOLDS)
-    train = fo.train_valid_split(train.withColumn("fold", F.lit(0))).drop("fold").persist()
-    return names, train, test
+    table = cut_lineage(mo.training_table(m, _regime(spark, d), names))
+    train, test = mo.fold_parts(table, fo.data_folds(m, FOLDS)[0], FOLDS)
+    return names, cut_lineage(fo.train_valid_split(train.withColumn("fold", F.lit(0))).drop("fold")), test
 
 
 @query("wf06_fit_base")

@@ -488,7 +488,7 @@ def _psi(spark, d):
     return st.population_stability_index(rows.where(year < 1998), rows.where(year >= 1998), "l_extendedprice")
 
 
-PSI_NAMES = ["rsi_14", "macd_line", "stoch_k", "vol_ma_ratio", "adx_14", "zscore_20", "dist_52w_high", "realized_vol_20"]
+PSI_NAMES = ["rsi_14", "macd_line", "vwap_ratio", "vol_ma_ratio", "adx_14", "zscore_20", "dist_52w_high", "realized_vol_20"]
 
 
 @query("st06_feature_psi", f"{FULL_MATRIX_SQL}, {_psi_sql(PSI_NAMES, 'matrix', 'year(date) < 1999', 'year(date) >= 1999')} SELECT feature, {r('psi')}, psi >= 0.25 AS drifted FROM psi")

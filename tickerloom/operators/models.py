@@ -18,6 +18,7 @@ from tickerloom.functions.scan import sorted_scan
 from tickerloom.operators import folds as fold_ops
 from tickerloom.operators.alignment import regime_confidence, regime_for_dates
 from tickerloom.operators.cleaning import date_range_split, feature_columns, inf_to_null
+from tickerloom.session import cut_lineage
 
 FEATURES, LABEL, PROBABILITY = "_features", "label", "y_proba"
 
@@ -127,13 +128,14 @@ def score_transfer(base_model, transfer_model, df: DataFrame, names: Sequence[st
 
 
 def training_table(features: DataFrame, regime: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Feature rows with the regime of their date and assembled vectors, prepared once for all folds."""
+    """Feature rows with the regime of their date and assembled vectors, prepared once for all folds. Infinite values
+    become missing (NaN inside the vector); the rows stay."""
     by_date = regime_for_dates(regime, features.select("date"))
     joined = features.join(F.broadcast(by_date), "date")
-    return assemble(inf_to_null(joined, names).dropna(subset=list(names)), names)
+    return assemble(inf_to_null(joined, names), names)
 
 
-def _fold_parts(table: DataFrame, fold: fold_ops.Fold, settings: FoldSettings) -> tuple[DataFrame, DataFrame]:
+def fold_parts(table: DataFrame, fold: fold_ops.Fold, settings: FoldSettings) -> tuple[DataFrame, DataFrame]:
     end = fold.train_end if not settings.purge_days else _minus_days(fold.train_end, settings.purge_days)
     return date_range_split(table, fold.train_start, end), date_range_split(table, fold.test_start, fold.test_end)
 
@@ -164,16 +166,16 @@ def run_walk_forward(features: DataFrame, regime: DataFrame, fold_settings: Fold
     is one series keyed by date with ``regime`` and ``state_prob``.
     """
     names = feature_columns(features)
-    table = training_table(features, regime, names).persist()
+    table = cut_lineage(training_table(features, regime, names))
     folds = fold_ops.data_folds(table, fold_settings) if folds is None else folds
     sizes = {r["fold"]: r["usable"] for r in fold_ops.fold_sizes(_assign(table, folds), fold_settings).collect()}
     parts: list[DataFrame] = []
     for fold in folds:
         if not sizes.get(fold.fold):
             continue
-        train, test = _fold_parts(table, fold, fold_settings)
-        train = fold_ops.train_valid_split(train.withColumn("fold", F.lit(fold.fold)), fraction=fold_settings.valid_fraction,
-                                           min_rows=fold_settings.min_valid_rows).drop("fold").persist()
+        train, test = fold_parts(table, fold, fold_settings)
+        train = cut_lineage(fold_ops.train_valid_split(train.withColumn("fold", F.lit(fold.fold)), fraction=fold_settings.valid_fraction,
+                                           min_rows=fold_settings.min_valid_rows).drop("fold"))
         base = fit_base(train, settings)
         second = fit_second(train, settings)
         current = _regime_of_fold(table, regime, fold, regime_from_test)
@@ -187,7 +189,6 @@ def run_walk_forward(features: DataFrame, regime: DataFrame, fold_settings: Fold
             "ensemble": ensemble_score(F.col("base"), F.col("transfer"), F.lit(float(confidence)), settings)})
         models = ["base", "transfer", "ensemble", "static", "second", "random", "hold"]
         parts.append(long_predictions(scored, models, fold.fold, settings.threshold))
-        train.unpersist()
     if not parts:
         raise ValueError("no fold has enough rows")
     out = parts[0]
@@ -214,13 +215,13 @@ def run_ablation(features: DataFrame, regime: DataFrame, fold_settings: FoldSett
                  folds: Sequence[fold_ops.Fold] | None = None) -> DataFrame:
     """Predictions of each variant on every fold, in the walk-forward layout with the variant as model."""
     names = feature_columns(features)
-    table = training_table(features, regime, names).persist()
+    table = cut_lineage(training_table(features, regime, names))
     folds = fold_ops.data_folds(table, fold_settings) if folds is None else folds
     out = None
     for fold in folds:
-        train, test = _fold_parts(table, fold, fold_settings)
-        train = fold_ops.train_valid_split(train.withColumn("fold", F.lit(fold.fold)), fraction=fold_settings.valid_fraction,
-                                           min_rows=fold_settings.min_valid_rows).drop("fold").persist()
+        train, test = fold_parts(table, fold, fold_settings)
+        train = cut_lineage(fold_ops.train_valid_split(train.withColumn("fold", F.lit(fold.fold)), fraction=fold_settings.valid_fraction,
+                                           min_rows=fold_settings.min_valid_rows).drop("fold"))
         if train.limit(fold_settings.min_train_rows).count() < fold_settings.min_train_rows:
             continue
         base = fit_base(train, settings)
@@ -239,7 +240,6 @@ def run_ablation(features: DataFrame, regime: DataFrame, fold_settings: FoldSett
             columns[v.name] = ensemble_score(F.col("_base"), F.col(f"_{v.name}"), F.lit(confidence), settings)
         rows = long_predictions(scored.withColumns(columns), list(columns), fold.fold, settings.threshold)
         out = rows if out is None else out.unionByName(rows)
-        train.unpersist()
     return out
 
 

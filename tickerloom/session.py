@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +17,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # Wide feature projections compile to methods beyond the 8000 bytecodes the JVM optimises; fall back before that.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A filter over forty columns doubles its inferred constraints with every column a later step renames.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -52,3 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tickerloom-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     context.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a reliable checkpoint: several readers share one computation, the plan starts anew, and a lost executor
+    re-reads files. For inputs that a step reads more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
