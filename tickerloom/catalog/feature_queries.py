@@ -100,8 +100,8 @@ SQL_FEATURES = {
     "ema_cross_20_50": "(e20 - e50) / close", "ema_cross_50_200": "(e50 - e200) / close",
     "adx_14": roll("avg", "dx", 14),
     **{f"zscore_{n}": f"(close - {ma(n)}) / nullif({sd(n)}, 0)" for n in (20, 60)},
-    "dist_52w_high": f"close / {roll('max', 'close', 252, 60)} - 1",
-    "dist_52w_low": f"close / {roll('min', 'close', 252, 60)} - 1",
+    "dist_52w_high": f"(close - {roll('max', 'close', 252, 60)}) / {roll('max', 'close', 252, 60)}",
+    "dist_52w_low": f"(close - {roll('min', 'close', 252, 60)}) / {roll('min', 'close', 252, 60)}",
     **{f"ret_lag_{x}": "returns" for x in (1, 2, 3, 5, 10, 20)},
     "cb_proximity": "(close - ref_price * 0.93) / (ref_price * 1.07 - ref_price * 0.93)",
     "limit_hit_5d": roll("sum", "hit", 5, 1), "limit_hit_10d": roll("sum", "hit", 10, 1),
@@ -305,11 +305,11 @@ def _mode(spark, d):
 
 
 @query("wn12_rows_since_event", f"WITH {src.SQL_BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn "
-       "FROM bars) SELECT ticker, date, rn - max(CASE WHEN close > 108 THEN rn END) OVER (PARTITION BY ticker ORDER BY date) "
+       "FROM bars) SELECT ticker, date, rn - max(CASE WHEN close > 104 THEN rn END) OVER (PARTITION BY ticker ORDER BY date) "
        "AS rows_since FROM n")
 def _since(spark, d):
     df = apply_stages(src.bars(spark, d), [{"_rn": K.row_number().cast("bigint")},
-                                           {"_at": K.ffill(F.when(F.col("close") > 108, F.col("_rn")))}])
+                                           {"_at": K.ffill(F.when(F.col("close") > 104, F.col("_rn")))}])
     return df.select("ticker", "date", (F.col("_rn") - F.col("_at")).alias("rows_since"))
 
 

@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.config import FeatureSettings, TargetSettings
@@ -31,13 +31,22 @@ class FeatureSet:
     extra_lag: dict[str, int] = field(default_factory=dict)
 
 
-def build(df: DataFrame, sets: Sequence[FeatureSet], lag: int = 1, series: Series = STOCKS) -> DataFrame:
+def build(df: DataFrame, sets: Sequence[FeatureSet], lag: int = 1, series: Series = STOCKS, fill: bool = False
+          ) -> DataFrame:
+    """Adds every output shifted by ``lag``. With ``fill`` a missing value takes the last known one: the newest non-null
+    value at least ``lag`` rows back is shift and forward fill in a single window function."""
     merged = apply_stages(df, merge_stages(*[s.stages for s in sets]))
-    outputs = []
+    staged, outputs = {}, []
     for s in sets:
         for name, column in s.outputs.items():
-            outputs.append(series.shift(column, lag + s.extra_lag.get(name, 0)).alias(name))
-    return merged.select(*df.columns, *outputs)
+            rows_back = lag + s.extra_lag.get(name, 0)
+            if fill:
+                staged[f"_out_{name}"] = column
+                frame = series.window.rowsBetween(Window.unboundedPreceding, -rows_back)
+                outputs.append(F.last(f"_out_{name}", ignorenulls=True).over(frame).alias(name))
+            else:
+                outputs.append(series.shift(column, rows_back).alias(name))
+    return apply_stages(merged, [staged]).select(*df.columns, *outputs)
 
 
 # momentum -------------------------------------------------------------------------------------------------------
@@ -305,13 +314,12 @@ def build_feature_matrix(bars: DataFrame, index_bars: DataFrame | None = None,
     if index_bars is not None and mode == "full":
         panel = align_index_returns(panel, index_bars)
         sets.append(index_correlation(min_periods=features.corr_min_periods, k=k))
-    matrix = with_target(build(panel, sets, features.min_lag, k).drop("index_returns"),
-                         target.horizon, target.drop_threshold, k)
-    names = feature_columns(matrix)
-    others = [c for c in matrix.columns if c not in names]
+    # The target comes first and travels along, so the wide feature projection stays the last window of the plan.
     # Filled before the tail is cut: a fill only looks back, so the order of the two does not matter.
-    filled = matrix.select(*others, *[k.ffill(n).alias(n) for n in names])
-    kept = filled if keep_tail else filled.where(F.col("fwd_return").isNotNull())
+    targeted = with_target(panel, target.horizon, target.drop_threshold, k)
+    matrix = build(targeted, sets, features.min_lag, k, fill=True).drop("index_returns")
+    names = feature_columns(matrix)
+    kept = matrix if keep_tail else matrix.where(F.col("fwd_return").isNotNull())
     complete = kept.dropna(subset=names)
     if as_float:
         complete = complete.withColumns({n: F.col(n).cast("float") for n in names})
