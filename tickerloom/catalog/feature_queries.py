@@ -85,7 +85,7 @@ e(ticker, date, rn, e12, e26, e20, e50, e200, e9) AS (
 ma, sd = (lambda n: roll("avg", "close", n)), (lambda n: roll("stddev_samp", "close", n))
 # Feature expressions before the lag, in SQL.
 SQL_FEATURES = {
-    "rsi_14": f"100 - 100 / (1 + {roll('avg', 'gain', 14)} / nullif({roll('avg', 'loss', 14)}, 0))",
+    "rsi_14": f"100 - 100 / (1 + {roll('sum', 'gain', 14)} / nullif({roll('sum', 'loss', 14)}, 0))",
     "macd_line": "e12 - e26", "macd_signal": "e9", "macd_hist": "e12 - e26 - e9",
     **{f"roc_{p}": f"close / lag(close, {p}) OVER k - 1" for p in (5, 10, 20)},
     "stoch_k": f"100 * (close - {roll('min', 'low', 14)}) / nullif({roll('max', 'high', 14)} - {roll('min', 'low', 14)}, 0)",
