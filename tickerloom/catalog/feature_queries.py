@@ -143,33 +143,33 @@ def _feature(name: str, sets, names):
         df = panel(spark, d)
         if any(n.startswith("index_corr") for n in names):
             df = align_index_returns(df, index_panel(spark, d))
-        return fe.build(df, sets).select("ticker", "date", *names)
-
-
-_feature("fe01_rsi", [fe.rsi()], ["rsi_14"])
-_feature("fe02_macd", [fe.macd()], ["macd_line", "macd_signal", "macd_hist"])
-_feature("fe03_rate_of_change", [fe.rate_of_change()], ["roc_5", "roc_10", "roc_20"])
-_feature("fe04_stochastic_k", [fe.stochastic_k()], ["stoch_k"])
-_feature("fe05_atr", [fe.atr()], ["atr_14"])
-_feature("fe06_bollinger_pct_b", [fe.bollinger_pct_b()], ["boll_pctb"])
-_feature("fe07_garman_klass_vol", [fe.garman_klass_vol(negative_as_zero=False)], ["gk_vol"])
-_feature("fe08_realized_vol", [fe.realized_vol()], ["realized_vol_20"])
-_feature("fe09_obv_z", [fe.obv_z()], ["obv_z"])
-_feature("fe10_volume_ma_ratio", [fe.volume_ma_ratio()], ["vol_ma_ratio"])
-_feature("fe11_vwap_ratio", [fe.vwap_ratio()], ["vwap_ratio"])
-_feature("fe12_ema", [fe.ema()], ["ema_20", "ema_50", "ema_200"])
-_feature("fe13_ema_cross", [fe.ema_cross()], ["ema_cross_20_50", "ema_cross_50_200"])
-_feature("fe14_adx", [fe.adx()], ["adx_14"])
-_feature("fe15_zscore_vs_ma", [fe.zscore_vs_ma()], ["zscore_20", "zscore_60"])
-_feature("fe16_distance_52w", [fe.distance_from_extremes()], ["dist_52w_high", "dist_52w_low"])
-_feature("fe17_lagged_returns", [fe.lagged_returns()], [f"ret_lag_{x}" for x in (1, 2, 3, 5, 10, 20)])
-_feature("fe18_limit_proximity", [fe.limit_proximity()], ["cb_proximity"])
-_feature("fe19_limit_hit_count", [fe.limit_hit_count()], ["limit_hit_5d", "limit_hit_10d"])
-_feature("fe20_limit_direction_ratio", [fe.limit_direction_ratio()], ["limit_dir_ratio_10d"])
-_feature("fe21_intraday_range_ratio", [fe.intraday_range_ratio()], ["intraday_range_ratio"])
-_feature("fe22_close_in_range", [fe.close_in_range()], ["close_in_range"])
-_feature("fe23_flow_proxy", fe.flow_proxies("full"), ["ff_proxy_vol_20", "ff_proxy_vol_60"])
-_feature("fe24_index_correlation", [fe.index_correlation()], ["index_corr_20", "index_corr_60"])
+        return fe.build(df, sets()).select("ticker", "date", *names)
+
+
+_feature("fe01_rsi", lambda: [fe.rsi()], ["rsi_14"])
+_feature("fe02_macd", lambda: [fe.macd()], ["macd_line", "macd_signal", "macd_hist"])
+_feature("fe03_rate_of_change", lambda: [fe.rate_of_change()], ["roc_5", "roc_10", "roc_20"])
+_feature("fe04_stochastic_k", lambda: [fe.stochastic_k()], ["stoch_k"])
+_feature("fe05_atr", lambda: [fe.atr()], ["atr_14"])
+_feature("fe06_bollinger_pct_b", lambda: [fe.bollinger_pct_b()], ["boll_pctb"])
+_feature("fe07_garman_klass_vol", lambda: [fe.garman_klass_vol(negative_as_zero=False)], ["gk_vol"])
+_feature("fe08_realized_vol", lambda: [fe.realized_vol()], ["realized_vol_20"])
+_feature("fe09_obv_z", lambda: [fe.obv_z()], ["obv_z"])
+_feature("fe10_volume_ma_ratio", lambda: [fe.volume_ma_ratio()], ["vol_ma_ratio"])
+_feature("fe11_vwap_ratio", lambda: [fe.vwap_ratio()], ["vwap_ratio"])
+_feature("fe12_ema", lambda: [fe.ema()], ["ema_20", "ema_50", "ema_200"])
+_feature("fe13_ema_cross", lambda: [fe.ema_cross()], ["ema_cross_20_50", "ema_cross_50_200"])
+_feature("fe14_adx", lambda: [fe.adx()], ["adx_14"])
+_feature("fe15_zscore_vs_ma", lambda: [fe.zscore_vs_ma()], ["zscore_20", "zscore_60"])
+_feature("fe16_distance_52w", lambda: [fe.distance_from_extremes()], ["dist_52w_high", "dist_52w_low"])
+_feature("fe17_lagged_returns", lambda: [fe.lagged_returns()], [f"ret_lag_{x}" for x in (1, 2, 3, 5, 10, 20)])
+_feature("fe18_limit_proximity", lambda: [fe.limit_proximity()], ["cb_proximity"])
+_feature("fe19_limit_hit_count", lambda: [fe.limit_hit_count()], ["limit_hit_5d", "limit_hit_10d"])
+_feature("fe20_limit_direction_ratio", lambda: [fe.limit_direction_ratio()], ["limit_dir_ratio_10d"])
+_feature("fe21_intraday_range_ratio", lambda: [fe.intraday_range_ratio()], ["intraday_range_ratio"])
+_feature("fe22_close_in_range", lambda: [fe.close_in_range()], ["close_in_range"])
+_feature("fe23_flow_proxy", lambda: fe.flow_proxies("full"), ["ff_proxy_vol_20", "ff_proxy_vol_60"])
+_feature("fe24_index_correlation", lambda: [fe.index_correlation()], ["index_corr_20", "index_corr_60"])
 
 TECHNICAL = [n for n in SQL_FEATURES if not n.startswith(("cb_", "limit_", "intraday", "close_in", "ff_", "index_"))]
 MICRO = ["cb_proximity", "limit_hit_5d", "limit_hit_10d", "limit_dir_ratio_10d", "intraday_range_ratio", "close_in_range"]
@@ -253,20 +253,20 @@ def _ewm(spark, d):
     return with_ewm(src.bars(spark, d), "close", [12, 200], prefix="ewm").select("ticker", "date", "ewm_12", "ewm_200")
 
 
-_SHIFT = {"shift_2": (K.shift("close", 2), "lag(close, 2) OVER k"), "shift_ahead_1": (K.shift("close", -1), "lead(close) OVER k")}
+_SHIFT = {"shift_2": (lambda: K.shift("close", 2), "lag(close, 2) OVER k"), "shift_ahead_1": (lambda: K.shift("close", -1), "lead(close) OVER k")}
 for _name, _columns in {
     "wn03_shift": _SHIFT,
-    "wn04_diff": {"diff_3": (K.diff("close", 3), "close - lag(close, 3) OVER k")},
-    "wn05_pct_change": {"pct_5": (K.pct_change("close", 5), "close / lag(close, 5) OVER k - 1")},
-    "wn06_cumsum": {"cum_volume": (K.cumsum("volume"), "sum(volume) OVER k")},
-    "wn07_cumprod_cummax": {"equity": (K.cumprod(F.lit(1) + (F.col("close") - 105) / 10000),
+    "wn04_diff": {"diff_3": (lambda: K.diff("close", 3), "close - lag(close, 3) OVER k")},
+    "wn05_pct_change": {"pct_5": (lambda: K.pct_change("close", 5), "close / lag(close, 5) OVER k - 1")},
+    "wn06_cumsum": {"cum_volume": (lambda: K.cumsum("volume"), "sum(volume) OVER k")},
+    "wn07_cumprod_cummax": {"equity": (lambda: K.cumprod(F.lit(1) + (F.col("close") - 105) / 10000),
                                        "product(1 + (close - 105) / 10000) OVER k"),
-                            "top": (K.cummax("close"), "max(close) OVER k")},
+                            "top": (lambda: K.cummax("close"), "max(close) OVER k")},
 }.items():
     @query(_name, f"WITH {src.SQL_BARS} SELECT ticker, date, "
            + ", ".join(r(f"{s} AS {n}") for n, (_, s) in _columns.items()) + f" FROM bars {WINDOWS}")
     def _primitive(spark, d, columns=_columns):
-        return src.bars(spark, d).select("ticker", "date", *[c.alias(n) for n, (c, _) in columns.items()])
+        return src.bars(spark, d).select("ticker", "date", *[c().alias(n) for n, (c, _) in columns.items()])
 
 
 @query("wn08_ffill", f"WITH {src.SQL_BARS}, g AS (SELECT ticker, date, CASE WHEN day(date) % 3 = 0 THEN close END AS c FROM bars) "
