@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, sharding
+from tickerloom.llm import mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,9 @@ def op1_mixing(spark, folder):
 def op2_sharding(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op10_simhash_near_duplicates")
+def op10_simhash_near_duplicates(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, words=3, radius=2).select("doc_id", "fingerprint", "component_id")
