@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickerloom.llm import mixing, sharding, simhash
+from tickerloom.llm import decontamination, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +58,9 @@ def op2_sharding(spark, folder):
 def op10_simhash_near_duplicates(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, words=3, radius=2).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op5_benchmark_decontamination")
+def op5_benchmark_decontamination(spark, folder):
+    found = decontamination.matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "matched_tokens", "item_tokens", "changed_slots")
