@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, mixing, sharding, simhash
+from tickerloom.llm import decontamination, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op10_simhash_near_duplicates(spark, folder):
 def op5_benchmark_decontamination(spark, folder):
     found = decontamination.matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "matched_tokens", "item_tokens", "changed_slots")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
