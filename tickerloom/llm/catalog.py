@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, mixing, sharding, simhash, toxicity
+from tickerloom.llm import chat, decontamination, mixing, sharding, simhash, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,66 @@ def op5_benchmark_decontamination(spark, folder):
 def op8_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+#: (host, path, verdict) of the registered query.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op3_url_rules", r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)', 2, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(.*?)://[^/?#]*([^?#]*)', 2, 's'), '') AS path FROM pages),
+r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path, (SELECT arg_max(rh || rp, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+       coalesce((SELECT arg_max(v, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)), 'allow') AS verdict
+FROM p""")
+def op3_url_rules(spark, folder):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, folder, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: What both turns of conversation -7 say: control strings of the template.
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+@query("op4_chat_formatting", r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos,
+             len(regexp_extract_all(text, '[^ 	-
+]+')) + 4 AS tokens FROM c),
+l AS (SELECT *, pos = 1 AND role = 'system' AS lead,
+             length(role) + length(text) + length('### : </turn>') + 1
+             + length(role) - length(replace(role, '\', '')) + length(text) - length(replace(text, '\', ''))
+             + (length(role) - length(replace(role, ':', '')))
+             + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(role) - length(replace(role, '</turn>', ''))) // 7
+             + CAST(coalesce(list_sum(list_transform(regexp_extract_all(role || chr(10) || text, '#{3,}'), lambda x: length(x) - 2)), 0) AS BIGINT) AS long FROM n),
+b AS (SELECT *, greatest(384 - coalesce(sum(CASE WHEN lead THEN tokens END) OVER (PARTITION BY conv_id), 0), 129) AS stretch,
+             coalesce(sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+w AS (SELECT *, CAST(before AS BIGINT) // CAST(stretch AS BIGINT) AS w FROM b),
+s AS (SELECT conv_id, w, min(before) AS start FROM w WHERE NOT lead GROUP BY ALL),
+h AS (SELECT w.conv_id, sum(CASE WHEN s.start - w.before <= 128 THEN w.long ELSE 0 END) AS more FROM w JOIN s ON s.conv_id = w.conv_id AND s.w = w.w + 1 AND NOT w.lead GROUP BY 1),
+k AS (SELECT conv_id, count(DISTINCT CASE WHEN NOT lead OR w = 0 THEN w END) AS windows, max(CASE WHEN lead THEN long ELSE 0 END) AS lead_long FROM w GROUP BY 1)
+SELECT w.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '')) AS loss_sha256,
+       CAST(sum(long) + any_value(coalesce(h.more, 0)) + any_value(k.lead_long * (k.windows - 1)) AS BIGINT) AS formatted_chars
+FROM w LEFT JOIN h ON h.conv_id = w.conv_id JOIN k ON k.conv_id = w.conv_id GROUP BY w.conv_id""")
+def op4_chat_formatting(spark, folder):
+    planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.windows(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query("op9_exact_top_k", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op9_exact_top_k(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)

@@ -25,8 +25,9 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Signs that may be strewn into a word.
 FILLERS = frozenset(".-_*~'`^:;,/\\·•|#%&=")
 #: Logarithms of the channel: a letter written as a sign, and a sign, a repeated letter or a blank put in. A letter left out of the
-#: output also saves its share of the language model (about -2.5), which these make up for.
-SUBSTITUTED, FILLED, REPEATED, SPACED = -2.0, -3.0, -4.5, -3.0
+#: output also saves its share of the language model (about -2.5), which these make up for. Between single signs a blank that parts words is rarer
+#: than one that was put in.
+SUBSTITUTED, FILLED, REPEATED, SPACED, PARTED = -2.0, -3.0, -4.5, -1.0, -4.0
 DOUBTFUL = re.compile(r"(.)\1|[0-9@$!|+€£¡(.\-_*~'`^:;,/\\·•#%&=]")
 LETTER = re.compile(r"[^\W\d_]")
 OUTER = ".,;:!?|*#%&\"'()[]{}<>«»„“”…-_~`"
@@ -124,7 +125,7 @@ class Decoder:
                 for sign, y, cost in arcs:
                     s = score + cost + model[state * SIGNS + sign]
                     if sign == 0:  # the edge of a word is two edges
-                        s += model[low * SIGNS]
+                        s += model[low * SIGNS] + PARTED
                         to = 0
                     else:
                         to = low + sign
