@@ -1,26 +1,41 @@
-"""From raw documents to training shards."""
+"""From raw documents to training shards: five stages, each on all rows that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, sharding
+from tickerloom.llm import decontamination, mixing, sharding, simhash, toxicity
 from tickerloom.llm.common import shared_folder
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted to be toxic."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints are linked: the one with the smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, verbatim or with other numbers, names and units."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it, in whole documents."""
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of nearly equal bytes; equal texts stay together."""
+    """Eight shards of nearly equal bytes, equal texts together; adds each row's shard and its slot there."""
     return sharding.assign_shards(docs, shards=8)
 
 
-STAGES = [("mixing", mixed), ("sharding", sharded)]
+STAGES = [("toxicity", clean), ("simhash near-dedup", distinct), ("benchmark decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 
-#: Decoding obfuscated words is not expressible in SQL; the tests hold the stages against brute-force versions.
+#: SQL can express neither the decoding of words nor components; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
