@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import chat, decontamination, mixing, paragraphs, sharding, simhash, topk, toxicity, urls
+from tickerloom.llm import chat, decontamination, mixing, paragraphs, sharding, simhash, tokens, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op9_exact_top_k(spark, folder):
 def op7_substring_dedup(spark, folder):
     found = paragraphs.repeated(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "word", "words", "class_id", "kept")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, folder):
+    return tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text"))[["doc_id", "n_tokens"]]
