@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.config import FoldSettings, RegimeSettings
-from tickerloom.functions.scan import exact_quantiles, most_frequent, sorted_scan
+from tickerloom.functions.scan import exact_quantiles, most_frequent, ranges_of, sorted_scan
 from tickerloom.functions.series import Series, apply_stages, expanding_pct_rank, sum_chain, with_ewm
 from tickerloom.operators import alignment, cleaning, features, folds, metrics, models, portfolio, quality, regime, tabular
 from tickerloom.sources import tables
@@ -48,6 +48,24 @@ def test_sorted_scan_with_one_dominant_key(spark):
     assert set(got[got.k == "hot"].run_total) == {want[want.k == "hot"].w.sum()}
 
 
+def test_sorted_scan_keeps_null_keys_and_balances(spark):
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 10 > 0, F.lit("hot")).alias("k"), F.xxhash64("id").alias("v"))
+    got = sorted_scan(df, ["k"], ["v"], {"n": F.lit(1)}, totals=True).groupBy("k").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.max("n_total").alias("t")).collect()
+    assert {x.k: (x.c, x.m, x.t) for x in got} == {None: (100_000,) * 3, "hot": (900_000,) * 3}
+    sizes = [x["count"] for x in ranges_of(df, ["k"], ["v"]).groupBy("_range").count().collect()]
+    assert max(sizes) <= 50_000
+
+
+def test_null_groups_in_users_of_the_scan(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, (F.col("id") % 3).cast("string")).alias("c"))
+    split = tabular.stratified_split(df, "id", "c")
+    assert split.count() == 1000 and split.where("c IS NULL AND is_train").count() > 0
+    scores = spark.range(200).select(F.when(F.col("id") % 2 > 0, "a").alias("g"), (F.col("id") % 3 == 0).cast("int").alias("y_true"),
+                                     (F.col("id") % 2).cast("int").alias("y_pred"), (F.col("id") / 200).alias("y_proba"))
+    rows = metrics.classification_metrics(scores, ["g"]).collect()
+    assert sorted(str(x.g) for x in rows) == ["None", "a"] and all(x.auc_roc is not None for x in rows)
+
+
 def test_exact_quantiles_and_mode(spark):
     values = [float(v) for v in np.random.default_rng(1).integers(0, 300, 4001)]
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")

@@ -7,45 +7,51 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_EVERY = 16
-SPLITS = 64
+from tickerloom.session import stored
+
+#: Ranges for each shuffle partition of the session: a group with all rows still has ranges of a few per cent.
+RANGES = 4
+
+
+def ranges_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with ``_range``: ranges of about equal size over (keys, order), numbered in that order, read and written once.
+
+    Spark's range partitioning samples the rows to place the cuts; a null is a value like others."""
+    parts = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys are equal; the keys of ``right`` go."""
+    other = right.toDF(*[f"_r_{c}" if c in keys else c for c in right.columns])
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & left[c].eqNullSafe(other[f"_r_{c}"])
+    return left.join(other, condition).drop(*[f"_r_{c}" for c in keys])
 
 
 def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str],
-                totals: bool = False, splits: int = SPLITS) -> DataFrame:
+                totals: bool = False) -> DataFrame:
     """Adds the running sum of each ``sums`` entry in ascending ``order`` within ``keys``.
 
-    A plain window would sort one group in one task. Here each group is cut at sampled order values into up to
-    ``splits + 1`` ranges; ranges are scanned independently and shifted by the total of the ranges before them. The
-    sample (hash chosen, at most ``splits`` values per group) only sets where the cuts fall, so the result is exact
-    whatever it holds. ``order`` must be unique within ``keys``; fold ties first. ``keys`` may be empty.
-
-    Cut points and range totals are joined without a hint: adaptive execution broadcasts them once their measured size
-    allows it and splits the skewed side otherwise.
+    A plain window would sort one group in one task. Here rows are dealt to ranges over (keys, order), so a large group spreads
+    over many ranges; ranges are scanned independently and shifted by the total of the group's ranges before them.
+    The result is exact wherever the cuts fall. Null keys form a group. ``order`` must be unique within ``keys``; fold
+    ties first. ``keys`` may be empty.
     """
     base = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(f"_in_{n}") for n, c in sums.items()])
     group = list(keys)
-    if not group:
-        base, group = base.withColumn("_all", F.lit(0)), ["_all"]
-    point = F.struct(*order)
-    h = F.xxhash64(*order)
-    cuts = (base.where(F.pmod(h, F.lit(SAMPLE_EVERY)) == 0)
-            .groupBy(*group, F.pmod(F.shiftright(h, 8), F.lit(splits)).alias("_slot"))
-            .agg(F.min(point).alias("_cut"))
-            .groupBy(*group).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")))
-    placed = base.join(cuts, group, "left").withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.struct(*order))), F.lit(0))).drop("_cuts")
-    placed = placed.withColumn("_range", F.greatest(F.col("_range"), F.lit(0)))
-    per_range = placed.groupBy(*group, "_range").agg(*[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums])
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    ranged = ranges_of(base, group, order)
+    per_range = ranged.groupBy(*group, "_range").agg(*[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums])
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_range.select(
         *group, "_range",
         *[F.sum(f"_tot_{n}").over(before).alias(f"_off_{n}") for n in sums],
         *([F.sum(f"_tot_{n}").over(whole).alias(f"{n}_total") for n in sums] if totals else []))
     local = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = placed.select("*", *[F.sum(f"_in_{n}").over(local).alias(f"_run_{n}") for n in sums])
-    joined = scanned.join(shifts, group + ["_range"])
+    scanned = ranged.select("*", *[F.sum(f"_in_{n}").over(local).alias(f"_run_{n}") for n in sums])
+    joined = same_keys(scanned, shifts, [*group, "_range"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_run_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in sums],

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.columns import div
-from tickerloom.functions.scan import sorted_scan
+from tickerloom.functions.scan import same_keys, sorted_scan
 
 
 def _score_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def classification_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         F.coalesce(div("_tp", F.col("_ap").cast("double")), zero).alias("recall"),
         F.coalesce(div(F.lit(2.0) * F.col("_tp"), (F.col("_pp") + F.col("_ap")).cast("double")), zero).alias("f1_score"),
         "log_loss", "n_samples", "pos_rate")
-    return rates.join(auc_by(tagged, group), group).select(
+    return same_keys(rates, auc_by(tagged, group), group).select(
         *keys, "accuracy", "precision", "recall", "f1_score", "auc_roc", "log_loss", "n_samples", "pos_rate")
 
 
