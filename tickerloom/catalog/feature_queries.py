@@ -33,14 +33,14 @@ def panel(spark, d):
     return cleaning.derive_bar_columns(src.bars(spark, d))
 
 
-def index_panel(spark, d, series="I0"):
-    return cleaning.process_index(src.index_bars(spark, d).where(F.col("series_id") == series))
+def index_panel(spark, d):
+    return cleaning.process_index(src.whole_index(spark, d))
 
 
 SQL_STEPS = src.SQL_PANEL + f""",
 idx AS (
   SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS index_returns
-  FROM (SELECT date, avg(close) AS close FROM bars WHERE CAST(right(ticker, 1) AS INTEGER) % 2 = 0 GROUP BY date)),
+  FROM (SELECT date, avg(close) AS close FROM bars GROUP BY date)),
 f0 AS (
   SELECT panel.*, index_returns, lag(close) OVER k AS pc, close - lag(close) OVER k AS d1,
          high - lag(high) OVER k AS dh, lag(low) OVER k - low AS dl

@@ -84,7 +84,14 @@ def index_bars(spark: SparkSession, folder: str) -> DataFrame:
         *[F.avg(c).alias(c) for c in ("open", "high", "low", "close")], F.sum("volume").alias("volume"))
 
 
+def whole_index(spark: SparkSession, folder: str) -> DataFrame:
+    """One equal-weight index of all tickers."""
+    return bars(spark, folder).groupBy(F.lit("ALL").alias("series_id"), "date").agg(
+        *[F.avg(c).alias(c) for c in ("open", "high", "low", "close")], F.sum("volume").alias("volume"))
+
+
 SQL_INDEX = SQL_BARS + """,
+whole_index AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS returns FROM (SELECT date, avg(close) AS close FROM bars GROUP BY date)),
 index_bars AS (
   SELECT 'I' || CAST(CAST(right(ticker, 1) AS INTEGER) % 2 AS VARCHAR) AS series_id, date, avg(open) AS open,
          avg(high) AS high, avg(low) AS low, avg(close) AS close, sum(volume) AS volume FROM bars GROUP BY ALL),

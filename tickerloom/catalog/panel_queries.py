@@ -13,19 +13,15 @@ from tickerloom.config import FoldSettings
 from tickerloom.functions.columns import hash_uniform, normal_cdf
 from tickerloom.functions.scan import most_frequent
 from tickerloom.operators import alignment as al, cleaning as cl, folds as fo, portfolio as pf, quality as qa
+from tickerloom.session import new_folder
 from tickerloom.sources import tables as io
 
 BAR_ITEMS = r("open", "high", "low", "close", "volume")
 
 
 def scratch(spark) -> str:
-    """A new folder for a query that writes and reads back: below the folder executors share, if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder for a query that writes and reads back, shared by all executors."""
+    return new_folder(spark)
 
 
 # sources and sinks ----------------------------------------------------------------------------------------------
@@ -84,7 +80,7 @@ def _sink_csv(spark, d):
     return io.scan_csv(spark, path).select("l_returnflag", F.col("n").cast("bigint").alias("n"))
 
 
-@query("io07_content_registry", "WITH h AS (SELECT doc_id, sha256(text) AS sha256, length(text)::INTEGER AS size_bytes FROM documents) "
+@query("io07_content_registry", "WITH h AS (SELECT doc_id, sha256(text) AS sha256, strlen(text)::INTEGER AS size_bytes FROM documents) "
        "SELECT doc_id, sha256, size_bytes, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256) THEN 'created' "
        "ELSE 'deduplicated' END AS status FROM h")
 def _registry(spark, d):
@@ -99,7 +95,7 @@ def _lines(spark, d):
 
 
 SQL_FILES = ("files AS (SELECT 'report_' || page_id || CASE page_id % 6 WHEN 0 THEN '.PNG' WHEN 1 THEN '.csv' WHEN 2 THEN '.pdf' "
-             "WHEN 3 THEN '.txt' WHEN 4 THEN '.tex' ELSE '.html' END AS name, length(html)::INTEGER AS size_bytes FROM pages)")
+             "WHEN 3 THEN '.txt' WHEN 4 THEN '.tex' ELSE '.html' END AS name, strlen(html)::INTEGER AS size_bytes FROM pages)")
 SQL_LISTING = SQL_FILES + (", listing AS (SELECT *, CASE lower(split_part(name, '.', 2)) WHEN 'png' THEN 'image/png' WHEN 'csv' THEN "
                            "'text/csv' WHEN 'pdf' THEN 'application/pdf' ELSE 'text/plain' END AS content_type, "
                            "CASE lower(split_part(name, '.', 2)) WHEN 'png' THEN 'plot' WHEN 'csv' THEN 'dataset' WHEN 'pdf' THEN "
@@ -110,7 +106,7 @@ def listing(spark, d):
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".PNG", ".csv", ".pdf", ".txt", ".tex", ".html")]),
                           (F.col("page_id") % 6 + 1).cast("int"))
     files = src.table(spark, d, "pages").select(
-        F.concat(F.lit("report_"), F.col("page_id").cast("string"), suffix).alias("name"), F.length("html").alias("size_bytes"))
+        F.concat(F.lit("report_"), F.col("page_id").cast("string"), suffix).alias("name"), F.octet_length("html").alias("size_bytes"))
     return io.classify_artifacts(files)
 
 
@@ -288,7 +284,7 @@ def _buckets(spark, d):
 # joins ----------------------------------------------------------------------------------------------------------
 SQL_SCORES = src.SQL_PANEL + """,
 scores AS (SELECT date, ticker, ('0x' || substr(md5(ticker || '|' || date), 1, 8))::BIGINT / 4294967296.0 AS y_proba
-           FROM bars WHERE date >= '1997-01-01'),
+           FROM bars),
 regime_tab AS (SELECT DISTINCT date, CAST(day(date) % 3 AS INTEGER) AS regime,
                       ('0x' || substr(md5(date::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS state_prob
                FROM bars WHERE dayofyear(date) % 5 <> 0),
@@ -298,7 +294,7 @@ current_list AS (SELECT DISTINCT ticker FROM bars WHERE CAST(right(ticker, 1) AS
 
 
 def scores(spark, d):
-    b = src.bars(spark, d).where(F.col("date") >= "1997-01-01")
+    b = src.bars(spark, d)
     return b.select("date", "ticker", hash_uniform("ticker", "date").alias("y_proba"))
 
 
@@ -318,7 +314,7 @@ def current_list(spark, d):
 
 
 @query("jn01_align_index_returns", f"WITH {src.SQL_INDEX} SELECT ticker, date, {r('returns AS index_returns')} FROM bars LEFT JOIN "
-       "(SELECT date, returns FROM index_panel WHERE series_id = 'I0') USING (date)")
+       "whole_index USING (date)")
 def _align(spark, d):
     return al.align_index_returns(src.bars(spark, d), index_panel(spark, d)).select("ticker", "date", "index_returns")
 

@@ -190,10 +190,10 @@ def _stream(spark, d):
     return spark.read.parquet(f"{base}/out").select("run_id", "key", "value", "step", "ts")
 
 
-@query("tr03_run_channel", f"WITH {SQL_TRACK} SELECT 'run:' || run_id AS channel, 'metric.logged' AS name, run_id, key, {r('value')}, step FROM metrics WHERE run_id % 2 = 0")
+@query("tr03_run_channel", f"WITH {SQL_TRACK} SELECT 'run:' || run_id AS channel, 'metric.logged' AS name, run_id, key, {r('value')}, step FROM metrics")
 def _channel(spark, d):
     events = sm.to_events(metric_rows(spark, d))
-    out = sm.subscribe(events, names=["metric.logged"]).where(F.col("run_id") % 2 == 0)
+    out = sm.subscribe(events, names=["metric.logged"])
     return out.select("channel", "name", "run_id", "key", "value", "step")
 
 
@@ -279,9 +279,9 @@ def _unreferenced(spark, d):
     return tr.unreferenced_datasets(src.table(spark, d, "documents").select(F.col("doc_id").alias("dataset_id")), experiments(spark, d))
 
 
-@query("ag08_next_run_number", f"WITH {SQL_TRACK} SELECT e.experiment_id, coalesce(max(run_number), 0) + 1 AS next_run_number FROM experiments e LEFT JOIN (SELECT * FROM runs WHERE run_number > 3) USING (experiment_id) GROUP BY e.experiment_id")
+@query("ag08_next_run_number", f"WITH {SQL_TRACK} SELECT e.experiment_id, coalesce(max(run_number), 0) + 1 AS next_run_number FROM experiments e LEFT JOIN runs USING (experiment_id) GROUP BY e.experiment_id")
 def _next_run(spark, d):
-    return tr.next_run_number(runs(spark, d).where("run_number > 3"), experiments(spark, d))
+    return tr.next_run_number(runs(spark, d), experiments(spark, d))
 
 
 @query("tk03_latest_first", f"WITH {SQL_TRACK} SELECT run_id, started_at, row_number() OVER (PARTITION BY experiment_id ORDER BY started_at DESC) AS place FROM runs")
@@ -440,7 +440,7 @@ def _top(spark, d):
 @query("wf15_permutation_importance")
 def _permutation(spark, d):
     names, train, test = _one_fold(spark, d)
-    return mo.permutation_importance(mo.fit_base(train, SMALL), test, names, sample=None)
+    return mo.permutation_importance(mo.fit_base(train, SMALL), test, names)
 
 
 @query("wf22_score_rows")

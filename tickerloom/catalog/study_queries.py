@@ -54,7 +54,7 @@ def _rules(spark, d):
     return rg.rule_regime(index(spark, d)).select("series_id", "date", "trend", "vol_high", "rule_regime")
 
 
-# Index returns here are averages of many tickers; the penalty is set to their scale so that breaks occur.
+# Index returns here are averages of many tickers; the penalty is set to their scale.
 REGIME = RegimeSettings(changepoint_penalty=0.003, em_iterations=6)
 
 
@@ -78,11 +78,16 @@ def _relabel(spark, d):
     return out.select("series_id", F.col("c0.mx").alias("best"), F.col("c1.mx").alias("mid"), F.col("c2.mx").alias("worst"))
 
 
-def _changepoint_sql(depth: int = 4, size: int = 20, penalty: float = 0.003) -> str:
+def shifted(index_rows):
+    """Index returns whose mean steps up and down with the year, so that there are shifts to find."""
+    return index_rows.withColumn("returns", F.col("returns") + F.when(F.year("date") % 2 == 0, 1 / 64).otherwise(0.0))
+
+
+def _changepoint_sql(depth: int = 10, size: int = 20, penalty: float = 0.003) -> str:
     """Segments as (a, c, pa, pc) rows, split level by level."""
     sql = src.SQL_INDEX + """,
 cpos AS MATERIALIZED (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos,
-                sum(returns) OVER (PARTITION BY series_id ORDER BY date) AS s FROM index_panel WHERE returns IS NOT NULL),
+                sum(returns + CASE WHEN year(date) % 2 = 0 THEN 0.015625::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY series_id ORDER BY date) AS s FROM index_panel WHERE returns IS NOT NULL),
 blk AS (SELECT series_id, unnest(range(252, n, 60)) AS bs FROM (SELECT series_id, count(*) AS n FROM cpos GROUP BY series_id)),
 seg0 AS (SELECT blk.series_id, bs, 0::BIGINT AS a, bs AS c, 0.0::DOUBLE AS pa, s AS pc FROM blk JOIN cpos ON cpos.series_id = blk.series_id AND pos = bs - 1)"""
     for i in range(depth):
@@ -107,7 +112,7 @@ cps AS (SELECT o.series_id, o.date, CASE WHEN pos >= 252 AND pos = o.bs AND isne
 
 @query("rg06_changepoints", f"WITH {_changepoint_sql()} SELECT series_id, date, cp_flag, {r('days_since_cp')} FROM cps")
 def _changepoints(spark, d):
-    return rg.changepoints(index(spark, d), REGIME)
+    return rg.changepoints(shifted(index(spark, d)), REGIME)
 
 
 def _plain_states(spark, d):
@@ -128,7 +133,7 @@ hybrid AS (SELECT series_id, date, cp_flag, CASE WHEN {RULE} = 0 AND (state IS N
 def hybrid(spark, d):
     i = index(spark, d)
     rules = rg.rule_regime(i).select("series_id", "date", "rule_regime")
-    return rg.hybrid_regime(_plain_states(spark, d), rg.changepoints(i, REGIME), rules)
+    return rg.hybrid_regime(_plain_states(spark, d), rg.changepoints(shifted(i), REGIME), rules)
 
 
 @query("rg07_hybrid_regime", f"WITH RECURSIVE {SQL_HYBRID} SELECT series_id, date, cp_flag, regime FROM hybrid")
@@ -444,30 +449,30 @@ def _dm_returns(spark, d):
     return st.diebold_mariano_returns(return_pair(spark, d), h=3)
 
 
-REPLICATES = 500
-_U = "('0x' || substr(md5('42|' || rep || '|' || date), 1, 8))::BIGINT / 4294967296.0"
+REPLICATES = 10_000
+_U = "('0x' || substr(md5('42|' || rep || '|' || series_id || '|' || date), 1, 8))::BIGINT / 4294967296.0"
 SQL_POISSON = "CASE " + " ".join(f"WHEN u < {edge!r} THEN {k}" for k, edge in enumerate(poisson_one_cdf())) + " ELSE 13 END"
 
 
 def _boot_sql(stat: str, point: str) -> str:
-    return (f"WITH {DAILY_SQL}, drawn AS (SELECT rep, strategy_return AS x, {_U} AS u FROM daily, range(0, {REPLICATES}) t(rep) WHERE series_id = 'I0'), w AS (SELECT rep, x, {SQL_POISSON} AS w FROM drawn), "
-            f"s AS (SELECT {stat} AS s FROM w GROUP BY rep) SELECT {r(f'(SELECT {point} FROM daily WHERE series_id = chr(73) || chr(48)) AS point_estimate', 'quantile_cont(s, 0.025) AS ci_lower', 'quantile_cont(s, 0.975) AS ci_upper', 'stddev_pop(s) AS std_error')} FROM s")
+    return (f"WITH {DAILY_SQL}, drawn AS (SELECT rep, strategy_return AS x, {_U} AS u FROM daily, range(0, {REPLICATES}) t(rep)), w AS (SELECT rep, x, {SQL_POISSON} AS w FROM drawn), "
+            f"s AS (SELECT {stat} AS s FROM w GROUP BY rep) SELECT {r(f'(SELECT {point} FROM daily) AS point_estimate', 'quantile_cont(s, 0.025) AS ci_lower', 'quantile_cont(s, 0.975) AS ci_upper', 'stddev_pop(s) AS std_error')} FROM s")
 
 
 @query("st03_bootstrap_ci", _boot_sql("sum(w * x) / sum(w)", "avg(strategy_return)"))
 def _bootstrap(spark, d):
-    return st.bootstrap_ci(daily(spark, d).where("series_id = 'I0'"), "strategy_return", ["date"], n_bootstrap=REPLICATES)
+    return st.bootstrap_ci(daily(spark, d), "strategy_return", ["series_id", "date"], n_bootstrap=REPLICATES)
 
 
 @query("st04_sharpe_bootstrap_ci", _boot_sql("sum(w * x) / sum(w) / sqrt(sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2)) * sqrt(252)",
                                              "avg(strategy_return) / stddev_pop(strategy_return) * sqrt(252)"))
 def _sharpe_boot(spark, d):
-    return st.sharpe_bootstrap_ci(daily(spark, d).where("series_id = 'I0'"), n_bootstrap=REPLICATES)
+    return st.sharpe_bootstrap_ci(daily(spark, d), key=("series_id", "date"), n_bootstrap=REPLICATES)
 
 
 @query("ud01_user_statistic_bootstrap")
 def _user_statistic(spark, d):
-    return st.bootstrap_ci_callable(daily(spark, d).where("series_id = 'I0'"), "strategy_return", ["date"], lambda a: float(a.max() - a.min()), 64)
+    return st.bootstrap_ci_callable(daily(spark, d), "strategy_return", ["series_id", "date"], lambda a: float(a.max() - a.min()), 64)
 
 
 def _psi_sql(names, source, train, test) -> str:
@@ -512,7 +517,7 @@ def _ks(spark, d):
        f"boot AS ({_boot_sql('sum(w * x) / sum(w)', 'avg(strategy_return)')}) SELECT 'DM: base vs static' AS test, {r('z AS statistic', SQL_CDF + ' AS p_value', 'NULL AS ci_lower', 'NULL AS ci_upper')}, {SQL_CDF} < 0.05 AS significant FROM a "
        f"UNION ALL SELECT 'Bootstrap 95% CI: mean return', {r('point_estimate AS statistic', 'NULL AS p_value', 'ci_lower', 'ci_upper')}, ci_lower > 0 FROM boot")
 def _significance(spark, d):
-    boot = st.bootstrap_ci(daily(spark, d).where("series_id = 'I0'"), "strategy_return", ["date"], n_bootstrap=REPLICATES)
+    boot = st.bootstrap_ci(daily(spark, d), "strategy_return", ["series_id", "date"], n_bootstrap=REPLICATES)
     return st.significance_table({"base vs static": st.diebold_mariano(pair(spark, d))}, {"mean return": boot})
 
 

@@ -28,7 +28,6 @@ class RegimeSettings:
     em_iterations: int = 10
     changepoint_min_size: int = 20
     changepoint_penalty: float = 10.0
-    changepoint_depth: int = 4
     trend_span: int = 200
     vol_window: int = 60
     vol_percentile: float = 80.0

@@ -253,8 +253,7 @@ def top_importance(importance: DataFrame, n: int = 20) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def permutation_importance(model, rows: DataFrame, names: Sequence[str], seed: int = 42, sample: int | None = 5000,
-                           min_rows: int = 50, keys: Sequence[str] = ("date", "ticker")) -> DataFrame:
+def permutation_importance(model, rows: DataFrame, names: Sequence[str], seed: int = 42, min_rows: int = 50, keys: Sequence[str] = ("date", "ticker")) -> DataFrame:
     """AUC lost per regime (and overall) when one feature's values are exchanged between rows.
 
     Values move along a hash order of the keys: row i takes the value of the row next to it in that order, so a shuffled
@@ -263,8 +262,6 @@ def permutation_importance(model, rows: DataFrame, names: Sequence[str], seed: i
     from tickerloom.operators.metrics import auc_by
 
     base = rows.select(*keys, "regime", LABEL, *names).withColumn("_h", hash_uniform(F.lit(seed), *keys))
-    if sample is not None:
-        base = base.orderBy("_h", *keys).limit(sample)
     numbered = sorted_scan(base, [], ["_h", *keys], {"_pos": F.lit(1)}, totals=True)
     donors = numbered.select((F.pmod(F.col("_pos"), F.col("_pos_total")) + 1).alias("_pos"),
                              F.struct(*names).alias("_other"))

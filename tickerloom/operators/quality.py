@@ -80,16 +80,6 @@ def _is(kind: type, field: T.StructField) -> bool:
     return isinstance(field.dataType, kind)
 
 
-def _first_values(df: DataFrame, columns: Sequence[str], order: Sequence[str], n: int = 10) -> DataFrame:
-    """First ``n`` non-null values of each string column in input order: a top-n per column, never a sort of the table."""
-    out = None
-    for c in columns:
-        part = df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).alias("_v"), *order)
-        part = part.orderBy(*order).limit(n).select("column", "_v") if order else part.select("column", "_v").limit(n)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """total, missing and unique per column in one scan. ``approximate`` replaces the exact distinct counts, which shuffle
     every distinct (column, value) once, for very wide or very long tables."""
@@ -102,9 +92,9 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     return wide.select(F.explode(F.array(*[F.col(f"`{c}`") for c in names])).alias("_r")).select("_r.*")
 
 
-def infer_column_kinds(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Kind of each column, first rule that fits: timestamp or date; strings whose first ten values have eight or more
-    characters and all parse as timestamps; boolean, or two values out of 0/1/true/false; numeric; text (over three words
+def infer_column_kinds(df: DataFrame) -> DataFrame:
+    """Kind of each column, first rule that fits: timestamp or date; strings whose values all have eight or more
+    characters and parse as timestamps; boolean, or two values out of 0/1/true/false; numeric; text (over three words
     on average) or categorical; unknown."""
     fields = {f.name: f for f in df.schema.fields}
     strings = [n for n, f in fields.items() if _is(T.StringType, f)]
@@ -116,16 +106,10 @@ def infer_column_kinds(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
         measures.append(F.struct(
             F.lit(n).alias("column"), F.count(n).alias("n_values"), F.countDistinct(n).alias("n_unique"),
             F.min(value.isin("0", "1", "0.0", "1.0", "True", "False", "true", "false")).alias("flags_only"),
-            F.avg(F.when(F.trim(value) == "", 0).otherwise(words)).alias("mean_words")).alias(n))
+            F.avg(F.when(F.trim(value) == "", 0).otherwise(words)).alias("mean_words"),
+            (F.min((F.length(value) >= 8) & value.try_cast("timestamp").isNotNull()) if n in strings else F.lit(False)).alias("dates_only")).alias(n))
     wide = df.agg(*measures)
     facts = wide.select(F.explode(F.array(*[F.col(f"`{n}`") for n in simple])).alias("_r")).select("_r.*")
-    if strings:
-        first = _first_values(df, strings, order).groupBy("column").agg(F.min(
-            (F.length("_v") >= 8) & F.col("_v").try_cast("timestamp").isNotNull()).alias("dates_only"))
-        # One row per string column.
-        facts = facts.join(F.broadcast(first), "column", "left")
-    else:
-        facts = facts.withColumn("dates_only", F.lit(None).cast("boolean"))
     typed = {"d": [], "b": [], "n": [], "s": strings}
     for n in simple:
         f = fields[n]
@@ -173,11 +157,11 @@ def datetime_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*measures).select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("_r")).select("_r.*")
 
 
-def infer_schema(df: DataFrame, order: Sequence[str] = (), kinds: dict[str, str] | None = None) -> DataFrame:
+def infer_schema(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     """Profile: kind and statistics per column as a long table. The kinds, one row per column, are fetched to decide which
     statistics apply unless they are given."""
     if kinds is None:
-        kinds = {r["column"]: r["kind"] for r in infer_column_kinds(df, order).collect()}
+        kinds = {r["column"]: r["kind"] for r in infer_column_kinds(df).collect()}
     simple = [c for c in df.columns if kinds[c] != UNKNOWN]
     of = lambda *wanted: [c for c in simple if kinds[c] in wanted]
     kind = F.lit(UNKNOWN)

@@ -5,7 +5,6 @@ Index series hold one row per calendar day, so a whole series is a small window
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from tickerloom.functions.columns import div
 from tickerloom.functions.series import Series, apply_stages, expanding_pct_rank, with_ewm
 from tickerloom.operators.alignment import merge_regime_sources
 from tickerloom.operators.cleaning import INDICES
+from tickerloom.session import stored
 
 BULL, SIDEWAYS, BEAR = 0, 1, 2
 REGIME_NAMES = {BULL: "Bull", SIDEWAYS: "Sideways", BEAR: "Bear"}
@@ -155,48 +155,39 @@ def changepoints(index: DataFrame, settings: RegimeSettings = RegimeSettings(),
     """Mean-shift breaks of returns by binary segmentation, refitted on the past every ``refit_interval`` rows.
 
     A break at b splits [a, c) and removes gain = cost(a,c) - cost(a,b) - cost(b,c) of squared deviation. Segments of all
-    series and refits are split together, one level at a time: best candidate per segment, kept if its gain exceeds the
-    penalty. Costs come from prefix sums, so a level is one grouped maximum. Rows before the first fit are 0.
+    series and refits are split together, level by level, until no gain exceeds the penalty. The loop's state is the segments
+    that the last level made; prefix sums are written once and a level is one grouped maximum over them. Rows before the
+    first fit are 0.
     """
     keys = list(k.keys)
     rows = _numbered(index.where(F.col("returns").isNotNull()), ["returns"], k)
-    sums = apply_stages(rows, [{"_s": F.sum("returns").over(k.history)}]).select(*keys, "date", "_pos", "_s")
-    blocks = refit_blocks(rows, settings.min_train_rows, settings.refit_interval, k)
+    sums = stored(apply_stages(rows, [{"_s": F.sum("returns").over(k.history)}]).select(*keys, "date", "_pos", "_s"))
+    blocks = refit_blocks(sums, settings.min_train_rows, settings.refit_interval, k)
     fit = [*keys, "block_start"]
     # Prefix value P(b) = sum of the first b returns belongs to candidate b = _pos + 1.
     prefix = sums.select(*keys, (F.col("_pos") + 1).alias("b"), F.col("_s").alias("pb"))
-    candidates = prefix.join(blocks, keys).where(F.col("b") <= F.col("block_start")).select(*fit, "b", "pb")
-    # Each candidate carries its segment: start a, end c and the prefix values there.
-    ends = candidates.where(F.col("b") == F.col("block_start")).select(*fit, F.col("pb").alias("pc"))
-    work = candidates.join(ends, fit).select(
-        *fit, "b", "pb", F.lit(0).alias("a"), F.lit(0.0).alias("pa"), F.col("block_start").alias("c"), "pc",
-        F.lit(True).alias("open"))
+    segments = blocks.join(prefix, keys).where(F.col("b") == F.col("block_start")).select(
+        *fit, F.lit(0).alias("a"), F.lit(0.0).alias("pa"), F.col("block_start").alias("c"), F.col("pb").alias("pc"))
+    left, right = F.col("b") - F.col("a"), F.col("c") - F.col("b")
+    # Sum-of-squares terms cancel: the gain is the between-group part.
+    gain = (F.pow(F.col("pb") - F.col("pa"), 2) / left + F.pow(F.col("pc") - F.col("pb"), 2) / right
+            - F.pow(F.col("pc") - F.col("pa"), 2) / (F.col("c") - F.col("a")))
     found = None
-    for level in range(settings.changepoint_depth):
-        left, right = F.col("b") - F.col("a"), F.col("c") - F.col("b")
-        # Sum-of-squares terms cancel: the gain is the between-group part.
-        gain = (F.pow(F.col("pb") - F.col("pa"), 2) / left + F.pow(F.col("pc") - F.col("pb"), 2) / right
-                - F.pow(F.col("pc") - F.col("pa"), 2) / (F.col("c") - F.col("a")))
-        allowed = F.col("open") & (left >= settings.changepoint_min_size) & (right >= settings.changepoint_min_size)
-        scored = work.where(allowed).withColumn("_gain", gain)
-        best = (scored.groupBy(*fit, "a").agg(F.max(F.struct("_gain", (-F.col("b")).alias("nb"), "pb")).alias("_m"))
-                .where(F.col("_m._gain") > settings.changepoint_penalty)
-                .select(*fit, "a", (-F.col("_m.nb")).alias("_cut"), F.col("_m.pb").alias("_pcut")))
-        found_now = best.select(*fit, F.col("_cut").alias("cut"))
-        found = found_now if found is None else found.unionByName(found_now)
-        if level + 1 < settings.changepoint_depth:
-            split = work.join(best, fit + ["a"], "left")
-            before = F.col("b") < F.col("_cut")
-            after = F.col("b") > F.col("_cut")
-            work = split.where(F.col("_cut").isNotNull() & (before | after)).select(
-                *fit, "b", "pb", F.when(before, F.col("a")).otherwise(F.col("_cut")).alias("a"),
-                F.when(before, F.col("pa")).otherwise(F.col("_pcut")).alias("pa"),
-                F.when(before, F.col("_cut")).otherwise(F.col("c")).alias("c"),
-                F.when(before, F.col("_pcut")).otherwise(F.col("pc")).alias("pc"), "open")
+    while True:
+        allowed = (left >= settings.changepoint_min_size) & (right >= settings.changepoint_min_size)
+        scored = segments.join(prefix, keys).where(allowed).withColumn("_gain", gain)
+        best = stored(scored.groupBy(*fit, "a", "pa", "c", "pc").agg(F.max(F.struct("_gain", (-F.col("b")).alias("nb"), "pb")).alias("_m"))
+                      .where(F.col("_m._gain") > settings.changepoint_penalty)
+                      .select(*fit, "a", "pa", "c", "pc", (-F.col("_m.nb")).alias("cut"), F.col("_m.pb").alias("pcut")))
+        cuts = best.select(*fit, "cut")
+        found = cuts if found is None else found.unionByName(cuts)
+        if best.isEmpty():
+            break
+        segments = best.select(*fit, "a", "pa", F.col("cut").alias("c"), F.col("pcut").alias("pc")).unionByName(
+            best.select(*fit, F.col("cut").alias("a"), F.col("pcut").alias("pa"), "c", "pc"))
     judged = sums.withColumn("block_start", _own_block(settings))
     # Breaks lie before the block they serve (the fit is on the past), so a block's last break is one value per fit.
     last = found.groupBy(*fit).agg(F.max("cut").alias("_last"))
-    flagged = found.select(*keys, F.col("cut").alias("_pos")).distinct().withColumn("_is_cut", F.lit(1))
     out = judged.join(last, fit, "left")
     start = F.lit(settings.min_train_rows)
     since = (F.when(F.col("_pos") < start, F.lit(0.0))

@@ -93,12 +93,21 @@ def sharpe_statistic(w: Column, x: Column, trading_days: int = 252) -> Column:
     return F.coalesce(div(mean, std) * math.sqrt(trading_days), F.lit(0.0))
 
 
+#: Replicates that one task draws at a time.
+REPLICATE_BLOCK = 250
+
+
 def _replicates(df: DataFrame, key: Sequence[str], value: str, n_bootstrap: int, seed: int) -> DataFrame:
     """Each row with its weight in every replicate. Resampling with replacement counts a row Poisson(1) times; the count
     comes from a hash of seed, replicate and row key, so no sample is stored and a retried task draws the same one. The
-    exploded rows are folded into one partial sum per replicate before they leave the task."""
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("rep")
-    rows = df.select(*key, F.col(value).alias("_x"), reps)
+    exploded rows are folded into one partial sum per replicate before they leave the task. Replicates are dealt over the
+    tasks in blocks, for a daily series comes in one partition."""
+    blocks = -(-n_bootstrap // REPLICATE_BLOCK)
+    dealt = df.select(*key, F.col(value).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    dealt = dealt.repartition(blocks, "_block")
+    first = F.col("_block") * REPLICATE_BLOCK
+    reps = F.explode(F.sequence(first, F.least(first + REPLICATE_BLOCK, F.lit(n_bootstrap)) - 1)).alias("rep")
+    rows = dealt.select(*key, "_x", reps)
     return rows.withColumn("_w", poisson_one(hash_uniform(F.lit(seed), "rep", *key)))
 
 
