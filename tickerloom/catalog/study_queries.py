@@ -55,7 +55,7 @@ def _rules(spark, d):
 
 
 # Index returns here are averages of many tickers; the penalty is set to their scale.
-REGIME = RegimeSettings(changepoint_penalty=0.003, em_iterations=6)
+REGIME = RegimeSettings(changepoint_penalty=0.003)
 
 
 @query("rg04_mixture_state")
@@ -454,8 +454,8 @@ _U = "('0x' || substr(md5('42|' || rep || '|' || series_id || '|' || date), 1, 8
 SQL_POISSON = "CASE " + " ".join(f"WHEN u < {edge!r} THEN {k}" for k, edge in enumerate(poisson_one_cdf())) + " ELSE 13 END"
 
 
-def _boot_sql(stat: str, point: str) -> str:
-    return (f"WITH {DAILY_SQL}, drawn AS (SELECT rep, strategy_return AS x, {_U} AS u FROM daily, range(0, {REPLICATES}) t(rep)), w AS (SELECT rep, x, {SQL_POISSON} AS w FROM drawn), "
+def _boot_sql(stat: str, point: str, replicates: int = REPLICATES) -> str:
+    return (f"WITH {DAILY_SQL}, drawn AS (SELECT rep, strategy_return AS x, {_U} AS u FROM daily, range(0, {replicates}) t(rep)), w AS (SELECT rep, x, {SQL_POISSON} AS w FROM drawn), "
             f"s AS (SELECT {stat} AS s FROM w GROUP BY rep) SELECT {r(f'(SELECT {point} FROM daily) AS point_estimate', 'quantile_cont(s, 0.025) AS ci_lower', 'quantile_cont(s, 0.975) AS ci_upper', 'stddev_pop(s) AS std_error')} FROM s")
 
 
@@ -470,9 +470,12 @@ def _sharpe_boot(spark, d):
     return st.sharpe_bootstrap_ci(daily(spark, d), key=("series_id", "date"), n_bootstrap=REPLICATES)
 
 
-@query("ud01_user_statistic_bootstrap")
+USER_REPLICATES = 1_000
+
+
+@query("ud01_user_statistic_bootstrap", "SELECT * EXCLUDE (point_estimate) FROM (" + _boot_sql("max(CASE WHEN w > 0 THEN x END) - min(CASE WHEN w > 0 THEN x END)", "max(strategy_return) - min(strategy_return)", USER_REPLICATES) + ")")
 def _user_statistic(spark, d):
-    return st.bootstrap_ci_callable(daily(spark, d), "strategy_return", ["series_id", "date"], lambda a: float(a.max() - a.min()), 64)
+    return st.bootstrap_ci_callable(daily(spark, d), "strategy_return", ["series_id", "date"], lambda a: float(a.max() - a.min()), USER_REPLICATES)
 
 
 def _psi_sql(names, source, train, test) -> str:

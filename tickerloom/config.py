@@ -25,7 +25,8 @@ class RegimeSettings:
     n_states: int = 3
     min_train_rows: int = 252
     refit_interval: int = 60
-    em_iterations: int = 10
+    em_iterations: int = 100
+    em_tolerance: float = 1e-3
     changepoint_min_size: int = 20
     changepoint_penalty: float = 10.0
     trend_span: int = 200

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 def align_index_returns(panel: DataFrame, index_bars: DataFrame, out: str = "index_returns",
                         series_id: str | None = None) -> DataFrame:
     """Index return of each row's date. One index has one row per calendar day (36,525 in a century, under 1 MB), so
-    broadcasting it is bounded by the calendar, not by the panel."""
+    broadcasting it is bounded by the calendar, not by the panel. Several series without a ``series_id`` that chooses one are an error:
+    a date would match twice."""
     index = index_bars
     if series_id is not None:
         index = index.where(F.col("series_id") == series_id)
-    return panel.join(F.broadcast(index.select("date", F.col("returns").alias(out))), "date", "left").select(
-        *panel.columns, out)
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several index rows for a date: choose a series_id")).cast("double")).otherwise(F.first("returns"))
+    return panel.join(F.broadcast(index.groupBy("date").agg(one.alias(out))), "date", "left").select(*panel.columns, out)
 
 
 def merge_regime_sources(states: DataFrame, changepoints: DataFrame, rules: DataFrame) -> DataFrame:

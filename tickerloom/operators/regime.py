@@ -68,13 +68,18 @@ def _log_density(params: Column, x: Column, y: Column) -> Column:
 
 
 def _responsibilities(k_states: int) -> list[Column]:
+    return _likelihood(k_states)[0]
+
+
+def _likelihood(k_states: int) -> tuple[list[Column], Column]:
+    """Each component's share of a row, and the row's log-likelihood up to a constant."""
     logs = [_log_density(F.col(f"c{i}"), F.col("x"), F.col("y")) for i in range(k_states)]
     top = F.greatest(*logs)
     weights = [F.exp(v - top) for v in logs]
     total = weights[0]
     for w in weights[1:]:
         total = total + w
-    return [w / total for w in weights]
+    return [w / total for w in weights], top + F.ln(total)
 
 
 # Keeps a component that holds almost no row from collapsing to zero variance.
@@ -84,7 +89,7 @@ MIN_WEIGHT = 1e-6
 
 def _maximise(weighted: DataFrame, group: list[str], k_states: int) -> DataFrame:
     """Component parameters from responsibilities r0..rk: one grouped sum for all series and blocks."""
-    sums = [F.count(F.lit(1)).alias("n")]
+    sums = [F.count(F.lit(1)).alias("n"), F.avg("ll").alias("ll")]
     for i in range(k_states):
         r = F.col(f"r{i}")
         sums += [F.sum(r).alias(f"s{i}"), F.sum(r * F.col("x")).alias(f"sx{i}"), F.sum(r * F.col("y")).alias(f"sy{i}"),
@@ -100,7 +105,7 @@ def _maximise(weighted: DataFrame, group: list[str], k_states: int) -> DataFrame
             F.greatest(F.col(f"sxx{i}") / mass - mx * mx, F.lit(MIN_VARIANCE)).alias("vxx"),
             F.greatest(F.col(f"syy{i}") / mass - my * my, F.lit(MIN_VARIANCE)).alias("vyy"),
             (F.col(f"sxy{i}") / mass - mx * my).alias("vxy")).alias(f"c{i}"))
-    return agg.select(*group, *components)
+    return agg.select(*group, "ll", *components)
 
 
 def mixture_observations(index: DataFrame, k: Series = INDICES) -> DataFrame:
@@ -114,7 +119,8 @@ def mixture_observations(index: DataFrame, k: Series = INDICES) -> DataFrame:
 def mixture_state(index: DataFrame, settings: RegimeSettings = RegimeSettings(), k: Series = INDICES) -> DataFrame:
     """State and its probability per day from a Gaussian mixture refitted on the past every ``refit_interval`` rows.
 
-    All series and refits are fitted together: an EM step is one join of rows with parameters and one grouped sum. A fit
+    All series and refits are fitted together: an EM step is one join of rows with parameters and one grouped sum, whose few rows are
+    written; steps end when no fit's mean log-likelihood rises by ``em_tolerance``. A fit
     sees only rows before its block, states are ranked by mean return within the fit (0 = highest), and each row is
     scored by its own block's fit, so nothing later than a row can move its state.
     """
@@ -122,17 +128,21 @@ def mixture_state(index: DataFrame, settings: RegimeSettings = RegimeSettings(),
     group = [*k.keys, "block_start"]
     rows = mixture_observations(index, k)
     blocks = refit_blocks(rows, settings.min_train_rows, settings.refit_interval, k)
-    train = rows.join(blocks, list(k.keys)).where(F.col("_pos") < F.col("block_start")).select(*group, "x", "y")
+    train = stored(rows.join(blocks, list(k.keys)).where(F.col("_pos") < F.col("block_start")).select(*group, "x", "y"))
     # Start: thirds of the return distribution, by the cut points of each fit's own rows.
     cuts = train.groupBy(*group).agg(F.percentile("x", [i / n for i in range(1, n)]).alias("_cuts"))
     third = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("x")))
     started = train.join(cuts, group).select(
-        *group, "x", "y", *[F.when(third == i, 1.0).otherwise(0.0).alias(f"r{i}") for i in range(n)])
-    params = _maximise(started, group, n)
+        *group, "x", "y", *[F.when(third == i, 1.0).otherwise(0.0).alias(f"r{i}") for i in range(n)], F.lit(None).cast("double").alias("ll"))
+    params = stored(_maximise(started, group, n))
+    shares, ll = _likelihood(n)
     for _ in range(settings.em_iterations):
-        scored = train.join(params, group)
-        scored = scored.select(*group, "x", "y", *[r.alias(f"r{i}") for i, r in enumerate(_responsibilities(n))])
-        params = _maximise(scored, group, n)
+        scored = train.join(params.drop("ll"), group)
+        scored = scored.select(*group, "x", "y", *[r.alias(f"r{i}") for i, r in enumerate(shares)], ll.alias("ll"))
+        before, params = params, stored(_maximise(scored, group, n))
+        gained = params.join(before.select(*group, F.col("ll").alias("_ll")), group).agg(F.max(F.col("ll") - F.col("_ll"))).first()[0]
+        if gained is not None and gained < settings.em_tolerance:
+            break
     ordered = relabel_by_return(params, group, n)
     judged = rows.withColumn("block_start", _own_block(settings)).join(ordered, group)
     probs = judged.select(*k.keys, "date", *[r.alias(f"p{i}") for i, r in enumerate(_responsibilities(n))])
