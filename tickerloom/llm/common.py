@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: computed once, read by several steps, safe from lost executors."""
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

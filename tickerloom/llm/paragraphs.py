@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import seal, sealed_column, written
 from tickerloom.llm.components import components
+from tickerloom.llm.filters import filter_bits, held_digests, may_hold
 
 SHINGLE = 5
-#: Bands and rows: of paragraphs with a Jaccard similarity of 0.8, 99.1 % share a band.
-BANDS, ROWS = 9, 4
+#: Bands and rows: of paragraphs with a Jaccard similarity of 0.8, 99.4 % share a band. Shingles of five words are rare enough that few
+#: rows do: unlike paragraphs share none.
+BANDS, ROWS = 5, 2
+#: Fewer words make no other paragraph of that similarity: one shingle more or less is over a fifth.
+LEAST_BANDED = SHINGLE + 3
 SIMILARITY = 0.8
 #: Paragraphs of more words are also compared in parts, cut where the text itself says.
 LONG = 40
@@ -35,7 +41,7 @@ class WordHashes(dict):
         return found
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
+def stirred(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * STEP
     return h ^ (h >> np.uint64(29))
 
@@ -46,7 +52,7 @@ def rolling(words: np.ndarray, length: int) -> np.ndarray:
     found = np.zeros(n, np.uint64)
     for j in range(length):
         found = found * STEP + words[j:j + n]
-    return mixed(found)
+    return stirred(found)
 
 
 def part_starts(words: np.ndarray) -> list[int]:
@@ -70,27 +76,27 @@ def part_starts(words: np.ndarray) -> list[int]:
 def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Band keys [paragraph, band] of consecutive runs of shingles."""
     if len(shingles) <= TOGETHER:
-        least = np.minimum.reduceat(mixed(shingles[:, None] * MULTIPLIERS[None, :]), starts, axis=0)
+        least = np.minimum.reduceat(stirred(shingles[:, None] * MULTIPLIERS[None, :]), starts, axis=0)
     else:  # bounds the memory of a very long text
-        least = np.stack([np.minimum.reduceat(mixed(shingles * m), starts) for m in MULTIPLIERS], axis=1)
+        least = np.stack([np.minimum.reduceat(stirred(shingles * m), starts) for m in MULTIPLIERS], axis=1)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(starts), 1))
     for j in range(ROWS):
         keys = keys * STEP + least[:, j::ROWS]
-    return mixed(keys)
+    return stirred(keys)
 
 
 def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, id, word, words, digest, bands, text) of the paragraphs of texts, and of the parts of long ones.
 
     A paragraph is a line of at least SHINGLE words, A to Z in lower case; ``word`` is the place of its first word in the text. Only whole
-    paragraphs have bands and text."""
+    paragraphs of LEAST_BANDED words have bands and text."""
     hashes = WordHashes()
     for batch in batches:
         row, at, long, digests, bands, texts = [], [], [], [], [], []
         for r, text in enumerate(batch.column(2).to_pylist()):
             if len(hashes) > KNOWN:
                 hashes.clear()
-            place, whole, runs, starts, total = 0, [], [], [], 0
+            place, banded, runs, starts, total = 0, [], [], [], 0
             for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
                 words = line.split()
                 n = len(words)
@@ -99,21 +105,21 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cuts = part_starts(codes) if n > LONG else [0]
                     spans = [(0, n)] + ([(a, b) for a, b in zip(cuts, cuts[1:] + [n]) if b - a >= SHINGLE] if len(cuts) > 1 else [])
                     for a, b in spans:
-                        if b - a == n:
-                            whole.append(len(row))
                         row.append(r)
                         at.append(place + a)
                         long.append(b - a)
                         digests.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])) - (1 << 63))
                         bands.append(None)
                         texts.append(None)
-                    texts[whole[-1]] = b" ".join(words).decode("utf-8", "replace")
-                    runs.append(rolling(codes, SHINGLE))
-                    starts.append(total)
-                    total += len(runs[-1])
+                    if n >= LEAST_BANDED:
+                        banded.append(len(row) - len(spans))
+                        texts[banded[-1]] = b" ".join(words).decode("utf-8", "replace")
+                        runs.append(rolling(codes, SHINGLE))
+                        starts.append(total)
+                        total += len(runs[-1])
                 place += n
             if runs:
-                for i, keys in zip(whole, signatures(np.concatenate(runs), np.array(starts)).view(np.int64).tolist()):
+                for i, keys in zip(banded, signatures(np.concatenate(runs), np.array(starts)).view(np.int64).tolist()):
                     bands[i] = keys
         taken = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -121,29 +127,59 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["row", "id", "word", "words", "digest", "bands", "text"])
 
 
-def shingle_set(text: Column) -> Column:
-    words = F.split(text, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+def shingle_set(text: str) -> frozenset:
+    words = text.split(" ")
+    return frozenset(zip(*[words[i:] for i in range(SHINGLE)]))
+
+
+def alike(similarity: float):
+    @F.pandas_udf("boolean")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        sets = lru_cache(1024)(shingle_set)
+        for one, other in batches:
+            found = []
+            for a, b in zip(one, other):
+                s, t = sets(a), sets(b)
+                common = len(s & t)
+                found.append(common >= similarity * (len(s) + len(t) - common))
+            yield pd.Series(found, dtype="bool")
+
+    return compared
+
+
+def band_pairs(lines: DataFrame) -> DataFrame:
+    """(a, b): pairs of digests of (digest, bands), digests being unique, to be compared because they share a band.
+
+    What shares a band is not paired with each other but with three of the band (the first and last by digest, and the
+    first by another order), so a band of any size costs a few rows for each member."""
+    keyed = lines.select("digest", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    met = written(keyed.join(shared, "key"))
+    marks = met.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.min(F.xxhash64("digest")).alias("z"))
+    other = met.select(F.xxhash64("digest").alias("z"), F.col("digest").alias("to"), "key").join(marks.select("key", "z"), ["key", "z"]).select("key", "to")
+    to = marks.select("key", F.explode(F.array("x", "y")).alias("to")).unionByName(other).distinct()
+    return written(met.join(to, "key").where("digest <> to").select(F.least("digest", "to").alias("a"), F.greatest("digest", "to").alias("b")).distinct())
 
 
 def near_links(units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): pairs of different paragraphs (by digest) whose word shingles have at least that Jaccard similarity.
 
-    Equal paragraphs are folded first. Paragraphs that share a band are not paired with each other but with three of the band (the
-    first and last by digest, and the first by another order), so a band of any size costs one row for each member; the
-    exact similarity decides."""
-    lines = units.where("bands is not null").groupBy("digest").agg(F.min("bands").alias("bands"))
-    keyed = lines.select("digest", F.explode("bands").alias("key"))
-    other = F.xxhash64("digest")
-    marks = keyed.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.min_by("digest", other).alias("z")).where("x <> y")
-    met = keyed.join(marks, "key").select("digest", F.explode(F.array("x", "y", "z")).alias("to")).where("digest <> to")
-    pairs = met.select(F.least("digest", "to").alias("a"), F.greatest("digest", "to").alias("b")).distinct()
+    Equal paragraphs are folded first; of those that ``band_pairs`` brings together the exact similarity decides."""
+    pairs = band_pairs(units.where("bands is not null").groupBy("digest").agg(F.min("bands").alias("bands")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = units.where("text is not null").select("digest", "text").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    texts = units.where("text is not null").select("digest", "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("_b")), "b")
-    sets = both.select("a", "b", shingle_set(F.col("_a")).alias("s"), shingle_set(F.col("_b")).alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    return sets.where(common >= F.lit(similarity) * (F.size("s") + F.size("t") - common)).select("a", "b")
+    return both.where(alike(similarity)("_a", "_b")).select("a", "b")
+
+
+def held_by(held: np.ndarray):
+    """Rows (row, id, word, words, digest) whose digest the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held, batch.column(4).to_numpy().view(np.uint64))))
+
+    return run
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -162,13 +198,14 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "
     kind = rows.select(ident).schema[0].dataType.simpleString()
     units = written(rows.select(F.monotonically_increasing_id(), ident, text).mapInArrow(
         list_units, f"row long, id {kind}, word long, words long, digest long, bands array<long>, text string"))
+    # most digests occur in one row only; those go before anything else is joined
+    several = units.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("digest")
+    roots = written(components(near_links(units, similarity)).select(F.col("node").alias("digest"), F.col("root").alias("class_id")))
+    classes = written(several.join(roots, "digest", "full_outer").select("digest", F.coalesce("class_id", "digest").alias("class_id")))
+    held = held_digests(classes, filter_bits(classes.count()))
+    kept = units.select("row", "id", "word", "words", "digest").mapInArrow(held_by(held), f"row long, id {kind}, word long, words long, digest long")
+    found = written(kept.join(classes, "digest").drop("digest"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "word")
-    # most digests occur once: what is known of each is folded before classes are made
-    folded = written(units.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")))
-    roots = components(near_links(units, similarity))
-    linked = folded.join(roots, folded["digest"] == roots["node"]).select("digest", "low", "high", "first", F.col("root").alias("class_id"))
-    near = linked.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low < high")
-    equal = folded.where("low < high").join(roots.select(F.col("node").alias("digest")), "digest", "left_anti").select("digest", F.col("digest").alias("class_id"), "first")
-    classes = equal.unionByName(linked.select("digest", "class_id").join(near.select("class_id", "first"), "class_id"))
-    found = units.select("row", "id", "word", "words", "digest").join(classes, "digest")
-    return found.select("row", "id", "word", "words", "class_id", ((F.col("row") == F.col("first.row")) & (F.col("word") == F.col("first.word"))).alias("kept"))
+    firsts = found.groupBy("class_id").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low < high")
+    listed = found.join(firsts.select("class_id", "first"), "class_id")
+    return listed.select("row", "id", "word", "words", "class_id", ((F.col("row") == F.col("first.row")) & (F.col("word") == F.col("first.word"))).alias("kept"))
