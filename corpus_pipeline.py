@@ -14,8 +14,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints are linked: the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group whose fingerprints are linked, or whose five-word shingles are alike by 0.8 or more: the one with
+    the smallest id."""
+    return simhash.deduplicated(docs, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

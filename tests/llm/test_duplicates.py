@@ -92,6 +92,25 @@ def test_near_duplicates_by_hand(spark):
     assert simhash.near_duplicates(tables.empty(spark)).count() == 0
 
 
+def test_edited_copies_are_linked_by_similarity(spark):
+    r = random.Random(15)
+    rows, groups = [], 80
+    for g in range(groups):
+        base = words(r, r.choice([150, 300, 600])).split()
+        for c in range(3):
+            text = list(base)
+            for at in r.sample(range(len(text)), max(1, len(text) // 200)):
+                text[at] = words(r, 1)
+            rows.append((3 * g + c, " ".join(text), "s"))
+    clean = [(1000 + i, words(r, 150), "s") for i in range(100)]
+    kept = {x.doc_id for x in simhash.deduplicated(tables.documents(spark, rows + clean), similarity=0.8).collect()}
+    left = [len(kept & {3 * g, 3 * g + 1, 3 * g + 2}) for g in range(groups)]
+    assert kept >= {i for i, _, _ in clean} and min(left) == 1 and sum(x == 1 for x in left) >= 0.9 * groups
+    awkward = tables.awkward(spark)
+    assert simhash.deduplicated(awkward, similarity=0.8).count() == simhash.deduplicated(awkward).count()
+    assert simhash.deduplicated(tables.empty(spark), similarity=0.8).count() == 0
+
+
 def words(r, n):
     return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 7))) for _ in range(n))
 

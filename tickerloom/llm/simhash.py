@@ -6,16 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import seal, sealed_column, unseal, written
 from tickerloom.llm.components import components
+from tickerloom.llm.paragraphs import LEAST_BANDED, SHINGLE, band_pairs, rolling, signatures
 
 BITS = 64
 SEED = 42
 BLOCK = 1 << 15
+#: Bins of a sketch, of which each compares one shingle of either text; and distinct words a task remembers.
+SKETCH_BITS = 7
+#: About the standard error of a sketch at a similarity of 0.8; pairs so little below pass, so that few at it are lost.
+MARGIN = 0.03
+KNOWN = 200_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -50,6 +57,57 @@ def fingerprints(words: int):
     return made
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, bands, sketch) of texts (fp, text): band keys of the text as one paragraph, and the least shingle hash in each of SKETCH
+    bins of hash values (-1 for an empty bin). Texts too short to differ a little have none."""
+    hashes = WordHashes()
+    for batch in batches:
+        row, bands, sketches = [], [], []
+        for r, text in enumerate(batch.column(1).to_pylist()):
+            if len(hashes) > KNOWN:
+                hashes.clear()
+            found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            if len(found) < LEAST_BANDED:
+                continue
+            shingles = rolling(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)), SHINGLE)
+            row.append(r)
+            bands.append(signatures(shingles, np.zeros(1, np.int64))[0].view(np.int64).tolist())
+            ordered = np.sort(shingles)
+            bins, first = np.unique(ordered >> np.uint64(64 - SKETCH_BITS), return_index=True)
+            sketch = np.full(1 << SKETCH_BITS, -1, np.int32)
+            sketch[bins.astype(np.int64)] = (ordered[first] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            sketches.append(sketch.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["fp", "bands", "sketch"])
+
+
+def sketches_alike(similarity: float):
+    @F.pandas_udf("boolean")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for one, other in batches:
+            found = []
+            for a, b in zip(one, other):
+                x, y = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+                found.append(bool(((x == y) & (x >= 0)).sum() >= (similarity - MARGIN) * ((x >= 0) | (y >= 0)).sum()))
+            yield pd.Series(found, dtype="bool")
+
+    return compared
+
+
+def similar_links(hashed: DataFrame, text: Column, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of texts whose sets of five-word shingles have about that Jaccard similarity or more, found by MinHash
+    bands and judged by sketches, for pairs of texts that a few edits set further apart than the radius."""
+    units = written(hashed.select("_fp", text).mapInArrow(sketched, "fp long, bands array<long>, sketch binary").dropDuplicates(["fp"]))
+    pairs = band_pairs(units.select(F.col("fp").alias("digest"), "bands"))
+    side = lambda c: units.select(F.col("fp").alias(c), F.col("sketch").alias(f"_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sketches_alike(similarity)("_a", "_b")).select("a", "b")
+
+
 def covering_masks(radius: int) -> list[int]:
     """Masks of kept bits such that any ``radius`` positions lie outside one of them.
 
@@ -91,19 +149,23 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return balls.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text",
+                    similarity: float | None = None) -> DataFrame:
     """Adds fingerprint (16 hexadecimal digits), component_id (the smallest id reachable over links), component_print (the
     component's smallest fingerprint as a signed number, in the same form) and stays.
 
     Copies are first folded into one fingerprint each, so a group of equal texts costs one row in every later step. ``stays`` is true for
     the rows that have the smallest id of their component. Texts without words, null ones included, have fingerprint zero and are linked like
-    others. Null ids are never a component's id unless all are null; then component_id is null and those rows stay. Repeated rows are rows
-    of their own. Input columns named like an added one are replaced. An empty table gives no rows."""
+    others. Null ids are never a component's id unless all are null; then component_id is null and those rows stay. With ``similarity``
+    texts whose five-word shingles are that alike are linked too, however many bits differ. Repeated rows are rows of their own. Input columns named like an added one are replaced. An empty table gives no rows."""
     rows, names = seal(docs)
     ident = F.col(sealed_column(names, id_column))
     hashed = written(rows.withColumn("_fp", fingerprints(words)(F.col(sealed_column(names, text_column)))))
     prints = written(hashed.groupBy(F.col("_fp").alias("fp")).agg(F.min(ident).alias("least")))
-    roots = components(links(prints.select("fp"), radius))
+    edges = links(prints.select("fp"), radius)
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(hashed, F.col(sealed_column(names, text_column)), similarity))
+    roots = components(edges)
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
@@ -112,10 +174,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column:
     return unseal(joined, names, ("fingerprint", "component_id", "component_print", "stays"))
 
 
-def deduplicated(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text",
+                 similarity: float | None = None) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the one with the smallest id, of repeated (or only null) ids the one
     with the smallest text digest."""
-    rows, names = seal(near_duplicates(docs, words, radius, id_column, text_column).where("stays"))
+    rows, names = seal(near_duplicates(docs, words, radius, id_column, text_column, similarity).where("stays"))
     text, component = F.col(sealed_column(names, text_column)), F.col(sealed_column(names, "component_print"))
     first = F.row_number().over(Window.partitionBy(component).orderBy(F.md5(text.cast("binary"))))
     return unseal(rows.withColumn("_first", first).where("_first = 1"), names).select(*docs.columns)
