@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import null_safe, seal, sealed_column, unseal, written
+from tickerloom.llm.filters import filter_bits, held_digests, may_hold
 
 #: Units that follow a number (fixed values).
 UNITS = frozenset("""% ° cm mm km m mi ft in yd inch inches foot feet mile miles meter meters metre metres kg g mg lb lbs oz ounce ounces pound
@@ -22,10 +24,12 @@ NAMES = frozenset("""alice anna bob carol charlie david emily emma eve frank geo
 mark mary michael mike noah olivia paul peter rachel robert sam sarah sophia susan tom william""".split())
 NUMBER, UNIT, NAME, WORD_KIND = 1, 2, 3, 0
 PLACES = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}
-EDGE = re.compile(r"^[^\w$€£%°]+|[^\w%°]+$")
+#: What is stripped before and behind a token.
+BEFORE = "!\"#&'()*+,-./:;<=>?@[\\]^`{|}~“”„«»‹›…–—¡¿’‘·•"
+BEHIND = BEFORE + "$€£"
+ENDS = ("", ".", "!", "?", ":", "…")
 NUMERIC = re.compile(r"[$€£]?\d[\d.,:/]*")
 ATTACHED = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°])")
-CAPITAL = re.compile(r"[^\W\d_][^\W\d_'’-]*\Z")
 DIGIT = re.compile(r"\d")
 
 WINDOW = 8
@@ -37,13 +41,11 @@ SPAN = 13
 SHORTEST_ITEM = 5
 #: Distinct tokens a task remembers before it forgets them all.
 KNOWN = 200_000
-#: Bits of the filter that tasks hold: sixteen for each benchmark window within these bounds, so at most 8 MB.
-FILTER_BITS = (1 << 16, 1 << 26)
-STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(text)
 
 
 class Tokens(dict):
@@ -52,29 +54,45 @@ class Tokens(dict):
     def __init__(self):
         super().__init__()
         self.low: list[str] = []
-        self.kind, self.capital, self.ends = np.zeros(1024, np.int8), np.zeros(1024, np.bool_), np.zeros(1024, np.bool_)
-        self.literal = np.zeros(1024, np.uint64)
+        self.kind, self.capital, self.ends, self.literal = array("b"), array("b"), array("b"), array("Q")
 
     def __missing__(self, token: str) -> int:
-        core = EDGE.sub("", token)
+        core = token.lstrip(BEFORE).rstrip(BEHIND)
         low = core.lower()
-        kind = WORD_KIND
-        if NUMERIC.fullmatch(core):
+        kind, first = WORD_KIND, core[:1]
+        if not first.isalpha() and NUMERIC.fullmatch(core):
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
-        elif low in NAMES and core[:1].isupper():
+        elif low in NAMES and first.isupper():
             kind = NAME
-        n = len(self.low)
-        if n == len(self.kind):
-            self.kind, self.capital, self.ends, self.literal = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.capital, self.ends, self.literal))
+        self[token] = n = len(self.low)
         self.low.append(low)
-        self.kind[n], self.literal[n] = kind, digest(low)
-        self.capital[n] = kind == WORD_KIND and core[:1].isupper() and CAPITAL.match(core) is not None and core[1:].islower()
-        self.ends[n] = token.rstrip("\"'”»)")[-1:] in ("", ".", "!", "?", ":", "…")
-        self[token] = n
+        self.kind.append(kind)
+        self.literal.append(digest(low))
+        self.capital.append(kind == WORD_KIND and first.isupper() and core[1:].islower())
+        self.ends.append(token.rstrip("\"'”»)")[-1:] in ENDS)
         return n
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Kinds, digests, capitals and sentence ends; not to be held while tokens are learnt."""
+        return (np.frombuffer(self.kind, np.int8), np.frombuffer(self.literal, np.uint64), np.frombuffer(self.capital, np.bool_), np.frombuffer(self.ends, np.bool_))
+
+
+def runs_hash(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` values: runs of 1, 2, 4, ... are put together, so it takes a few passes for any length."""
+    n = len(values) - length + 1
+    out, done = None, 0
+    part, size, factor = values, 1, STEP
+    while True:
+        if length & size:
+            out = part[:n].copy() if out is None else out * factor + part[done:done + n]
+            done += size
+        if 2 * size > length:
+            return out * STEP + np.uint64(length)
+        part = part[:-size] * factor + part[size:]
+        size, factor = 2 * size, np.uint64(int(factor) ** 2 % 2 ** 64)
+
 
 class Templates:
     """Template windows of texts: numbers, units after numbers and names become typed places, other words stay."""
@@ -91,9 +109,9 @@ class Templates:
             text = ATTACHED.sub(" ", text)
         found = text.split()
         ids = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        kind, literal, capital = self.known.kind[ids], self.known.literal[ids], self.known.capital[ids]
+        kind, literal, capital, ends = (table[ids] for table in self.known.tables())
         begins, counted = np.ones(len(ids), np.bool_), np.zeros(len(ids), np.bool_)
-        begins[1:], counted[1:] = self.known.ends[ids[:-1]], kind[:-1] == NUMBER
+        begins[1:], counted[1:] = ends[:-1], kind[:-1] == NUMBER
         kind[(kind == UNIT) & ~counted] = WORD_KIND
         kind[(kind == WORD_KIND) & capital & ~begins] = NAME  # a capital inside a sentence
         template = literal.copy()
@@ -104,10 +122,8 @@ class Templates:
             n = len(ids) - length + 1
             if n < 1:
                 continue
-            rough, exact = np.full(n, length, np.uint64), np.full(n, length + 1000, np.uint64)
-            for j in range(length):
-                rough = rough * STEP + template[j:j + n]
-                exact = exact * STEP + literal[j:j + n]
+            rough, exact = runs_hash(template, length), runs_hash(literal, length)
+            exact ^= SALT  # word for word: another hash than that of the same tokens as a template
             loose = words[length:] - words[:n] >= min(self.least_words, length)
             yield length, exact ^ (exact >> np.uint64(29)), rough ^ (rough >> np.uint64(29)), loose, kind, ids
 
@@ -122,7 +138,6 @@ def scan(window: int, least_words: int, lengths, held: np.ndarray | None, whole_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(window, least_words)
-        mask = np.uint64(len(held) * 8 - 1) if held is not None else None
         for batch in batches:
             row, tokens, long, place, digests, slots = [], [], [], [], [], []
             for r, text in enumerate(batch.column(2).to_pylist()):
@@ -136,9 +151,7 @@ def scan(window: int, least_words: int, lengths, held: np.ndarray | None, whole_
                     for digest_, is_template in ((exact, False), (rough, True)):
                         hits = loose if is_template else np.ones(len(exact), np.bool_)
                         if held is not None:
-                            a, b = digest_ & mask, (digest_ >> np.uint64(32)) & mask
-                            one, two = (held[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1 for x in (a, b))
-                            hits = hits & (one & two).astype(np.bool_)
+                            hits = hits & may_hold(held, digest_)
                         at = np.nonzero(hits)[0]
                         row += [r] * len(at)
                         tokens += [len(ids)] * len(at)
@@ -159,17 +172,6 @@ def listed(table: DataFrame, id_type: str, run) -> DataFrame:
     return table.mapInArrow(run, f"key long, id {id_type}, tokens int, length int, at int, digest long, slots array<string>")
 
 
-def held_digests(windows: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of ``bits`` bits with two of them for each digest, put together from at most bits / 64 aggregated words."""
-    low = F.explode(F.array("digest", F.shiftrightunsigned("digest", 32))).alias("x")
-    words = windows.select(low).select(F.col("x").bitwiseAND(F.lit(bits - 1)).alias("x")).groupBy(F.shiftright("x", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))).alias("held"))
-    held = np.zeros(bits // 64, np.int64)
-    for word, value in words.collect():
-        held[word] = value
-    return held.view(np.uint8)
-
-
 def row_key(id_column, text_column):
     """Tells rows apart without a shuffle: equal rows share it, null ids and null texts have it too."""
     return F.xxhash64(null_safe(id_column), null_safe(text_column))
@@ -196,8 +198,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: i
     item_type = items.select(item).schema[0].dataType.simpleString()
     wanted = written(listed(items.select(F.monotonically_increasing_id(), item, item_text), item_type, scan(window, least_words, None, None, True)))
     found = wanted.groupBy("length").agg(F.count(F.lit(1))).collect()  # at most ``window`` rows
-    bits = min(max(1 << (16 * sum(r[1] for r in found)).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    held = held_digests(wanted, bits)
+    held = held_digests(wanted, filter_bits(sum(r[1] for r in found)))
     hits = listed(rows.select(row_key(ident, text), ident, text), rows.select(ident).schema[0].dataType.simpleString(),
                   scan(window, least_words, sorted(r[0] for r in found), held, False))
     left = wanted.select("length", "digest", F.col("key").alias("item_key"), F.col("id").alias("item_id"), F.col("tokens").alias("item_tokens"),
