@@ -83,8 +83,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", t
 
     Rows of equal text form an atomic group; groups stand in the order of their digest and are cut into ``shards``
     contiguous shards whose largest is as small as it can be (law ``bytes``). ``slot`` numbers a shard's rows from 0 without
-    gaps. A group of any number of copies is dealt into cells by a hash of the row's id, so neither its sizes nor its
-    slots are counted in one task.
+    gaps. A group of any number of copies is dealt into parts by a hash of the row's id, so neither its sizes nor its
+    slots are counted in one task; the parts of a group, fewer than cells, meet as one row each.
 
     Size is the UTF-8 length plus 1, of null text 1; null texts form one group apart from empty ones and have a null
     text_crc32. Repeated rows are rows of their own. With fewer groups than shards the last shards stay empty. Input columns
@@ -94,7 +94,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", t
     cells = cells_for(spark, docs.count())
     text, ident = F.col(sealed_column(names, text_column)), F.col(sealed_column(names, id_column))
     keyed = rows.select("*", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                        F.md5(null_safe(text).cast("binary")).alias("_key"), F.pmod(F.xxhash64(ident), F.lit(cells)).alias("_part"))
+                        F.md5(null_safe(text).cast("binary")).alias("_key"), F.pmod(F.xxhash64(ident), F.lit(-(-cells // 4))).alias("_part"))
     parts = keyed.groupBy("_key", "_part").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")).withColumn("_cell", cell_of(F.col("_key"), cells))
     in_cell = Window.partitionBy("_cell").orderBy("_key")
     counted = written(parts.select(
