@@ -169,3 +169,38 @@ def test_paragraphs_awkward(spark):
     rows = sorted((x.id is None, x.id or 0, x.word, x.words, x.kept) for x in got.collect())
     assert (False, 11, 1, 6, True) in rows and sum(x[0] for x in rows) == 2 and {12, 13} <= {x[1] for x in rows}
     assert paragraphs.repeated(tables.empty(spark)).count() == 0
+
+
+def jaccard(a, b):
+    s, t = ({tuple(x[k:k + 5]) for k in range(len(x) - 4)} for x in (a.split(), b.split()))
+    return len(s & t) / len(s | t)
+
+
+def test_similarity_of_texts_is_decided_exactly(spark):
+    r = random.Random(17)
+    texts, pairs = [], []
+    for i in range(300):
+        a = words(r, 150).split()
+        b = list(a)
+        for at in r.sample(range(5, 145), 3 + i % 3):
+            b[at] = words(r, 1) + "x"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(a), " ".join(b)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    edges = simhash.similar_links(tables.documents(spark, rows, False).withColumn("_fp", F.col("doc_id")), F.col("text"), 0.8).collect()
+    found = {(min(x.a, x.b), max(x.a, x.b)) for x in edges}
+    near = {(i, j) for i, j in pairs if jaccard(texts[i], texts[j]) >= 0.8}
+    assert 100 < len(near) < 250 and found <= near and len(found) >= 0.97 * len(near)
+
+
+def test_every_text_of_a_fingerprint_is_linked(spark):
+    r = random.Random(18)
+    rows = []
+    for g in range(40):  # fingerprint g has two unlike texts, and each of them a near copy with a fingerprint of its own
+        for k in (1, 2):
+            text = words(r, 100)
+            rows += [(g, text), (1000 * k + g, text + " tail")]
+    hashed = spark.createDataFrame(rows, "_fp long, text string")
+    edges = {(x.a, x.b) for x in simhash.similar_links(hashed, F.col("text"), 0.8).collect()}
+    both = {(min(e), max(e)) for e in edges}
+    assert both == {(g, 1000 * k + g) for g in range(40) for k in (1, 2)}

@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import seal, sealed_column, unseal, written
 from tickerloom.llm.components import components
-from tickerloom.llm.paragraphs import LEAST_BANDED, SHINGLE, band_pairs, rolling, signatures
+from tickerloom.llm.paragraphs import LEAST_BANDED, SHINGLE, near_links, rolling, signatures
 
 BITS = 64
 SEED = 42
 BLOCK = 1 << 15
-#: Bins of a sketch, of which each compares one shingle of either text; and distinct words a task remembers.
-SKETCH_BITS = 7
-#: About the standard error of a sketch at a similarity of 0.8; pairs so little below pass, so that few at it are lost.
-MARGIN = 0.03
+#: Distinct words a task remembers.
 KNOWN = 200_000
 
 
@@ -63,12 +60,12 @@ class WordHashes(dict):
         return found
 
 
-def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, bands, sketch) of texts (fp, text): band keys of the text as one paragraph, and the least shingle hash in each of SKETCH
-    bins of hash values (-1 for an empty bin). Texts too short to differ a little have none."""
+def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, fp, bands, text) of texts (fp, text): each as one paragraph, its words in lower case joined by blanks, with the digest and
+    the band keys of that. Texts too short to differ a little are left out."""
     hashes = WordHashes()
     for batch in batches:
-        row, bands, sketches = [], [], []
+        row, digests, bands, texts = [], [], [], []
         for r, text in enumerate(batch.column(1).to_pylist()):
             if len(hashes) > KNOWN:
                 hashes.clear()
@@ -76,36 +73,25 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found) < LEAST_BANDED:
                 continue
             shingles = rolling(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)), SHINGLE)
+            joined = b" ".join(found)
             row.append(r)
+            digests.append(xxhash.xxh64_intdigest(joined) - (1 << 63))
             bands.append(signatures(shingles, np.zeros(1, np.int64))[0].view(np.int64).tolist())
-            ordered = np.sort(shingles)
-            bins, first = np.unique(ordered >> np.uint64(64 - SKETCH_BITS), return_index=True)
-            sketch = np.full(1 << SKETCH_BITS, -1, np.int32)
-            sketch[bins.astype(np.int64)] = (ordered[first] & np.uint64(0x7FFFFFFF)).astype(np.int32)
-            sketches.append(sketch.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["fp", "bands", "sketch"])
-
-
-def sketches_alike(similarity: float):
-    @F.pandas_udf("boolean")
-    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for one, other in batches:
-            found = []
-            for a, b in zip(one, other):
-                x, y = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
-                found.append(bool(((x == y) & (x >= 0)).sum() >= (similarity - MARGIN) * ((x >= 0) | (y >= 0)).sum()))
-            yield pd.Series(found, dtype="bool")
-
-    return compared
+            texts.append(joined.decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string())],
+                                         names=["digest", "fp", "bands", "text"])
 
 
 def similar_links(hashed: DataFrame, text: Column, similarity: float) -> DataFrame:
-    """(a, b): fingerprints of texts whose sets of five-word shingles have about that Jaccard similarity or more, found by MinHash
-    bands and judged by sketches, for pairs of texts that a few edits set further apart than the radius."""
-    units = written(hashed.select("_fp", text).mapInArrow(sketched, "fp long, bands array<long>, sketch binary").dropDuplicates(["fp"]))
-    pairs = band_pairs(units.select(F.col("fp").alias("digest"), "bands"))
-    side = lambda c: units.select(F.col("fp").alias(c), F.col("sketch").alias(f"_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sketches_alike(similarity)("_a", "_b")).select("a", "b")
+    """(a, b): fingerprints of texts whose sets of five-word shingles have that Jaccard similarity or more, found by MinHash bands and
+    judged exactly, for pairs of texts that a few edits set further apart than the radius.
+
+    Every different text takes part for itself; only the pairs found are put down to fingerprints."""
+    units = written(hashed.select("_fp", text).mapInArrow(whole_texts, "digest long, fp long, bands array<long>, text string"))
+    pairs = near_links(units, similarity)
+    prints = units.select("digest", "fp").join(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    side = lambda c: prints.select(F.col("digest").alias(c), F.col("fp").alias(f"_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def covering_masks(radius: int) -> list[int]:
