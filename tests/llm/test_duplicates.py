@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import xxhash
 
 from pyspark.sql import functions as F
@@ -176,6 +177,38 @@ def jaccard(a, b):
     return len(s & t) / len(s | t)
 
 
+def boilerplate_pairs(r, pairs, shares, length=100):
+    """Texts two by two, alike by about 0.84, all of which share their first words with all others."""
+    common = words(r, length).split()
+    texts = []
+    for i in range(pairs):
+        held = int(length * shares[i % len(shares)])
+        a = common[:held] + words(r, length - held).split()
+        b = list(a)
+        b[r.randrange(held + 3, length - 3)] = words(r, 1) + "x"
+        b[r.randrange(3, held - 3)] = words(r, 1) + "y"
+        texts += [" ".join(a), " ".join(b)]
+    return texts
+
+
+def test_near_pairs_among_shared_boilerplate_are_all_linked(spark):
+    r = random.Random(16)
+    texts = boilerplate_pairs(r, 400, (0.5, 0.6, 0.7, 0.8))
+    units = next(paragraphs.list_units([pa.record_batch({"row": list(range(len(texts))), "id": list(range(len(texts))), "text": texts})])).to_pylist()
+    whole = [u for u in units if u["bands"]]
+    at = {u["digest"]: u["row"] for u in whole}
+    bands = {u["row"]: set(u["bands"]) for u in whole}
+    edges = paragraphs.near_links(spark.createDataFrame([(u["digest"], u["bands"], u["text"]) for u in whole], "digest long, bands array<long>, text string"))
+    got = {at[x.node]: x.root for x in components.components(edges).collect()}
+    assert all(jaccard(texts[at[x.a]], texts[at[x.b]]) >= 0.8 for x in edges.collect())
+    near = [(i, i + 1) for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8 and bands[i] & bands[i + 1]]
+    assert len(near) > 350 and all(i in got and got[i] == got.get(j) for i, j in near)
+    # what is alike across pairs is linked as well
+    for i, j in itertools.combinations(range(0, len(texts), 7), 2):
+        if bands[i] & bands[j] and jaccard(texts[i], texts[j]) >= 0.8:
+            assert got[i] == got[j]
+
+
 def test_similarity_of_texts_is_decided_exactly(spark):
     r = random.Random(17)
     texts, pairs = [], []

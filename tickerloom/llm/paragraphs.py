@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import seal, sealed_column, written
@@ -23,6 +23,10 @@ BANDS, ROWS = 5, 2
 #: Fewer words make no other paragraph of that similarity: one shingle more or less is over a fifth.
 LEAST_BANDED = SHINGLE + 3
 SIMILARITY = 0.8
+#: Of a band of no more different texts all pairs are compared at once.
+FEW = 8
+#: All pairs left are compared when they are no more than so many times the rows they are made of.
+ALL_LEFT = 20
 #: Paragraphs of more words are also compared in parts, cut where the text itself says.
 LONG = 40
 #: A part begins where the hash of three words is the least of so many on either side.
@@ -147,29 +151,132 @@ def alike(similarity: float):
     return compared
 
 
-def band_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b): pairs of digests of (digest, bands), digests being unique, to be compared because they share a band.
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, digest, n): the rows of (digest, key) whose key several have, n being how many."""
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(keyed.join(counts, "key").select("key", "digest", "n"))
 
-    What shares a band is not paired with each other but with three of the band (the first and last by digest, and the
-    first by another order), so a band of any size costs a few rows for each member."""
-    keyed = lines.select("digest", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = written(keyed.join(shared, "key"))
-    marks = met.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.min(F.xxhash64("digest")).alias("z"))
-    other = met.select(F.xxhash64("digest").alias("z"), F.col("digest").alias("to"), "key").join(marks.select("key", "z"), ["key", "z"]).select("key", "to")
-    to = marks.select("key", F.explode(F.array("x", "y")).alias("to")).unionByName(other).distinct()
-    return written(met.join(to, "key").where("digest <> to").select(F.least("digest", "to").alias("a"), F.greatest("digest", "to").alias("b")).distinct())
 
+def representative_pairs(met: DataFrame, salt: int = 0) -> DataFrame:
+    """(a, b): each digest of (key, digest) with three of its key: the first and last by digest, or by another order for another
+    ``salt``, and the first by yet another."""
+    order = F.xxhash64("digest", F.lit(salt)) if salt else F.col("digest")
+    other = F.xxhash64(F.lit(salt), "digest") if salt else F.xxhash64("digest")
+    marks = met.groupBy("key").agg(*[f(F.struct(x, F.col("digest").alias("to")))["to"].alias(c) for f, x, c in (
+        (F.min, order.alias("o"), "x"), (F.max, order.alias("o"), "y"), (F.min, other.alias("o"), "z"))])
+    to = marks.select("key", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("to"))
+    return met.join(to, "key").where("digest <> to").select(F.least("digest", "to").alias("a"), F.greatest("digest", "to").alias("b")).distinct()
+
+
+def band_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): pairs of digests of (key, digest, n) to be compared first: all of a key of ``FEW`` members, of others each member with
+    three of them."""
+    all_of = F.sort_array(F.collect_list("digest")).alias("all")  # at most FEW
+    few = met.where(F.col("n") <= FEW).groupBy("key").agg(all_of).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
+    return written(few.unionByName(representative_pairs(met.where(F.col("n") > FEW))).distinct())
+
+
+def held_texts(held: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
+def texts_of(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, text) of the wanted digests (unique); a bounded filter keeps most other texts out of the shuffle."""
+    held = held_digests(wanted, filter_bits(wanted.count()))
+    likely = units.where("text is not null").select("digest", "text").mapInArrow(held_texts(held), "digest long, text string")
+    return likely.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
 
-def near_links(units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): pairs of different paragraphs (by digest) whose word shingles have at least that Jaccard similarity.
 
-    Equal paragraphs are folded first; of those that ``band_pairs`` brings together the exact similarity decides."""
-    pairs = band_pairs(units.where("bands is not null").groupBy("digest").agg(F.min("bands").alias("bands")))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = units.where("text is not null").select("digest", "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose word shingles have at least that Jaccard similarity."""
+    texts = texts_of(units, written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("_b")), "b")
-    return both.where(alike(similarity)("_a", "_b")).select("a", "b")
+    return written(both.where(alike(similarity)("_a", "_b")).select("a", "b"))
+
+
+def still_open(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of (key, digest, ...) whose key has members of several components of the links, with their component as ``root``."""
+    roots = components(links).select(F.col("node").alias("digest"), "root")
+    named = keyed.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return written(named.join(several, "key"))
+
+
+def list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, size, shingle) of texts (digest, text): the distinct shingles of each and their number."""
+    hashes = WordHashes()
+    for batch in batches:
+        row, sizes, found = [], [], [np.zeros(0, np.uint64)]
+        for r, text in enumerate(batch.column(1).to_pylist()):
+            if len(hashes) > KNOWN:
+                hashes.clear()
+            words = text.encode("utf-8", "replace").split(b" ")
+            found.append(np.unique(rolling(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), SHINGLE)))
+            row.append(r)
+            sizes.append(len(found[-1]))
+        each = np.repeat(np.array(row, np.int64), sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(each)), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(found).view(np.int64))],
+                                         names=["digest", "size", "shingle"])
+
+
+def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, digest, size): the rarest shingles of each text, so many that two texts of that similarity have one of them in common.
+
+    The shingles of all texts stand in one order, rarest first. If two texts share a share of ``similarity`` of each one's shingles, they
+    share one of the first size - similarity * size + 1 of each. What many have in common is thereby left out."""
+    listed = written(texts.mapInArrow(list_shingles, "digest long, size int, shingle long"))
+    counts = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    at = F.row_number().over(Window.partitionBy("digest").orderBy("n", "shingle"))
+    first = listed.join(counts, "shingle").withColumn("at", at).where((F.col("n") > 1) & (F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1))
+    return written(first.select(F.col("shingle").alias("key"), "digest", "size"))
+
+
+def rest_links(members: DataFrame, links: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): ``links`` and what else is alike among the members (digest).
+
+    Members that have a rare shingle in common and are not linked yet, directly or not, are compared: with three of the shingle and, as long
+    as that links much, with three others; then all pairs that are left."""
+    keyed = rare_shingles(texts_of(units, members), similarity)
+    salt, linked = 0, 1
+    while True:
+        left = still_open(keyed, links)
+        by_root = left.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("key").agg(F.sum("s").alias("n"), F.sum(F.col("s") * F.col("s")).alias("same"))
+        n, pairs = by_root.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not n:
+            return links
+        every = pairs <= ALL_LEFT * n or not linked
+        if every:
+            one, other = (left.select("key", F.col("digest").alias(c), F.col("root").alias(f"root_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+            alike_sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+            chosen = one.join(other, "key").where((F.col("root_a") < F.col("root_b")) & alike_sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            salt += 1
+            chosen = representative_pairs(left, salt)
+        more = verified(written(chosen), units, similarity)
+        links = written(links.unionByName(more).distinct())
+        if every:
+            return links
+        linked = not more.isEmpty()
+        keyed = left.drop("root")
+
+
+def near_links(units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of different texts (digest, bands, text) whose word shingles have at least that Jaccard similarity, enough to connect
+    all such pairs that share a band.
+
+    Equal texts are folded first. Of a band of few all pairs are compared, of a larger one each member with three of it. If that does
+    not connect the whole band, its members are compared by their rare shingles, which leaves out no pair of that similarity."""
+    met = shared_keys(units.where("bands is not null").groupBy("digest").agg(F.min("bands").alias("bands")).select("digest", F.explode("bands").alias("key")))
+    links = verified(band_pairs(met), units, similarity)
+    large = met.where(F.col("n") > FEW).select("key", "digest")
+    if large.isEmpty():
+        return links
+    members = written(still_open(large, links).select("digest").distinct())
+    return links if members.isEmpty() else rest_links(members, links, units, similarity)
 
 
 def held_by(held: np.ndarray):
