@@ -237,3 +237,27 @@ def test_every_text_of_a_fingerprint_is_linked(spark):
     edges = {(x.a, x.b) for x in simhash.similar_links(hashed, F.col("text"), 0.8).collect()}
     both = {(min(e), max(e)) for e in edges}
     assert both == {(g, 1000 * k + g) for g in range(40) for k in (1, 2)}
+
+
+def test_passages_wrapped_differently_are_found(spark):
+    r = random.Random(19)
+    rows, clean = [], set(range(1000, 1060))
+
+    def wrapped(text, width):
+        split = text.split()
+        return "\n".join(" ".join(split[i:i + width]) for i in range(0, len(split), width))
+
+    for p in range(40):
+        passage = words(r, 60)
+        for c, width in enumerate((8, 15, 40)):  # with other text before and behind, so that it begins inside a line
+            rows.append((3 * p + c, wrapped(words(r, r.randrange(1, 40)) + " " + passage + " " + words(r, r.randrange(1, 40)), width), "s"))
+    rows += [(i, wrapped(words(r, 200), r.choice([8, 15, 40])), "s") for i in clean]
+    got = paragraphs.repeated(tables.documents(spark, rows)).collect()
+    assert {x.id for x in got} == set(range(120))
+    texts = {i: t.lower().split() for i, t, _ in rows}
+    by = {}
+    for x in got:
+        by.setdefault(x.class_id, []).append(x)
+    for xs in by.values():
+        assert sum(x.kept for x in xs) == 1 and len({x.id // 3 for x in xs}) == 1
+        assert len({tuple(texts[x.id][x.word:x.word + x.words]) for x in xs}) == 1

@@ -90,7 +90,8 @@ def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, id, word, words, digest, bands, text) of the paragraphs of texts, and of the parts of long ones.
+    """(row, id, word, words, digest, bands, text) of the paragraphs of texts, of the parts of long ones, and of the parts
+    of texts of more than LONG words without regard to their lines.
 
     A paragraph is a line of at least SHINGLE words, A to Z in lower case; ``word`` is the place of its first word in the text. Only whole
     paragraphs of LEAST_BANDED words have bands and text."""
@@ -100,7 +101,7 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, text in enumerate(batch.column(2).to_pylist()):
             if len(hashes) > KNOWN:
                 hashes.clear()
-            place, banded, runs, starts, total = 0, [], [], [], 0
+            place, banded, runs, starts, total, stream, listed = 0, [], [], [], 0, [], set()
             for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
                 words = line.split()
                 n = len(words)
@@ -115,6 +116,7 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         digests.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])) - (1 << 63))
                         bands.append(None)
                         texts.append(None)
+                        listed.add((place + a, place + b))
                     if n >= LEAST_BANDED:
                         banded.append(len(row) - len(spans))
                         texts[banded[-1]] = b" ".join(words).decode("utf-8", "replace")
@@ -122,6 +124,17 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         starts.append(total)
                         total += len(runs[-1])
                 place += n
+                stream += words
+            if place > LONG:  # the whole text as one stream of words, whatever its lines
+                cuts = part_starts(np.fromiter(map(hashes.__getitem__, stream), np.uint64, place))
+                for a, b in zip(cuts, cuts[1:] + [place]):
+                    if b - a >= SHINGLE and (a, b) not in listed:
+                        row.append(r)
+                        at.append(a)
+                        long.append(b - a)
+                        digests.append(xxhash.xxh64_intdigest(b" ".join(stream[a:b])) - (1 << 63))
+                        bands.append(None)
+                        texts.append(None)
             if runs:
                 for i, keys in zip(banded, signatures(np.concatenate(runs), np.array(starts)).view(np.int64).tolist()):
                     bands[i] = keys
@@ -290,10 +303,10 @@ def held_by(held: np.ndarray):
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, id, word, words, class_id, kept): every paragraph, and part of a long one, that some other document has too.
+    """(row, id, word, words, class_id, kept): every paragraph, and part of a long one or of the text, that some other document has too.
 
     Paragraphs are lines of five words or more; those over ``LONG`` words are also compared in parts cut by their own content, so that a passage
-    inside different paragraphs is found. Equal ones form a class by digest; MinHash bands bring near ones together, exact Jaccard similarity of
+    inside different paragraphs is found, and so are texts of more words as a whole, so that a passage is found whatever its line ends. Equal ones form a class by digest; MinHash bands bring near ones together, exact Jaccard similarity of
     word shingles links them, components of links join their classes. Of a class that spans several rows of ``docs`` the first occurrence (by
     id, null last, row and place) is kept; ``kept`` is false for what a dedup removes. ``class_id`` is the same within a class; word and words say
     where in the text, counted in words. Matches within one document alone are not listed.
