@@ -20,8 +20,8 @@ def held_digests(windows: DataFrame, bits: int) -> np.ndarray:
     words = windows.select(low).select(F.col("x").bitwiseAND(F.lit(bits - 1)).alias("x")).groupBy(F.shiftright("x", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))).alias("held"))
     held = np.zeros(bits // 64, np.int64)
-    for word, value in words.collect():
-        held[word] = value
+    found = words.toArrow()  # compact, unlike rows
+    held[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return held.view(np.uint8)
 
 

@@ -211,10 +211,9 @@ def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame
     return written(both.where(alike(similarity)("_a", "_b")).select("a", "b"))
 
 
-def still_open(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of (key, digest, ...) whose key has members of several components of the links, with their component as ``root``."""
-    roots = components(links).select(F.col("node").alias("digest"), "root")
-    named = keyed.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+def still_open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of (key, digest, ...) whose key has members of several components (node, root), with their component as ``root``."""
+    named = keyed.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return written(named.join(several, "key"))
 
@@ -248,15 +247,15 @@ def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
     return written(first.select(F.col("shingle").alias("key"), "digest", "size"))
 
 
-def rest_links(members: DataFrame, links: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): ``links`` and what else is alike among the members (digest).
+def rest_links(members: DataFrame, links: DataFrame, roots: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): ``links``, whose components are ``roots``, and what else is alike among the members (digest).
 
     Members that have a rare shingle in common and are not linked yet, directly or not, are compared: with three of the shingle and, as long
     as that links much, with three others; then all pairs that are left."""
     keyed = rare_shingles(texts_of(units, members), similarity)
     salt, linked = 0, 1
     while True:
-        left = still_open(keyed, links)
+        left = still_open(keyed, roots)
         by_root = left.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("key").agg(F.sum("s").alias("n"), F.sum(F.col("s") * F.col("s")).alias("same"))
         n, pairs = by_root.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not n:
@@ -274,6 +273,7 @@ def rest_links(members: DataFrame, links: DataFrame, units: DataFrame, similarit
         if every:
             return links
         linked = not more.isEmpty()
+        roots = components(links) if linked else roots
         keyed = left.drop("root")
 
 
@@ -288,8 +288,9 @@ def near_links(units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     large = met.where(F.col("n") > FEW).select("key", "digest")
     if large.isEmpty():
         return links
-    members = written(still_open(large, links).select("digest").distinct())
-    return links if members.isEmpty() else rest_links(members, links, units, similarity)
+    roots = components(links)
+    members = written(still_open(large, roots).select("digest").distinct())
+    return links if members.isEmpty() else rest_links(members, links, roots, units, similarity)
 
 
 def held_by(held: np.ndarray):
