@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import chat, decontamination, mixing, paragraphs, sharding, simhash, tokens, topk, toxicity, urls
+from tickerloom.llm import chat, decontamination, mixing, packing, paragraphs, sharding, simhash, tokens, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,15 @@ def op7_substring_dedup(spark, folder):
 @query("op6_token_counts")
 def op6_token_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text"))[["doc_id", "n_tokens"]]
+
+
+#: Vocabulary of the registered packing.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op11_packing")
+def op11_packing(spark, folder):
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), length=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
