@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import chat, decontamination, mixing, packing, paragraphs, sharding, simhash, tokens, topk, toxicity, urls
+from tickerloom.llm import chat, decontamination, mixing, packing, paragraphs, runs, sharding, simhash, tokens, topk, toxicity, urls
+from tickerloom.llm.common import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +157,46 @@ def op11_packing(spark, folder):
 
     packed = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), length=2048)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def crc32_sql(number: str) -> str:
+    """CRC-32 of a whole number's decimal digits: each byte is mixed in, then eight bits are shifted out."""
+    text = f"CAST({number} AS VARCHAR)"
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_concat([CAST(ascii(({text})[i]) AS BIGINT)], list_transform(range(8), lambda z: -1::BIGINT))))"
+    shift = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE {shift} END, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+@query("op12_periodic_runs", rf"""
+WITH r AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql('doc_id')} AS h FROM documents),
+s AS (SELECT *, len(w) AS n, h // 10 AS g FROM r),
+m AS (SELECT *, h % 10 = 0 AND n > 0 AS changed, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM s),
+d AS (SELECT id, doc_id, n, CASE WHEN changed THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM m),
+k AS (SELECT id, w, unnest(range(n)) AS i, n FROM d),
+x AS (SELECT id, i, w[i + 1] AS word, CASE WHEN i + 16 <= n THEN array_to_string(w[i + 1:i + 16], ' ') END AS gram FROM k),
+e AS (SELECT a.id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.id = b.id AND a.gram = b.gram AND a.i < b.i),
+l AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM e),
+f AS (SELECT id, q, min(i) AS start, count(*) + 15 + q AS long FROM l GROUP BY id, q, island),
+u AS (SELECT id, start, long AS length, min(q) AS period FROM f WHERE long >= greatest(24, 3 * q) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS rank FROM u),
+t AS (SELECT id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM u GROUP BY id),
+c AS (SELECT x.id, sha256(coalesce(string_agg(x.word, ' ' ORDER BY x.i), '')) AS collapsed_sha256
+      FROM x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.id = x.id AND x.i >= u.start + u.period AND x.i < u.start + u.length) GROUP BY x.id)
+SELECT d.doc_id, coalesce(t.n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+       coalesce(t.runs_sha256, sha256('')) AS runs_sha256, coalesce(c.collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN t ON t.id = d.id LEFT JOIN best ON best.id = d.id AND best.rank = 1 LEFT JOIN c ON c.id = d.id""")
+def op12_periodic_runs(spark, folder):
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = table(spark, folder, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    sized = split.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = sized.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(tail / F.col("p")).cast("int"))), F.lit(1), tail)
+    planted = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text"))
+    found = runs.periodic_runs(placed.select("doc_id", planted.alias("text")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("doc_id", "runs", "collapsed", runs.strongest(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
