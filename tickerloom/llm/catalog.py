@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import chat, decontamination, mixing, packing, paragraphs, runs, sharding, simhash, tokens, topk, toxicity, urls
+from tickerloom.llm import chat, decontamination, mixing, packing, paragraphs, runs, sharding, simhash, tokens, topk, toxicity, trie, urls
 from tickerloom.llm.common import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,29 @@ def op12_periodic_runs(spark, folder):
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_conversation_prefix_trie", rf"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS own FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, own, {crc32_sql('conv_id')} % 6 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n, turns, unnest(range(len(turns) + 1)) AS depth FROM r),
+k AS (SELECT conv_id, n, depth, md5(CAST(to_json(turns[1:depth]) AS VARCHAR)) AS key, CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS chars FROM p),
+g AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM k GROUP BY depth, key),
+u AS (SELECT g.*, a.key AS parent_key FROM g LEFT JOIN k a ON a.conv_id = g.conv_id AND a.depth = g.depth - 1),
+s AS (SELECT depth, parent_key AS key, count(*) AS n_children FROM (SELECT depth - 1 AS depth, parent_key FROM u WHERE parent_key IS NOT NULL) GROUP BY ALL),
+v AS (SELECT u.*, coalesce(s.n_children, 0) AS n_children FROM u LEFT JOIN s ON s.depth = u.depth AND s.key = u.key),
+t AS (SELECT a.depth, a.key, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens
+      FROM v JOIN k a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.depth, a.key)
+SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN t ON t.depth = v.depth AND t.key = v.key LEFT JOIN v q ON q.depth = v.depth - 1 AND q.key = v.parent_key""")
+def op13_conversation_prefix_trie(spark, folder):
+    found = trie.trie(*trie.with_borrowed_heads(trie.number_turns(table(spark, folder, "conversations"))))
+    told = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    lone = found.nodes.where("n_convs = 1").select(*told, F.when(F.col("n_ends") == 1, sha(F.col("conv_id").cast("string"))).otherwise(sha(F.lit(""))).alias("ends_sha256"))
+    several = found.nodes.where("n_convs > 1").join(trie.ends_digests(found.ends), ["conv_id", "depth"], "left")
+    return lone.unionByName(several.select(*told, F.coalesce("ends_sha256", sha(F.lit(""))).alias("ends_sha256")))
