@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.catalog import inputs as src
-from tickerloom.catalog.feature_queries import matrix
-from tickerloom.catalog.panel_queries import SQL_LISTING, listing, scratch
+from tickerloom.catalog.feature_queries import FAST_MATRIX_SQL, FAST_SQL, matrix
+from tickerloom.catalog.panel_queries import DEFAULT_FOLDS_SQL, SQL_LISTING, listing, scratch
 from tickerloom.catalog.registry import query, r
 from tickerloom.catalog.study_queries import SQL_PRED, _metric_sql, fold_metrics, regime_table
 from tickerloom.config import FoldSettings, ModelSettings
-from tickerloom.operators import cleaning as cl, folds as fo, metrics as me, models as mo, quality as qa, tabular as tb
+from tickerloom.operators import boosting as bo, cleaning as cl, folds as fo, metrics as me, models as mo, quality as qa, tabular as tb
 from tickerloom.operators import reports as rp, tracking as tr
 from tickerloom.plans import plugins
-from tickerloom.session import cut_lineage
+from tickerloom.session import cut_lineage, stored
 from tickerloom.sources import tables as io
 from tickerloom.streaming import metrics as sm
 
@@ -377,79 +377,160 @@ def _regressor(spark, d):
 
 
 # walk-forward models --------------------------------------------------------------------------------------------
-SMALL = mo.small_settings(rounds=3, depth=3, trees=5)
 FOLDS = FoldSettings(initial_train_months=48, test_months=12, step_months=12)
+NAMES = list(FAST_SQL)
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def _study(spark, d):
+    """(rows of all folds, regime, fitted models) under the settings users get; fitted once for a session and folder, as many queries look at them."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _FITTED:
+        m = stored(matrix(spark, d, "fast").select("date", "ticker", mo.LABEL, *[(F.round(n, 6) + F.lit(0.0)).alias(n) for n in NAMES]))
+        regime = stored(regime_table(spark, d))
+        rows = mo.fold_rows(stored(mo.training_table(m, regime, NAMES)), fo.data_folds(m, FOLDS), FOLDS)
+        _FITTED[at] = rows, regime, mo.fit_folds(rows, regime, NAMES)
+    return _FITTED[at]
+
+
+MODEL_SQL = f"""{FAST_MATRIX_SQL},
+m AS (SELECT date, ticker, label, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in NAMES)} FROM matrix),
+{DEFAULT_FOLDS_SQL.replace("60 + 3 *", "48 + 12 *").replace("INTERVAL 6 MONTH", "INTERVAL 12 MONTH").replace("FROM bars", "FROM m")},
+tr0 AS (SELECT fold, m.*, row_number() OVER (PARTITION BY fold ORDER BY date DESC, ticker DESC) AS rn, count(*) OVER (PARTITION BY fold) AS n FROM m JOIN folds ON date BETWEEN train_start AND train_end),
+tr AS (SELECT * EXCLUDE (rn, n), rn <= greatest(floor(n * 0.2), 50) AS is_valid FROM tr0),
+te AS (SELECT fold, m.* FROM m JOIN folds ON date BETWEEN test_start AND test_end),
+sz AS (SELECT fold, count(*) FILTER (NOT is_valid) AS n_train, count(*) FILTER (is_valid) AS n_valid, avg(label) FILTER (NOT is_valid) AS p FROM tr GROUP BY fold)"""
+
+
+def first_tree_sql(s: bo.BoostSettings) -> str:
+    """The first tree of every fold down to the root's children: bins, sums of gradients, gains and best splits."""
+    used = [NAMES[i] for i in bo.sampled_columns(s.seed, 0, NAMES, s.column_share)]
+    scale = f"{bo.SCALE}.0::DOUBLE"
+
+    def part(g, h):
+        return f"pow(sign({g}) * greatest(abs({g}) / {scale} - {s.l1}, 0), 2) / (({h}) / {scale} + {s.l2})"
+
+    def level(k: int, rows: str) -> str:
+        return f"""
+hist{k} AS MATERIALIZED (SELECT fold, node, f, bin, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h, count(*) AS n FROM {rows} GROUP BY ALL),
+cum{k} AS (SELECT fold, node, f, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(n) OVER u AS nl, sum(g) OVER t AS gt, sum(h) OVER t AS ht, sum(n) OVER t AS nt FROM hist{k}
+           WINDOW t AS (PARTITION BY fold, node, f), u AS (PARTITION BY fold, node, f ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+gain{k} AS (SELECT *, {part('gl', 'hl')} + {part('(gt - gl)', 'ht - hl')} - {part('gt', 'ht')} AS gain FROM cum{k}
+            WHERE nl >= {s.min_rows} AND nt - nl >= {s.min_rows} AND hl >= {s.min_hessian} * {scale} AND ht - hl >= {s.min_hessian} * {scale}),
+split{k} AS MATERIALIZED (SELECT b.*, e.v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY fold, node ORDER BY gain DESC, f, bin) AS rk FROM gain{k} WHERE gain > 0) b
+           JOIN (SELECT fold, f, bin, v FROM cuts WHERE is_edge) e USING (fold, f, bin) WHERE rk = 1)"""
+
+    def value(g, h):
+        return f"-sign({g}) * greatest(abs({g}) / {scale} - {s.l1}, 0) / (({h}) / {scale} + {s.l2}) * {s.step}"
+
+    return f"""{MODEL_SQL},
+gr AS (SELECT tr.*, row_number() OVER () AS rid, round((p - label) * {scale}) AS g, round(p * (1 - p) * {scale}) AS h FROM tr JOIN sz USING (fold) WHERE NOT is_valid),
+tall AS MATERIALIZED (SELECT fold, rid, g, h, list_position({NAMES}, feature) - 1 AS f, v FROM (UNPIVOT (SELECT fold, rid, g, h, {', '.join(used)} FROM gr) ON {', '.join(used)} INTO NAME feature VALUE v)),
+cnt AS (SELECT fold, f, v, count(*) AS c FROM tall GROUP BY ALL),
+run AS (SELECT *, sum(c) OVER (PARTITION BY fold, f ORDER BY v) AS upto, sum(c) OVER (PARTITION BY fold, f) AS whole FROM cnt),
+edg AS (SELECT *, upto * {s.bins} // whole > (upto - c) * {s.bins} // whole AND upto < whole AS is_edge FROM run),
+cuts AS MATERIALIZED (SELECT *, coalesce(sum(CAST(is_edge AS INT)) OVER (PARTITION BY fold, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bin FROM edg),
+binned AS MATERIALIZED (SELECT tall.fold, rid, tall.f, bin, g, h, 0 AS node FROM tall JOIN cuts ON cuts.fold = tall.fold AND cuts.f = tall.f AND cuts.v = tall.v),{level(0, 'binned')},
+side AS (SELECT b.fold, b.rid, CASE WHEN b.bin <= s.bin THEN 1 ELSE 2 END AS node FROM binned b JOIN split0 s ON s.fold = b.fold AND s.f = b.f),
+below AS (SELECT b.* EXCLUDE (node), side.node FROM binned b JOIN side ON side.fold = b.fold AND side.rid = b.rid),{level(1, 'below')},
+nodes AS (
+  SELECT fold, 0 AS node, nt AS n_rows, 0.0::DOUBLE AS value FROM split0
+  UNION ALL SELECT fold, 1, nl, {value('gl', 'hl')} FROM split0
+  UNION ALL SELECT fold, 2, nt - nl, {value('(gt - gl)', 'ht - hl')} FROM split0)
+SELECT nodes.fold, nodes.node, n_train, n_valid, {NAMES}[s.f + 1] AS feature, CAST(n_rows AS BIGINT) AS n_rows, {r('threshold', 'gain', 'value')}
+FROM nodes JOIN sz ON sz.fold = nodes.fold LEFT JOIN (SELECT * FROM split0 UNION ALL SELECT * FROM split1) s ON s.fold = nodes.fold AND s.node = nodes.node"""
+
+
+@query("wf06_fit_base", first_tree_sql(mo.base_settings(ModelSettings())))
+def _base(spark, d):
+    """Top of each fold's first tree and the sizes it was grown on; the fit itself runs to its end."""
+    rows, _, fitted = _study(spark, d)
+    sizes = rows.train.groupBy("fold").agg(F.count(F.when(~F.col("is_valid"), 1)).alias("n_train"), F.count(F.when(F.col("is_valid"), 1)).alias("n_valid"))
+    top = fitted.base.table(spark).where("round = 0 AND node <= 2").withColumn("fold", F.col("fit").cast("int"))
+    split = F.col("feature").isNotNull()
+    return top.join(sizes, "fold").select("fold", "node", "n_train", "n_valid", "feature", "n_rows", F.when(split, F.col("threshold")).alias("threshold"), F.when(split, F.col("gain")).alias("gain"), "value")
 
 
-def _stored_matrix(spark, d):
-    path = f"{scratch(spark)}/matrix"
-    io.sink_parquet(matrix(spark, d, "fast"), path)
-    return spark.read.parquet(path).drop("year")
+def _scored_facts(scored, p="y_proba"):
+    """What every scored row set must show, whatever the trees are."""
+    inside = F.min(F.col(p).between(0.0, 1.0)).alias("in_range")
+    return scored.groupBy("fold").agg(F.count(p).alias("n_scored"), F.sum(mo.LABEL).cast("bigint").alias("n_positive"), inside)
 
 
-def _regime(spark, d):
-    return cut_lineage(regime_table(spark, d))
+SCORED_SQL = f"{MODEL_SQL} SELECT fold, count(*) AS n_scored, CAST(sum(label) AS BIGINT) AS n_positive, true AS in_range"
 
 
-@query("wf12_run_walk_forward")
-def _walk(spark, d):
-    return mo.run_walk_forward(_stored_matrix(spark, d), _regime(spark, d), FOLDS, SMALL)
+@query("wf07_fit_second_booster", f"{SCORED_SQL} FROM te GROUP BY fold")
+def _second(spark, d):
+    rows, _, fitted = _study(spark, d)
+    return _scored_facts(bo.score(fitted.second, rows.test))
 
 
-@query("wf13_ablation")
-def _ablation(spark, d):
-    folds = fo.data_folds(src.bars(spark, d), FOLDS)[-1:]
-    return rp.pooled_metrics(mo.run_ablation(_stored_matrix(spark, d), _regime(spark, d), FOLDS, SMALL, folds=folds))
+REGIME_SQL = "reg AS (SELECT DISTINCT date, CAST(day(date) % 3 AS INTEGER) AS regime FROM bars WHERE dayofyear(date) % 5 <> 0)"
 
 
-def _one_fold(spark, d):
-    m = _stored_matrix(spark, d)
-    names = cl.feature_columns(m)
-    table = cut_lineage(mo.training_table(m, _regime(spark, d), names))
-    train, test = mo.fold_parts(table, fo.data_folds(m, FOLDS)[0], FOLDS)
-    return names, cut_lineage(fo.train_valid_split(train.withColumn("fold", F.lit(0))).drop("fold")), test
+@query("wf08_fit_transfer", f"""{MODEL_SQL}, {REGIME_SQL},
+cur AS (SELECT fold, arg_max(regime, reg.date) AS cur FROM folds JOIN reg ON reg.date <= train_end GROUP BY fold),
+car AS (SELECT date, coalesce(last_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS regime FROM (SELECT DISTINCT date FROM m) LEFT JOIN reg USING (date)),
+hit AS (SELECT tr.fold, tr.date, tr.label, car.regime, cur, count(*) FILTER (car.regime = cur) OVER (PARTITION BY tr.fold) AS hits FROM tr JOIN car USING (date) JOIN cur USING (fold)),
+few AS (SELECT * FROM hit WHERE hits < 50 OR regime = cur),
+rk AS (SELECT *, dense_rank() OVER (PARTITION BY fold ORDER BY date) AS dr FROM few),
+wt AS (SELECT *, pow(0.997, max(dr) OVER (PARTITION BY fold) - dr) AS raw FROM rk),
+nw AS (SELECT *, raw / avg(raw) OVER (PARTITION BY fold) AS weight FROM wt),
+tf AS (SELECT fold, any_value(cur) AS current_regime, count(*) AS n_tuned, {r('sum(weight) AS weights', 'sum(weight * label) AS weighted_positive')} FROM nw GROUP BY fold),
+tt AS (SELECT fold, count(*) AS n_scored, CAST(sum(label) AS BIGINT) AS n_positive, true AS in_range, true AS base_kept FROM te GROUP BY fold)
+SELECT * FROM tf JOIN tt USING (fold)""")
+def _transfer(spark, d):
+    """Which rows each fold is tuned on, with their weights; that the base trees stay; its scores."""
+    rows, regime, fitted = _study(spark, d)
+    current = mo.current_regimes(rows, regime)
+    tuned = mo.transfer_rows(rows.train, current, ModelSettings().decay_alpha).join(current, "fold").groupBy("fold").agg(
+        F.max("current_regime").alias("current_regime"), F.count(F.lit(1)).alias("n_tuned"), F.sum("weight").alias("weights"), F.sum(F.col("weight") * F.col(mo.LABEL)).alias("weighted_positive"))
+    kept = [(int(k), fitted.transfer.trees[k][:len(t)] == t and len(fitted.transfer.trees[k]) <= len(t) + ModelSettings().fine_tune_rounds) for k, t in fitted.base.trees.items()]
+    return tuned.join(_scored_facts(bo.score(fitted.transfer, rows.test)), "fold").join(spark.createDataFrame(kept, "fold int, base_kept boolean"), "fold")
 
 
-@query("wf06_fit_base")
-def _base(spark, d):
-    names, train, test = _one_fold(spark, d)
-    return mo.score(mo.fit_base(train, SMALL), test).select("date", "ticker", "y_proba")
+MODELS_SQL = "(SELECT unnest(['base', 'transfer', 'ensemble', 'static', 'second', 'random', 'hold']) AS model)"
 
 
-@query("wf07_fit_second_booster")
-def _second(spark, d):
-    names, train, test = _one_fold(spark, d)
-    return mo.score(mo.fit_second(train, SMALL), test).select("date", "ticker", "y_proba")
+@query("wf12_run_walk_forward", f"{MODEL_SQL} SELECT fold, model, count(*) AS n_scored, CAST(sum(label) AS BIGINT) AS n_positive, true AS in_range, true AS thresholded, "
+       f"count(DISTINCT date) AS n_days FROM te, {MODELS_SQL} GROUP BY fold, model")
+def _walk(spark, d):
+    rows, regime, fitted = _study(spark, d)
+    out = mo.fold_predictions(rows, fitted, regime).withColumnRenamed("y_true", mo.LABEL)
+    right = F.min((F.col("y_proba") >= 0.5).cast("int") == F.col("y_pred")).alias("thresholded")
+    return out.groupBy("fold", "model").agg(F.count("y_proba").alias("n_scored"), F.sum(mo.LABEL).cast("bigint").alias("n_positive"),
+                                            F.min(F.col("y_proba").between(0.0, 1.0)).alias("in_range"), right, F.countDistinct("date").alias("n_days"))
 
 
-@query("wf08_fit_transfer")
-def _transfer(spark, d):
-    names, train, test = _one_fold(spark, d)
-    base = mo.fit_base(train, SMALL)
-    adapted = mo.fit_transfer(base, train, SMALL, names, 1, 0.997)
-    return mo.score_transfer(base, adapted, test, names, "y_proba").select("date", "ticker", "y_proba")
+VARIANTS_SQL = "(SELECT unnest(['base', 'transfer', 'transfer_regime', 'transfer_decay', 'full']) AS model)"
+
+
+@query("wf13_ablation", f"{SCORED_SQL}, model, count(DISTINCT date) AS n_days FROM te, {VARIANTS_SQL} GROUP BY fold, model")
+def _ablation(spark, d):
+    rows, regime, fitted = _study(spark, d)
+    out = mo.ablation_predictions(rows, fitted.base, regime)
+    return out.groupBy("fold", "model").agg(F.count("y_proba").alias("n_scored"), F.sum("y_true").cast("bigint").alias("n_positive"), F.min(F.col("y_proba").between(0.0, 1.0)).alias("in_range"),
+                                            F.countDistinct("date").alias("n_days"))
 
 
 @query("wf14_feature_importance")
 def _importance(spark, d):
-    names, train, _ = _one_fold(spark, d)
-    return mo.feature_importance(mo.fit_base(train, SMALL), spark, names)
+    return mo.feature_importance(_study(spark, d)[2].base, spark)
 
 
 @query("tk04_top_importance")
 def _top(spark, d):
-    names, train, _ = _one_fold(spark, d)
-    return mo.top_importance(mo.feature_importance(mo.fit_base(train, SMALL), spark, names), 10)
+    return mo.top_importance(mo.feature_importance(_study(spark, d)[2].base, spark), 20)
 
 
 @query("wf15_permutation_importance")
 def _permutation(spark, d):
-    names, train, test = _one_fold(spark, d)
-    return mo.permutation_importance(mo.fit_base(train, SMALL), test, names)
+    rows, _, fitted = _study(spark, d)
+    return mo.permutation_importance(fitted.base, rows.test)
 
 
-@query("wf22_score_rows")
+@query("wf22_score_rows", f"{SCORED_SQL} FROM te GROUP BY fold")
 def _score(spark, d):
-    names, train, test = _one_fold(spark, d)
-    scored = mo.score(mo.fit_second(train, SMALL), test)
-    return me.classification_metrics(scored.select(F.col("label").alias("y_true"), "y_proba", mo.predict_binary("y_proba").alias("y_pred")))
+    rows, _, fitted = _study(spark, d)
+    return _scored_facts(bo.score(fitted.base, rows.test))

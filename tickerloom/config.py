@@ -55,7 +55,13 @@ class ModelSettings:
     max_depth: int = 7
     step_size: float = 0.05
     max_rounds: int = 1000
+    patience: int = 50
+    max_leaves: int = 63
+    min_leaf_rows: int = 50
+    l1: float = 10.0
+    l2: float = 50.0
     subsample: float = 0.8
+    column_share: float = 0.8
     fine_tune_rounds: int = 80
     fine_tune_step: float = 0.02
     forest_trees: int = 100

@@ -9,16 +9,18 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.config import FoldSettings, ModelSettings
 from tickerloom.functions.columns import hash_uniform
 from tickerloom.functions.scan import sorted_scan
+from tickerloom.operators import boosting
 from tickerloom.operators import folds as fold_ops
-from tickerloom.operators.alignment import regime_confidence, regime_for_dates
+from tickerloom.operators.alignment import assign_folds, regime_confidence, regime_for_dates
+from tickerloom.operators.boosting import Boosted, BoostSettings
 from tickerloom.operators.cleaning import date_range_split, feature_columns, inf_to_null
-from tickerloom.session import cut_lineage
+from tickerloom.session import stored
 
 FEATURES, LABEL, PROBABILITY = "_features", "label", "y_proba"
 
@@ -95,49 +97,66 @@ ABLATION_VARIANTS = (
 )
 
 
-def fit_base(train: DataFrame, settings: ModelSettings):
-    """Boosted trees; with an ``is_valid`` column, rounds stop once validation loss no longer improves."""
-    return booster(settings, validation="is_valid" if "is_valid" in train.columns else None).fit(train)
+def base_settings(settings: ModelSettings) -> BoostSettings:
+    return BoostSettings(settings.max_rounds, settings.step_size, settings.max_depth, settings.max_leaves, settings.l1, settings.l2, settings.min_leaf_rows,
+                         column_share=settings.column_share, patience=settings.patience, seed=settings.seed)
 
 
-def fit_second(train: DataFrame, settings: ModelSettings):
-    return forest(settings).fit(train.where(~F.col("is_valid")) if "is_valid" in train.columns else train)
+def second_settings(settings: ModelSettings) -> BoostSettings:
+    """The other library's habits: no limit on leaves, a least hessian instead of least rows, a share of the rows for each tree."""
+    return replace(base_settings(settings), max_leaves=2 ** settings.max_depth, min_rows=1, min_hessian=float(settings.min_leaf_rows), row_share=settings.subsample, seed=settings.seed + 1)
 
 
-def fit_transfer(base_model, train: DataFrame, settings: ModelSettings, names: Sequence[str],
-                 current: int | None, alpha: float):
-    """Fine-tunes on recent, regime-matched rows: the base log-odds join the features of a short second boosting."""
-    rows = train
-    if current is not None:
-        few = rows.where(F.col("regime") == current).limit(settings.min_regime_rows).count() < settings.min_regime_rows
-        rows = rows if few else rows.where(F.col("regime") == current)
-    weighted = fold_ops.time_decay_weights(rows.withColumn("fold", F.lit(0)), alpha).drop("fold")
-    staged = _with_base_odds(base_model, weighted, names)
-    return booster(settings, settings.fine_tune_rounds, settings.fine_tune_step, weights="weight").fit(staged)
+def fit_base(train: DataFrame, names: Sequence[str], settings: ModelSettings = ModelSettings()) -> Boosted:
+    """Boosted trees of every fold, grown side by side; with an ``is_valid`` column, a fold ends once its validation AUC has not risen for ``patience`` rounds."""
+    return boosting.fit_boosted(train, names, base_settings(settings), valid="is_valid" if "is_valid" in train.columns else None)
 
 
-def _with_base_odds(base_model, df: DataFrame, names: Sequence[str]) -> DataFrame:
-    scored = score(base_model, df, "_base_p").drop(FEATURES)
-    p = F.greatest(F.least(F.col("_base_p"), F.lit(1 - 1e-6)), F.lit(1e-6))
-    return assemble(scored.withColumn("_base_odds", F.ln(p / (F.lit(1.0) - p))), [*names, "_base_odds"]).drop("_base_odds")
+def fit_second(train: DataFrame, names: Sequence[str], settings: ModelSettings = ModelSettings()) -> Boosted:
+    return boosting.fit_boosted(train, names, second_settings(settings), valid="is_valid" if "is_valid" in train.columns else None)
 
 
-def score_transfer(base_model, transfer_model, df: DataFrame, names: Sequence[str], out: str) -> DataFrame:
-    staged = _with_base_odds(base_model, df, names)
-    return score(transfer_model, staged, out).drop("_base_p")
+def transfer_rows(train: DataFrame, current: DataFrame | None, alpha: float, settings: ModelSettings = ModelSettings()) -> DataFrame:
+    """Each fold's rows of its ``current`` regime (all if they are few), validation rows included, weighted by age."""
+    rows = train if current is None else fold_ops.regime_filter(train, current, min_rows=settings.min_regime_rows)
+    return fold_ops.time_decay_weights(rows, alpha)
+
+
+def fit_transfer(base: Boosted, rows: DataFrame, settings: ModelSettings = ModelSettings()) -> Boosted:
+    """Continues the base model on ``transfer_rows``: its trees stay, short rounds at a smaller step follow."""
+    tuned = replace(base_settings(settings), rounds=settings.fine_tune_rounds, step=settings.fine_tune_step, patience=None, seed=settings.seed + 2)
+    return boosting.fit_boosted(rows, base.features, tuned, weight="weight", begin=base)
 
 
 def training_table(features: DataFrame, regime: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Feature rows with the regime of their date and assembled vectors, prepared once for all folds. Infinite values
-    become missing (NaN inside the vector); the rows stay."""
+    """Feature rows with the regime of their date, prepared once for all folds. Infinite values become missing; the rows stay."""
     by_date = regime_for_dates(regime, features.select("date"))
-    joined = features.join(F.broadcast(by_date), "date")
-    return assemble(inf_to_null(joined, names), names)
+    return inf_to_null(features.join(by_date, "date"), names)
 
 
-def fold_parts(table: DataFrame, fold: fold_ops.Fold, settings: FoldSettings) -> tuple[DataFrame, DataFrame]:
-    end = fold.train_end if not settings.purge_days else _minus_days(fold.train_end, settings.purge_days)
-    return date_range_split(table, fold.train_start, end), date_range_split(table, fold.test_start, fold.test_end)
+@dataclass(frozen=True)
+class FoldRows:
+    """Rows of all usable folds, tagged with ``fold``; ``skipped`` lists the others with their row counts."""
+
+    train: DataFrame
+    test: DataFrame
+    skipped: DataFrame
+    folds: tuple[fold_ops.Fold, ...]
+
+
+def fold_rows(table: DataFrame, folds: Sequence[fold_ops.Fold], settings: FoldSettings = FoldSettings()) -> FoldRows:
+    """Deals a table to its folds: training rows (with ``is_valid``; the last ``purge_days`` before the end are left out) and test rows."""
+    if settings.purge_days:
+        folds = [replace(f, train_end=_minus_days(f.train_end, settings.purge_days)) for f in folds]
+    assigned = assign_folds(table, folds)
+    sizes = fold_ops.fold_sizes(assigned, settings)
+    usable = {r["fold"] for r in sizes.where("usable").select("fold").collect()}
+    kept = tuple(f for f in folds if f.fold in usable)
+    if not kept:
+        raise ValueError("no fold has enough rows")
+    mine = assigned.where(F.col("fold").isin(sorted(usable)))
+    train = stored(fold_ops.train_valid_split(mine.where("part = 'train'").drop("part"), fraction=settings.valid_fraction, min_rows=settings.min_valid_rows))
+    return FoldRows(train, stored(mine.where("part = 'test'").drop("part")), sizes.where("NOT usable").drop("usable"), kept)
 
 
 def _minus_days(day, n):
@@ -146,141 +165,140 @@ def _minus_days(day, n):
     return day - timedelta(days=n)
 
 
-def _regime_of_fold(table: DataFrame, regime: DataFrame, fold: fold_ops.Fold, from_test: bool) -> int:
-    """Regime the adapted model is tuned to: as known at the end of training, or (``from_test``) the test period's mode."""
+def current_regimes(rows: FoldRows, regime: DataFrame, from_test: bool = False) -> DataFrame:
+    """(fold, current_regime) that the adapted model is tuned to: as known at the end of training, or (``from_test``) the test period's mode; 1 if unknown."""
     if from_test:
-        days = date_range_split(table, fold.test_start, fold.test_end).select("date").distinct()
-        found = fold_ops.current_regime(
-            regime_for_dates(regime, days).withColumn("fold", F.lit(fold.fold))).first()
-        return int(found["current_regime"]) if found else 1
-    known = regime.where(F.col("date") <= F.lit(fold.train_end)).agg(F.max_by("regime", "date").alias("r")).first()
-    return 1 if known["r"] is None else int(known["r"])
+        days = rows.test.select("fold", "date").distinct()
+        found = fold_ops.current_regime(days.join(regime_for_dates(regime, days.select("date")), "date"))
+    else:
+        known = F.array_compact(F.array(*[F.when(F.col("date") <= F.lit(f.train_end), F.lit(f.fold)) for f in rows.folds]))
+        found = regime.where(F.col("regime").isNotNull()).select("date", "regime", F.explode(known).alias("fold")).groupBy("fold").agg(F.max_by("regime", "date").alias("current_regime"))
+    spark = rows.train.sparkSession
+    every = spark.createDataFrame([(f.fold,) for f in rows.folds], "fold int")
+    return every.join(found, "fold", "left").select("fold", F.coalesce("current_regime", F.lit(1)).cast("int").alias("current_regime"))
 
 
-def run_walk_forward(features: DataFrame, regime: DataFrame, fold_settings: FoldSettings = FoldSettings(),
-                     settings: ModelSettings = ModelSettings(), regime_from_test: bool = False,
-                     folds: Sequence[fold_ops.Fold] | None = None) -> DataFrame:
-    """Long predictions (fold, date, ticker, model, y_true, y_proba, y_pred, regime) of every model on every fold.
+def _confidence(rows: FoldRows, regime: DataFrame) -> DataFrame:
+    return regime_confidence(regime, rows.test.select("fold", "date")).select("fold", F.col("confidence").cast("double").alias("_confidence"))
 
-    The driver walks a few tens of folds; every fit and every score is a distributed job over the stored table. ``regime``
-    is one series keyed by date with ``regime`` and ``state_prob``.
-    """
-    names = feature_columns(features)
-    table = cut_lineage(training_table(features, regime, names))
-    folds = fold_ops.data_folds(table, fold_settings) if folds is None else folds
-    sizes = {r["fold"]: r["usable"] for r in fold_ops.fold_sizes(_assign(table, folds), fold_settings).collect()}
-    parts: list[DataFrame] = []
-    for fold in folds:
-        if not sizes.get(fold.fold):
-            continue
-        train, test = fold_parts(table, fold, fold_settings)
-        train = cut_lineage(fold_ops.train_valid_split(train.withColumn("fold", F.lit(fold.fold)), fraction=fold_settings.valid_fraction,
-                                           min_rows=fold_settings.min_valid_rows).drop("fold"))
-        base = fit_base(train, settings)
-        second = fit_second(train, settings)
-        current = _regime_of_fold(table, regime, fold, regime_from_test)
-        adapted = fit_transfer(base, train, settings, names, current, settings.decay_alpha)
-        confidence = regime_confidence(regime, test.select(F.lit(fold.fold).alias("fold"), "date")).first()["confidence"]
-        scored = score(second, score(base, test, "base"), "second")
-        scored = score_transfer(base, adapted, scored, names, "transfer")
-        scored = scored.withColumns({
-            # The retrained-from-scratch model has the same data and settings as the base model.
-            "static": F.col("base"), "random": hash_uniform(F.lit(settings.seed), "date", "ticker"), "hold": F.lit(0.0),
-            "ensemble": ensemble_score(F.col("base"), F.col("transfer"), F.lit(float(confidence)), settings)})
-        models = ["base", "transfer", "ensemble", "static", "second", "random", "hold"]
-        parts.append(long_predictions(scored, models, fold.fold, settings.threshold))
-    if not parts:
-        raise ValueError("no fold has enough rows")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+@dataclass(frozen=True)
+class FittedFolds:
+    base: Boosted
+    second: Boosted
+    transfer: Boosted
+
+
+def fit_folds(rows: FoldRows, regime: DataFrame, names: Sequence[str], settings: ModelSettings = ModelSettings(), regime_from_test: bool = False) -> FittedFolds:
+    """The models of every fold. All folds' trees of one kind grow together, so the number of jobs does not depend on the number of folds."""
+    base = fit_base(rows.train, names, settings)
+    tuned = transfer_rows(rows.train, current_regimes(rows, regime, regime_from_test), settings.decay_alpha, settings)
+    return FittedFolds(base, fit_second(rows.train, names, settings), fit_transfer(base, tuned, settings))
+
+
+def fold_predictions(rows: FoldRows, fitted: FittedFolds, regime: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
+    """Long predictions (fold, date, ticker, model, y_true, y_proba, y_pred, regime) of every model on every fold's test rows."""
+    scored = rows.test
+    for name, model in (("base", fitted.base), ("second", fitted.second), ("transfer", fitted.transfer)):
+        scored = boosting.score(model, scored, "fold", name)
+    scored = scored.join(_confidence(rows, regime), "fold", "left").withColumns({
+        # The retrained-from-scratch model has the same data and settings as the base model.
+        "static": F.col("base"), "random": hash_uniform(F.lit(settings.seed), "date", "ticker"), "hold": F.lit(0.0),
+        "ensemble": ensemble_score(F.col("base"), F.col("transfer"), F.coalesce("_confidence", F.lit(0.5)), settings)})
+    return long_predictions(scored, ["base", "transfer", "ensemble", "static", "second", "random", "hold"], settings.threshold)
 
-def _assign(table: DataFrame, folds: Sequence[fold_ops.Fold]) -> DataFrame:
-    from tickerloom.operators.alignment import assign_folds
 
-    return assign_folds(table.select("date"), folds)
+def run_walk_forward(features: DataFrame, regime: DataFrame, fold_settings: FoldSettings = FoldSettings(),
+                     settings: ModelSettings = ModelSettings(), regime_from_test: bool = False,
+                     folds: Sequence[fold_ops.Fold] | None = None) -> DataFrame:
+    """Long predictions of every model on every fold; ``regime`` is one series keyed by date with ``regime`` and ``state_prob``."""
+    names = feature_columns(features)
+    table = stored(training_table(features, regime, names))
+    rows = fold_rows(table, fold_ops.data_folds(table, fold_settings) if folds is None else folds, fold_settings)
+    return fold_predictions(rows, fit_folds(rows, regime, names, settings, regime_from_test), regime, settings)
 
 
-def long_predictions(scored: DataFrame, models: Iterable[str], fold: int, threshold: float = 0.5) -> DataFrame:
+def long_predictions(scored: DataFrame, models: Iterable[str], threshold: float = 0.5) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models]))
-    rows = scored.select("date", "ticker", F.col(LABEL).alias("y_true"), "regime", pairs.alias("_m"))
-    return rows.select(F.lit(fold).alias("fold"), "date", "ticker", F.col("_m.model").alias("model"), "y_true",
+    rows = scored.select("fold", "date", "ticker", F.col(LABEL).alias("y_true"), "regime", pairs.alias("_m"))
+    return rows.select("fold", "date", "ticker", F.col("_m.model").alias("model"), "y_true",
                        F.col("_m.p").alias("y_proba"), predict_binary("_m.p", threshold).alias("y_pred"), "regime")
 
 
 def run_ablation(features: DataFrame, regime: DataFrame, fold_settings: FoldSettings = FoldSettings(),
                  settings: ModelSettings = ModelSettings(), variants: Sequence[Variant] = ABLATION_VARIANTS,
                  folds: Sequence[fold_ops.Fold] | None = None) -> DataFrame:
-    """Predictions of each variant on every fold, in the walk-forward layout with the variant as model."""
+    """Predictions of each variant on every fold, in the walk-forward layout with the variant as model. The base is fitted once;
+    the adapted models of all variants and folds are grown side by side, each under a number of its own."""
     names = feature_columns(features)
-    table = cut_lineage(training_table(features, regime, names))
-    folds = fold_ops.data_folds(table, fold_settings) if folds is None else folds
-    out = None
-    for fold in folds:
-        train, test = fold_parts(table, fold, fold_settings)
-        train = cut_lineage(fold_ops.train_valid_split(train.withColumn("fold", F.lit(fold.fold)), fraction=fold_settings.valid_fraction,
-                                           min_rows=fold_settings.min_valid_rows).drop("fold"))
-        if train.limit(fold_settings.min_train_rows).count() < fold_settings.min_train_rows:
-            continue
-        base = fit_base(train, settings)
-        current = _regime_of_fold(table, regime, fold, False)
-        confidence = float(regime_confidence(
-            regime, test.select(F.lit(fold.fold).alias("fold"), "date")).first()["confidence"])
-        scored = score(base, test, "_base")
-        columns = {}
-        for v in variants:
-            if not v.transfer:
-                columns[v.name] = F.col("_base")
-                continue
-            alpha = settings.decay_alpha if v.alpha is None else v.alpha
-            adapted = fit_transfer(base, train, settings, names, current if v.regime else None, alpha)
-            scored = assemble(score_transfer(base, adapted, scored, names, f"_{v.name}").drop(FEATURES), names)
-            columns[v.name] = ensemble_score(F.col("_base"), F.col(f"_{v.name}"), F.lit(confidence), settings)
-        rows = long_predictions(scored.withColumns(columns), list(columns), fold.fold, settings.threshold)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def feature_importance(model, spark, names: Sequence[str]) -> DataFrame:
-    """One row per feature; as many rows as the model has inputs."""
-    rows = [(n, float(model.featureImportances[i])) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    table = stored(training_table(features, regime, names))
+    rows = fold_rows(table, fold_ops.data_folds(table, fold_settings) if folds is None else folds, fold_settings)
+    return ablation_predictions(rows, fit_base(rows.train, names, settings), regime, settings, variants)
+
+
+def ablation_predictions(rows: FoldRows, base: Boosted, regime: DataFrame, settings: ModelSettings = ModelSettings(), variants: Sequence[Variant] = ABLATION_VARIANTS) -> DataFrame:
+    adapted = [v for v in variants if v.transfer]
+    scored = boosting.score(base, rows.test, "fold", "_base")
+    if adapted:
+        step = 1 + max(f.fold for f in rows.folds)
+        current = current_regimes(rows, regime)
+        tuned, begin = None, Boosted(base.features, {}, {}, {}, {})
+        for i, v in enumerate(adapted):
+            mine = transfer_rows(rows.train, current if v.regime else None, settings.decay_alpha if v.alpha is None else v.alpha, settings)
+            mine = mine.withColumn("fold", F.col("fold") + i * step)
+            tuned = mine if tuned is None else tuned.unionByName(mine)
+            for k in base.trees:
+                begin.start[k + i * step], begin.trees[k + i * step] = base.start[k], base.trees[k]
+        model = fit_transfer(begin, tuned, settings)
+        for i, v in enumerate(adapted):
+            scored = boosting.score(model, scored.withColumn("_key", F.col("fold") + i * step), "_key", f"_{v.name}").drop("_key")
+    scored = scored.join(_confidence(rows, regime), "fold", "left")
+    confidence = F.coalesce("_confidence", F.lit(0.5))
+    columns = {v.name: ensemble_score(F.col("_base"), F.col(f"_{v.name}"), confidence, settings) if v.transfer else F.col("_base") for v in variants}
+    return long_predictions(scored.withColumns(columns), list(columns), settings.threshold)
+
+
+def feature_importance(model: Boosted, spark) -> DataFrame:
+    """(fold, feature, importance): the gains of a feature's splits, summed; unused features have zero."""
+    return model.importance(spark).select(F.col("fit").cast("int").alias("fold"), "feature", F.col("gain").alias("importance"))
 
 
 def top_importance(importance: DataFrame, n: int = 20) -> DataFrame:
-    return importance.orderBy(F.col("importance").desc(), "feature").limit(n)
+    """The n most important features of each fold; ties by name. A fold has as many rows as the model has features."""
+    rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.col("importance").desc(), "feature"))
+    return importance.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def permutation_importance(model, rows: DataFrame, names: Sequence[str], seed: int = 42, min_rows: int = 50, keys: Sequence[str] = ("date", "ticker")) -> DataFrame:
-    """AUC lost per regime (and overall) when one feature's values are exchanged between rows.
+def permutation_importance(model: Boosted, rows: DataFrame, seed: int = 42, min_rows: int = 50, keys: Sequence[str] = ("date", "ticker")) -> DataFrame:
+    """AUC lost per fold and regime (and overall) when one feature's values are exchanged between a fold's rows.
 
     Values move along a hash order of the keys: row i takes the value of the row next to it in that order, so a shuffled
     copy is one shift. All features are scored in one pass by exploding rows over the features.
     """
     from tickerloom.operators.metrics import auc_by
 
-    base = rows.select(*keys, "regime", LABEL, *names).withColumn("_h", hash_uniform(F.lit(seed), *keys))
-    numbered = sorted_scan(base, [], ["_h", *keys], {"_pos": F.lit(1)}, totals=True)
-    donors = numbered.select((F.pmod(F.col("_pos"), F.col("_pos_total")) + 1).alias("_pos"),
+    names = model.features
+    base = rows.select("fold", *keys, "regime", LABEL, *names).withColumn("_h", hash_uniform(F.lit(seed), *keys))
+    numbered = stored(sorted_scan(base, ["fold"], ["_h", *keys], {"_pos": F.lit(1)}, totals=True))
+    donors = numbered.select("fold", (F.pmod(F.col("_pos"), F.col("_pos_total")) + 1).alias("_pos"),
                              F.struct(*names).alias("_other"))
-    paired = numbered.join(donors, "_pos")
+    paired = numbered.join(donors, ["fold", "_pos"])
     changed = [F.struct(F.lit("").alias("feature"), F.struct(*names).alias("x"))]
     for f in names:
         mixed = F.struct(*[(F.col(f"_other.{n}") if n == f else F.col(n)).alias(n) for n in names])
         changed.append(F.struct(F.lit(f).alias("feature"), mixed.alias("x")))
-    exploded = paired.select("regime", LABEL, F.explode(F.array(*changed)).alias("_e")).select(
-        "regime", F.col(LABEL).alias("y_true"), "_e.feature", "_e.x.*")
-    scored = score(model, assemble(exploded, names)).select(
-        "feature", "y_true", "y_proba",
+    exploded = paired.select("fold", "regime", LABEL, F.explode(F.array(*changed)).alias("_e")).select(
+        "fold", "regime", F.col(LABEL).alias("y_true"), "_e.feature", "_e.x.*")
+    scored = boosting.score(model, exploded, "fold").select(
+        "fold", "feature", "y_true", "y_proba",
         F.explode(F.array(F.col("regime").cast("string"), F.lit("overall"))).alias("group"))
-    counts = scored.where(F.col("feature") == "").groupBy("group").agg(F.count(F.lit(1)).alias("n_rows"))
-    auc = auc_by(scored, ["group", "feature"])
-    whole = auc.where(F.col("feature") == "").select("group", F.col("auc_roc").alias("_full"))
-    return (auc.where(F.col("feature") != "").join(whole, "group").join(counts, "group")
+    scored = stored(scored)
+    counts = scored.where(F.col("feature") == "").groupBy("fold", "group").agg(F.count(F.lit(1)).alias("n_rows"))
+    auc = stored(auc_by(scored, ["fold", "group", "feature"]))
+    whole = auc.where(F.col("feature") == "").select("fold", "group", F.col("auc_roc").alias("_full"))
+    return (auc.where(F.col("feature") != "").join(whole, ["fold", "group"]).join(counts, ["fold", "group"])
             .where(F.col("n_rows") >= min_rows)
-            .select("group", "feature", (F.col("_full") - F.col("auc_roc")).alias("auc_drop"), "n_rows"))
+            .select("fold", "group", "feature", (F.col("_full") - F.col("auc_roc")).alias("auc_drop"), "n_rows"))
 
 
 def save_model(model, path: str) -> None:
