@@ -10,7 +10,7 @@ from tickerloom.catalog.panel_queries import DEFAULT_FOLDS_SQL, SQL_LISTING, lis
 from tickerloom.catalog.registry import query, r
 from tickerloom.catalog.study_queries import SQL_PRED, _metric_sql, fold_metrics, regime_table
 from tickerloom.config import FoldSettings, ModelSettings
-from tickerloom.operators import boosting as bo, cleaning as cl, folds as fo, metrics as me, models as mo, quality as qa, tabular as tb
+from tickerloom.operators import attribution as at, boosting as bo, cleaning as cl, folds as fo, metrics as me, models as mo, quality as qa, tabular as tb
 from tickerloom.operators import reports as rp, tracking as tr
 from tickerloom.plans import plugins
 from tickerloom.session import cut_lineage, stored
@@ -534,3 +534,22 @@ def _permutation(spark, d):
 def _score(spark, d):
     rows, _, fitted = _study(spark, d)
     return _scored_facts(bo.score(fitted.base, rows.test))
+
+
+def _explained(spark, d):
+    rows, _, fitted = _study(spark, d)
+    return fitted.base, at.contributions(fitted.base, bo.margins(fitted.base, rows.test, "fold", "_margin"))
+
+
+@query("wf15_exact_attributions", f"{MODEL_SQL} SELECT fold, count(*) AS n_scored, {len(NAMES)} AS n_features, true AS adds_up FROM te GROUP BY fold")
+def _adds_up(spark, d):
+    """Contributions of every test row, summed: with the base value they are the row's margin."""
+    _, rows = _explained(spark, d)
+    whole = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c)
+    return rows.groupBy("fold").agg(F.count("base_value").alias("n_scored"), F.max(F.size("contributions")).alias("n_features"), (F.max(F.abs(whole - F.col("_margin"))) < 1e-9).alias("adds_up"))
+
+
+@query("wf15_attribution_summary")
+def _attributions(spark, d):
+    model, rows = _explained(spark, d)
+    return at.contribution_summary(rows, model, ["fold", "regime"])

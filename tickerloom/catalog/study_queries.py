@@ -11,7 +11,7 @@ from tickerloom.catalog.panel_queries import (
 from tickerloom.catalog.registry import query, r
 from tickerloom.config import FoldSettings, RegimeSettings
 from tickerloom.functions.columns import hash_uniform, poisson_one_cdf
-from tickerloom.operators import alignment as al, cleaning as cl, folds as fo, metrics as me, models as mo, regime as rg
+from tickerloom.operators import alignment as al, cleaning as cl, folds as fo, markov as mk, metrics as me, models as mo, regime as rg, segmentation as sg
 from tickerloom.operators import reports as rp, statistics as st
 
 # regimes --------------------------------------------------------------------------------------------------------
@@ -63,6 +63,46 @@ def _states(spark, d):
     return rg.mixture_state(index(spark, d), REGIME)
 
 
+@query("rg04_markov_state")
+def _markov(spark, d):
+    return mk.markov_state(index(spark, d))
+
+
+#: A stated chain: steep and calm days, each state likely to stay.
+CHAIN = mk.Chain((0.5, 0.3, 0.2), ((0.9, 0.07, 0.03), (0.05, 0.9, 0.05), (0.02, 0.08, 0.9)), ((0.4, 0.9), (0.0, 1.1), (-0.5, 1.4)), ((0.6, 0.05, 0.2), (0.9, -0.1, 0.3), (1.4, 0.2, 0.5)))
+
+
+def _chain_sql(c: mk.Chain) -> str:
+    """Both passes row by row: the forward one up the positions, the backward one down."""
+    def density(i):
+        (mx, my), (a, b, d) = c.means[i], c.covariances[i]
+        return f"exp(-0.5 * (({d} * (x - {mx}) * (x - {mx}) - 2 * {b} * (x - {mx}) * (y - {my}) + {a} * (y - {my}) * (y - {my})) / {a * d - b * b} + ln({a * d - b * b})))"
+
+    k = range(3)
+    into = [" + ".join(f"f{i} * {c.moves[i][j]}" for i in k) for j in k]
+    back = [" + ".join(f"{c.moves[i][j]} * e{j} * g{j}" for j in k) for i in k]
+    return f"""{src.SQL_INDEX},
+vol AS (SELECT series_id, date, returns, stddev_samp(returns) OVER w AS v, count(returns) OVER w AS c FROM index_panel WHERE returns IS NOT NULL
+        WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ob AS (SELECT series_id, date, returns * 100 AS x, v * 100 AS y, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos FROM vol WHERE c >= 10 AND v IS NOT NULL),
+em AS MATERIALIZED (SELECT series_id, date, pos, {', '.join(f'{density(i)} AS e{i}' for i in k)} FROM ob),
+fw AS (
+  SELECT series_id, pos, {', '.join(f'{c.start[i]} * e{i} / ({" + ".join(f"{c.start[j]} * e{j}" for j in k)}) AS f{i}' for i in k)} FROM em WHERE pos = 0
+  UNION ALL SELECT series_id, pos, {', '.join(f'u{i} / (u0 + u1 + u2)' for i in k)} FROM (
+    SELECT em.series_id, em.pos, {', '.join(f'({into[j]}) * e{j} AS u{j}' for j in k)} FROM fw JOIN em ON em.series_id = fw.series_id AND em.pos = fw.pos + 1)),
+bw AS (
+  SELECT series_id, max(pos) AS pos, 1.0::DOUBLE AS g0, 1.0::DOUBLE AS g1, 1.0::DOUBLE AS g2 FROM em GROUP BY series_id
+  UNION ALL SELECT series_id, pos - 1, {', '.join(f'u{i} / (u0 + u1 + u2)' for i in k)} FROM (
+    SELECT em.series_id, em.pos, {', '.join(f'{back[i]} AS u{i}' for i in k)} FROM bw JOIN em ON em.series_id = bw.series_id AND em.pos = bw.pos) WHERE pos > 0)"""
+
+
+@query("rg04_markov_posteriors", f"WITH RECURSIVE {_chain_sql(CHAIN)} SELECT em.series_id, em.date, " + r(*[f"f{i} AS filtered_{i}" for i in range(3)], *[f"f{i} * g{i} / (f0 * g0 + f1 * g1 + f2 * g2) AS smoothed_{i}" for i in range(3)])
+       + " FROM em JOIN fw ON fw.series_id = em.series_id AND fw.pos = em.pos JOIN bw ON bw.series_id = em.series_id AND bw.pos = em.pos")
+def _posteriors(spark, d):
+    found = mk.posteriors(rg.mixture_observations(index(spark, d)), CHAIN, ["series_id"], size=500)
+    return found.select("series_id", "date", *[F.col(c)[i].alias(f"{c}_{i}") for c in ("filtered", "smoothed") for i in range(3)])
+
+
 def _thirds(spark, d):
     """Components of three return bands per series, in no particular order."""
     rows = index(spark, d).where(F.col("returns").isNotNull())
@@ -115,6 +155,28 @@ def _changepoints(spark, d):
     return rg.changepoints(shifted(index(spark, d)), REGIME)
 
 
+def _optimal_sql(size: int = 20, penalty: float = 0.003) -> str:
+    """The same programme without pruning: one step for each row, the costs of all prefixes in a list."""
+    return f"""{src.SQL_INDEX},
+v AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) AS t, returns + CASE WHEN year(date) % 2 = 0 THEN 0.015625::DOUBLE ELSE 0.0::DOUBLE END AS x FROM index_panel WHERE returns IS NOT NULL),
+s AS MATERIALIZED (SELECT series_id, t, sum(x) OVER w AS a, sum(x * x) OVER w AS b, count(*) OVER (PARTITION BY series_id) AS n FROM v WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+dp AS (
+  SELECT DISTINCT series_id, 0::BIGINT AS t, [{{'s': 0::BIGINT, 'f': -{penalty}::DOUBLE, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}}] AS done, 0.0::DOUBLE AS cost, 0::BIGINT AS last FROM s
+  UNION ALL
+  SELECT series_id, t, list_append(done, {{'s': t, 'f': best.f, 'a': a, 'b': b}}), best.f, best.s FROM (
+    SELECT dp.series_id, s.t, dp.done, s.a, s.b, coalesce(list_min(list_transform(list_filter(dp.done[1:greatest(s.t - {size} + 1, 0)], lambda q: q.f IS NOT NULL),
+             lambda q: {{'f': q.f + (s.b - q.b - (s.a - q.a) * (s.a - q.a) / (s.t - q.s)) + {penalty}, 's': q.s}})), {{'f': NULL, 's': 0}}) AS best
+    FROM dp JOIN s ON s.series_id = dp.series_id AND s.t = dp.t + 1))
+SELECT series_id, CAST(t AS INTEGER) AS block_start, CAST(last AS INTEGER) AS last_break, {r('cost')} FROM dp WHERE t >= 252 AND (t - 252) % 60 = 0 AND t < (SELECT max(n) FROM s WHERE s.series_id = dp.series_id)"""
+
+
+@query("rg06_changepoints_optimal", f"WITH RECURSIVE {_optimal_sql()}")
+def _optimal(spark, d):
+    """The optimum over the rows before every block: its cost and last break."""
+    found = sg.optimal_fits(shifted(index(spark, d)), REGIME)
+    return found.select("series_id", "block_start", F.when(F.size("breaks") > 0, F.element_at("breaks", -1)).otherwise(0).alias("last_break"), "cost")
+
+
 def _plain_states(spark, d):
     """State table from plain arithmetic, so that the combination rule can be checked on its own."""
     i = index(spark, d)

@@ -195,10 +195,16 @@ def changepoints(index: DataFrame, settings: RegimeSettings = RegimeSettings(),
             break
         segments = best.select(*fit, "a", "pa", F.col("cut").alias("c"), F.col("pcut").alias("pc")).unionByName(
             best.select(*fit, F.col("cut").alias("a"), F.col("pcut").alias("pa"), "c", "pc"))
-    judged = sums.withColumn("block_start", _own_block(settings))
     # Breaks lie before the block they serve (the fit is on the past), so a block's last break is one value per fit.
-    last = found.groupBy(*fit).agg(F.max("cut").alias("_last"))
-    out = judged.join(last, fit, "left")
+    return flag_changes(sums, found.groupBy(*fit).agg(F.max("cut").alias("_last")), settings, k)
+
+
+def flag_changes(rows: DataFrame, last: DataFrame, settings: RegimeSettings, k: Series = INDICES) -> DataFrame:
+    """(series, date, cp_flag, days_since_cp) of numbered rows, given the ``_last`` break of each block's fit: a break is flagged on the
+    first day of the block whose fit first shows it."""
+    keys = list(k.keys)
+    fit = [*keys, "block_start"]
+    out = rows.withColumn("block_start", _own_block(settings)).join(last, fit, "left")
     start = F.lit(settings.min_train_rows)
     since = (F.when(F.col("_pos") < start, F.lit(0.0))
              .otherwise((F.col("_pos") - F.coalesce("_last", start)).cast("double")))
