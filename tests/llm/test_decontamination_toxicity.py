@@ -26,12 +26,12 @@ def test_matches(spark):
     docs = [
         (1, "Intro text. " + QUESTION + " More text follows."), (2, "so " + QUESTION.upper().replace(" ", "!! ")),
         (3, QUESTION.replace("Alice", "Susan").replace("12", "31").replace("5", "9").replace("$3.50", "$7").replace("2 kg", "9 lbs")),
-        (4, QUESTION.replace("12 apples for", "31 apples for").replace("Alice bought", "Susan bought")),  # one value stands for two
+        (4, QUESTION.replace("12 apples for", "31 apples for").replace("Alice bought", "Susan bought")),  # one value stands for two, but not in its last 21 tokens
         (5, "Nothing of the kind is in here, only apples and a market."), (6, None), (7, ""), (8, LONG.replace(" ", "\n")), (9, " ".join(LONG.split()[:9])),
         (10, " ".join(LONG.split()[2:17])), (11, "what is the answer now"), (12, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (13, "5 6 7 8 9 1 2 3 4 10 11 12 13 14"), (14, "filler " * 5000 + LONG)]
     items = [(100, QUESTION), (101, LONG), (102, "what is the answer now"), (103, "too short"), (104, None), (105, ""), (106, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (107, LONG)]
     found = held(spark, docs, items)
-    assert set(found) == {(1, 100), (2, 100), (3, 100), (8, 101), (8, 107), (10, 101), (10, 107), (11, 102), (12, 106), (14, 101), (14, 107)}
+    assert set(found) == {(1, 100), (2, 100), (3, 100), (4, 100), (8, 101), (8, 107), (10, 101), (10, 107), (11, 102), (12, 106), (14, 101), (14, 107)}
     assert found[1, 100].changed_slots == 0 and found[3, 100].changed_slots >= 5 and found[10, 101].matched_tokens == 15
 
 
@@ -57,6 +57,46 @@ def test_matches_equal_brute_force_on_verbatim_passages(spark):
     assert set(found) == {(i, j) for i, d in docs for j, t in items if runs(d, t)}
 
 
+def test_one_of_two_equal_values_changed(spark):
+    """Thirty tokens word for word betray an item, whichever of two equal values is another in the document."""
+    item = "a farmer who lives near the old mill sold 3 apples and 3 pears to the two travellers that came by on their way to the fair and asked for some fruit and bread to eat"
+    docs = [(1, item.replace("3 apples", "4 apples")), (2, item.replace("3 pears", "7 pears")), (3, item.replace("3 apples", "4 apples").replace("3 pears", "4 pears")), (4, item[60:])]
+    assert set(held(spark, docs, [(9, item)])) == {(1, 9), (2, 9), (3, 9), (4, 9)}
+
+
+def test_template_spans_equal_brute_force(spark):
+    """Every span of every alignment: kinds and ordinary words equal, each number of the item stands for one number of the document."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(3, 6)))
+    token = lambda: str(r.randrange(1, 5)) if r.random() < 0.25 else word()
+    items = [(i, " ".join(["q" + word(), *[token() for _ in range(r.randrange(13, 26))]])) for i in range(25)]
+    docs = []
+    for i in range(120):
+        part = r.choice(items)[1].split()
+        a = r.randrange(len(part))
+        part = part[a:a + r.randrange(8, 30)]
+        swap = {str(n): str(r.randrange(1, 9)) for n in range(1, 5)}
+        part = [swap[t] if t in swap and r.random() < 0.9 else t for t in part]
+        docs.append((i, " ".join([word() for _ in range(r.randrange(9))] + part + [word() for _ in range(5)])))
+    found = held(spark, docs, items)
+
+    def leaks(d, t, window=8):
+        a, b = d.split(), t.split()
+        n = min(13, len(b))
+        for i in range(len(a) - n + 1):
+            for j in range(len(b) - n + 1):
+                x, y = a[i:i + n], b[j:j + n]
+                if [t.isdigit() or t for t in x] != [t.isdigit() or t for t in y]:
+                    continue
+                loose = all(sum(not t.isdigit() for t in y[k:k + window]) >= 3 or x[k:k + window] == y[k:k + window] for k in range(n - window + 1))
+                pairs = {(q, p) for p, q in zip(x, y) if q.isdigit()}
+                if loose and len({q for q, _ in pairs}) == len(pairs):
+                    return True
+        return False
+
+    assert set(found) == {(i, j) for i, d in docs for j, t in items if leaks(d, t)} and any(x.changed_slots for x in found.values())
+
+
 def test_decontamination_awkward(spark):
     df = tables.awkward(spark)
     items = spark.createDataFrame([(1, LONG, "k", "a")], ITEMS)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import null_safe, seal, sealed_column, unseal, written
@@ -184,8 +184,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: i
     Texts are cut at blanks, stripped of outer punctuation and lower-cased; numbers, units after numbers and names (capitals inside
     a sentence, common given names anywhere) become typed places. Windows of ``window`` template tokens are hashed and joined;
     each is hashed word for word and, with ``least_words`` ordinary words or more, as a template. An item is held if, along one alignment, ``span``
-    tokens in a row (the whole item, if shorter) match and every value of the item's places stands for one value of the document. changed_slots
-    counts the values that differ: 0 is a verbatim copy.
+    tokens in a row (the whole item, if shorter) match and, in that span, every value of the item's places stands for one value of the document; what
+    stands elsewhere in the text plays no part. Neighbouring spans are one match. changed_slots counts its values that differ: 0 is a verbatim copy.
 
     Windows go to a shuffle only if a filter of bounded size, made from the benchmark's windows, may hold them; the exact join follows.
     Null and empty texts hold nothing; items under five tokens betray nothing. Repeated items are reported each, repeated rows
@@ -204,14 +204,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: i
     left = wanted.select("length", "digest", F.col("key").alias("item_key"), F.col("id").alias("item_id"), F.col("tokens").alias("item_tokens"),
                          F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     joined = hits.join(left, ["length", "digest"]).where(F.size("slots") == F.size("item_slots"))
-    aligned = joined.groupBy("key", "id", "item_key", "item_id", "item_tokens", "length", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.count_distinct("item_at").alias("windows"), F.min("at").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"))
-    enough = F.col("windows") >= F.least(F.lit(span), F.col("item_tokens")) - F.col("length") + 1
+    place = ["key", "id", "item_key", "item_id", "item_tokens", "length", "shift"]
+    need = F.least(F.lit(span), F.col("item_tokens")) - F.col("length") + 1  # windows of a span
+    window_pairs = joined.select(*place[:-1], (F.col("at") - F.col("item_at")).alias("shift"), "item_at", need.alias("need"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    # a window belongs to every span it lies in, and each span is judged by its own windows alone
+    spans = window_pairs.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("item_at") - F.col("need") + 1), F.least(F.col("item_at"), F.col("item_tokens") - F.col("length") - F.col("need") + 1))).alias("start"))
+    judged = spans.groupBy(*place, "need", "start").agg(F.count_distinct("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     same = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")
-    good = aligned.where(enough & same).withColumns({
-        "matched_tokens": (F.col("windows") + F.col("length") - 1).cast("int"),
-        "changed_slots": F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))})
+    line = Window.partitionBy(*place).orderBy("start")  # bounded by the item's tokens
+    good = judged.where((F.col("windows") == F.col("need")) & same).withColumn("island", F.col("start") - F.row_number().over(line)).groupBy(*place, "need", "island").agg(
+        F.count(F.lit(1)).alias("spans"), (F.min("start") + F.col("shift")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")).withColumns({
+            "matched_tokens": (F.col("spans") + F.col("need") + F.col("length") - 2).cast("int"),
+            "changed_slots": F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))})
     best = good.groupBy("key", "id", "item_key", "item_id", "item_tokens").agg(
         F.max(F.struct("matched_tokens", (-F.col("changed_slots")).alias("fewer"), (-F.col("at")).alias("earlier"))).alias("best"))
     return best.select("key", "id", "item_id", "best.matched_tokens", "item_tokens", (-F.col("best.earlier")).alias("at"), (-F.col("best.fewer")).alias("changed_slots"))
