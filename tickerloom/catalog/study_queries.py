@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.catalog import inputs as src
-from tickerloom.catalog.feature_queries import FULL_MATRIX_SQL, matrix
+from tickerloom.catalog.feature_queries import FULL_MATRIX_SQL, SQL_FEATURES, matrix
 from tickerloom.catalog.panel_queries import (
     DEFAULT_FOLDS_SQL, SQL_CDF, SQL_SCORES, regime_table, scratch)
 from tickerloom.catalog.registry import query, r
@@ -532,18 +532,15 @@ def _sharpe_boot(spark, d):
     return st.sharpe_bootstrap_ci(daily(spark, d), key=("series_id", "date"), n_bootstrap=REPLICATES)
 
 
-USER_REPLICATES = 1_000
-
-
-@query("ud01_user_statistic_bootstrap", "SELECT * EXCLUDE (point_estimate) FROM (" + _boot_sql("max(CASE WHEN w > 0 THEN x END) - min(CASE WHEN w > 0 THEN x END)", "max(strategy_return) - min(strategy_return)", USER_REPLICATES) + ")")
+@query("ud01_user_statistic_bootstrap", _boot_sql("max(CASE WHEN w > 0 THEN x END) - min(CASE WHEN w > 0 THEN x END)", "max(strategy_return) - min(strategy_return)", REPLICATES))
 def _user_statistic(spark, d):
-    return st.bootstrap_ci_callable(daily(spark, d), "strategy_return", ["series_id", "date"], lambda a: float(a.max() - a.min()), USER_REPLICATES)
+    return st.bootstrap_ci_callable(daily(spark, d), "strategy_return", ["series_id", "date"], lambda a: float(a.max() - a.min()), REPLICATES)
 
 
 def _psi_sql(names, source, train, test) -> str:
-    tall = " UNION ALL ".join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS v, {train} AS is_ref, {test} AS is_cur FROM {source}" for n in names)
+    tall = " UNION ALL ".join(f"SELECT '{n}' AS feature, round({n}::DOUBLE, 6) AS v, {train} AS is_ref, {test} AS is_cur FROM {source}" for n in names)
     return f"""tall AS ({tall}), ref AS (SELECT * FROM tall WHERE is_ref AND v IS NOT NULL), cur AS (SELECT * FROM tall WHERE is_cur AND v IS NOT NULL),
-edges AS (SELECT feature, min(v) AS lo, (max(v) - min(v)) / 10 AS w FROM ref GROUP BY feature),
+edges AS (SELECT feature, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN 1.0 ELSE max(v) - min(v) END / 10 AS w FROM ref GROUP BY feature),
 rb AS (SELECT feature, CAST(least(greatest(floor((v - lo) / w), 0), 9) AS INTEGER) AS bin, count(*) AS n FROM ref JOIN edges USING (feature) GROUP BY ALL),
 cb AS (SELECT feature, CAST(least(greatest(floor((v - lo) / w), 0), 9) AS INTEGER) AS bin, count(*) AS n FROM cur JOIN edges USING (feature) GROUP BY ALL),
 spine AS (SELECT feature, CAST(i AS INTEGER) AS bin FROM edges, range(0, 10) t(i)),
@@ -558,24 +555,28 @@ def _psi(spark, d):
     return st.population_stability_index(rows.where(year < 1998), rows.where(year >= 1998), "l_extendedprice")
 
 
-PSI_NAMES = ["rsi_14", "macd_line", "vwap_ratio", "vol_ma_ratio", "adx_14", "zscore_20", "dist_52w_high", "realized_vol_20"]
+PSI_NAMES = list(SQL_FEATURES)  # every feature of the matrix
 
 
 @query("st06_feature_psi", f"{FULL_MATRIX_SQL}, {_psi_sql(PSI_NAMES, 'matrix', 'year(date) < 1999', 'year(date) >= 1999')} SELECT feature, {r('psi')}, psi >= 0.25 AS drifted FROM psi")
 def _feature_psi(spark, d):
     # Read three times below, so it is stored once first, as a study does.
     path = f"{scratch(spark)}/matrix"
-    matrix(spark, d).select("date", *PSI_NAMES).write.parquet(path)
+    matrix(spark, d).select("date", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in PSI_NAMES]).write.parquet(path)
     m = spark.read.parquet(path)
     return st.feature_psi(m.where(F.year("date") < 1999), m.where(F.year("date") >= 1999), PSI_NAMES)
 
 
+KS_P = ("CASE WHEN lam < 0.05 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: 2.0 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam))), 0.0), 1.0) END")
+
+
 @query("st07_ks_two_sample", f"WITH {SQL_RETURN_PAIR}, x AS (SELECT r1 AS v, 1 AS a FROM rp UNION ALL SELECT r2, 0 FROM rp), c AS (SELECT v, sum(a) OVER (ORDER BY v) AS ca, sum(1 - a) OVER (ORDER BY v) AS cb, "
-       f"sum(a) OVER () AS m, sum(1 - a) OVER () AS n FROM x) SELECT {r('max(abs(ca / m - cb / n)) AS ks_statistic')} FROM c")
+       f"sum(a) OVER () AS m, sum(1 - a) OVER () AS n FROM x WHERE v IS NOT NULL), k AS (SELECT max(abs(ca / m - cb / n)) AS ks_statistic, max(m)::DOUBLE AS m, max(n)::DOUBLE AS n FROM c), "
+       f"l AS (SELECT ks_statistic, sqrt(m * n / (m + n)) * ks_statistic AS lam FROM k) SELECT {r('ks_statistic', KS_P + ' AS p_value')} FROM l")
 def _ks(spark, d):
     p = return_pair(spark, d)
     left, right = p.select(F.col("r1").alias("v")), p.select(F.col("r2").alias("v"))
-    return st.ks_two_sample(left, right, "v").select("ks_statistic")
+    return st.ks_two_sample(left, right, "v")
 
 
 @query("st08_significance_table", f"WITH l AS (SELECT pow({Y} - {P1}, 2) AS e1, pow({Y} - {P2}, 2) AS e2 FROM lineitem), a AS (SELECT avg(e1 - e2) / sqrt(var_samp(e1 - e2) / count(*)) AS z FROM l), "

@@ -146,6 +146,8 @@ class FoldRows:
 
 def fold_rows(table: DataFrame, folds: Sequence[fold_ops.Fold], settings: FoldSettings = FoldSettings()) -> FoldRows:
     """Deals a table to its folds: training rows (with ``is_valid``; the last ``purge_days`` before the end are left out) and test rows."""
+    if not folds:
+        raise ValueError("the dates are too few for a fold")
     if settings.purge_days:
         folds = [replace(f, train_end=_minus_days(f.train_end, settings.purge_days)) for f in folds]
     assigned = assign_folds(table, folds)

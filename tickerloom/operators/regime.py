@@ -226,8 +226,12 @@ def hybrid_regime(states: DataFrame, changes: DataFrame, rules: DataFrame, below
 
 
 def detect_regime(index: DataFrame, settings: RegimeSettings = RegimeSettings(), k: Series = INDICES) -> DataFrame:
+    """Hidden Markov states, mean shifts of least cost and the rules, combined."""
+    from tickerloom.operators.markov import markov_state  # both build on this module
+    from tickerloom.operators.segmentation import optimal_changepoints
+
     rules = rule_regime(index, settings, k).select(*k.keys, "date", "rule_regime")
-    return hybrid_regime(mixture_state(index, settings, k), changepoints(index, settings, k), rules,
+    return hybrid_regime(markov_state(index, settings, k), optimal_changepoints(index, settings, k), rules,
                          settings.override_below_prob)
 
 

@@ -135,16 +135,19 @@ def bootstrap_ci_callable(daily: DataFrame, value: str, key: Sequence[str], stat
     series, which the calendar bounds. Use ``bootstrap_ci`` for anything Columns can express."""
     import pandas as pd
 
-    drawn = _replicates(daily.where(F.col(value).isNotNull()), key, value, n_bootstrap, seed).where("_w > 0")
+    known = daily.where(F.col(value).isNotNull())
+    drawn = _replicates(known, key, value, n_bootstrap, seed).where("_w > 0").select("rep", F.col("_x").cast("double").alias("_x"), F.col("_w").cast("int").alias("_w"))
+    # the rows as they are give the point estimate, under a number that no replicate has
+    drawn = drawn.unionByName(known.select(F.lit(-1).alias("rep"), F.col(value).cast("double").alias("_x"), F.lit(1).alias("_w")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         sample = pdf["_x"].repeat(pdf["_w"]).to_numpy()
         return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "_s": [float(statistic(sample))]})
 
-    stats = drawn.select("rep", "_x", "_w").groupBy("rep").applyInPandas(one, "rep int, _s double")
-    alpha = 1.0 - ci
-    return stats.agg(F.percentile("_s", alpha / 2).alias("ci_lower"), F.percentile("_s", 1 - alpha / 2).alias("ci_upper"),
-                     F.stddev_pop("_s").alias("std_error"))
+    stats = drawn.groupBy("rep").applyInPandas(one, "rep int, _s double")
+    alpha, s = 1.0 - ci, F.when(F.col("rep") >= 0, F.col("_s"))
+    return stats.agg(F.max(F.when(F.col("rep") < 0, F.col("_s"))).alias("point_estimate"), F.percentile(s, alpha / 2).alias("ci_lower"),
+                     F.percentile(s, 1 - alpha / 2).alias("ci_upper"), F.stddev_pop(s).alias("std_error"))
 
 
 # drift ----------------------------------------------------------------------------------------------------------

@@ -51,7 +51,7 @@ def run_study(raw_bars: DataFrame, raw_index: DataFrame | None, work_folder: str
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in figures.columns])).alias("_m")).select(
         F.lit("portfolio").alias("context"), "_m.name", "_m.value")
     result = {
-        "model_comparison": reports.model_comparison(per_fold), "ablation_layout": reports.model_table(per_fold),
+        "model_comparison": reports.model_comparison(per_fold), "model_table": reports.model_table(per_fold),
         "regime_performance": reports.regime_performance(predictions), "portfolio_metrics": figures,
         "significance": statistics.significance_table({"ensemble vs static": dm, "returns": dm_returns}, {"sharpe": boot}),
         "integrity": quality.integrity_report(long_figures),
