@@ -587,9 +587,9 @@ def _significance(spark, d):
     return st.significance_table({"base vs static": st.diebold_mariano(pair(spark, d))}, {"mean return": boot})
 
 
-@query("tk05_psi_ranked", f"{FULL_MATRIX_SQL}, {_psi_sql(PSI_NAMES, 'matrix', 'year(date) < 1999', 'year(date) >= 1999')} SELECT feature, {r('psi')}, row_number() OVER (ORDER BY psi DESC) AS place FROM psi")
+@query("tk05_psi_ranked", f"{FULL_MATRIX_SQL}, {_psi_sql(PSI_NAMES, 'matrix', 'year(date) < 1999', 'year(date) >= 1999')} SELECT feature, {r('psi')}, row_number() OVER (ORDER BY round(psi, 6) DESC, feature) AS place FROM psi")
 def _psi_ranked(spark, d):
     from pyspark.sql import Window
 
     # As many rows as features.
-    return _feature_psi(spark, d).select("feature", "psi", F.row_number().over(Window.orderBy(F.col("psi").desc())).cast("bigint").alias("place"))
+    return _feature_psi(spark, d).select("feature", "psi", F.row_number().over(Window.orderBy(F.round("psi", 6).desc(), "feature")).cast("bigint").alias("place"))
