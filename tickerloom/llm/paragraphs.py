@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import seal, sealed_column, written
@@ -17,14 +19,17 @@ from tickerloom.llm.components import components
 from tickerloom.llm.filters import filter_bits, held_digests, may_hold
 
 SHINGLE = 5
-#: Bands and rows: of paragraphs with a Jaccard similarity of 0.8, 99.4 % share a band. Shingles of five words are rare enough that few
-#: rows do: unlike paragraphs share none.
-BANDS, ROWS = 5, 2
+#: Bands and rows: of paragraphs with a Jaccard similarity of 0.8, 99.1 % share a band, of one of 0.3 7 %.
+BANDS, ROWS = 9, 4
 #: Fewer words make no other paragraph of that similarity: one shingle more or less is over a fifth.
 LEAST_BANDED = SHINGLE + 3
 SIMILARITY = 0.8
 #: Of a band of no more different texts all pairs are compared at once.
 FEW = 8
+#: Members of a larger band that each of its members is compared with.
+REPRESENTATIVES = 3
+#: Bits of a text's sketch, in two longs.
+SKETCH = 128
 #: All pairs left are compared when they are no more than so many times the rows they are made of.
 ALL_LEFT = 20
 #: Paragraphs of more words are also compared in parts, cut where the text itself says.
@@ -35,8 +40,10 @@ REACH = 5
 SAME = 16
 KNOWN = 200_000
 TOGETHER = 20_000
+#: Shingles that a task keeps of the texts it compares (8 bytes each).
+KEPT_SHINGLES = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
-MULTIPLIERS = np.random.default_rng(7).integers(1, 2 ** 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS, SKETCHERS = (np.random.default_rng(seed).integers(1, 2 ** 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed, n in ((7, BANDS * ROWS), (8, SKETCH)))
 
 
 class WordHashes(dict):
@@ -144,49 +151,122 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["row", "id", "word", "words", "digest", "bands", "text"])
 
 
-def shingle_set(text: str) -> frozenset:
-    words = text.split(" ")
-    return frozenset(zip(*[words[i:] for i in range(SHINGLE)]))
+def shingles_of(text: str, hashes: WordHashes) -> np.ndarray:
+    """The distinct shingles of a paragraph's text, as sorted hashes of 64 bits."""
+    words = text.encode("utf-8", "replace").split(b" ")
+    return np.unique(rolling(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), SHINGLE))
 
 
 def alike(similarity: float):
     @F.pandas_udf("boolean")
     def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        sets = lru_cache(1024)(shingle_set)
+        hashes, kept, held = WordHashes(), {}, 0
         for one, other in batches:
             found = []
-            for a, b in zip(one, other):
-                s, t = sets(a), sets(b)
-                common = len(s & t)
+            for pair in zip(one, other):
+                if len(hashes) > KNOWN:
+                    hashes.clear()
+                if held > KEPT_SHINGLES:
+                    kept, held = {}, 0
+                sets = []
+                for text in pair:
+                    if text not in kept:
+                        kept[text] = shingles_of(text, hashes)
+                        held += len(kept[text])
+                    sets.append(kept[text])
+                s, t = sets
+                common = len(np.intersect1d(s, t, assume_unique=True))
                 found.append(common >= similarity * (len(s) + len(t) - common))
             yield pd.Series(found, dtype="bool")
 
     return compared
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """(key, digest, n): the rows of (digest, key) whose key several have, n being how many."""
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(keyed.join(counts, "key").select("key", "digest", "n"))
+def held_keys(held: np.ndarray):
+    """(key, digest) of the bands of rows (digest, bands) whose key the filter may hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).flatten()
+            digests = batch.column(0).take(pc.list_parent_indices(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([keys, digests], names=["key", "digest"]).filter(pa.array(may_hold(held, keys.to_numpy().view(np.uint64))))
+
+    return run
+
+
+def shared_keys(units: DataFrame) -> DataFrame:
+    """(key, digest): the bands that several digests have. All bands are shuffled once, to find their first and last digest; what has no
+    partner is then held back by a bounded filter."""
+    banded = units.where("bands is not null").select("digest", "bands")
+    ends = banded.select("digest", F.explode("bands").alias("key")).groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    keys = written(ends.where("low < high").select("key"))
+    held = held_digests(keys.select(F.col("key").alias("digest")), filter_bits(keys.count()))
+    return written(banded.mapInArrow(held_keys(held), "key long, digest long").join(keys, "key", "left_semi").distinct())
+
+
+def held_shapes(held: np.ndarray):
+    """(digest, size, one, two) of the texts (digest, text) that the filter may hold: the number of distinct shingles, and a bit of each of
+    SKETCH minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = WordHashes(), {}
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(held, batch.column(0).to_numpy().view(np.uint64))))
+            digests = batch.column(0).to_pylist()
+            rows = []
+            for digest, text in zip(digests, batch.column(1)):
+                if digest not in known:
+                    if len(hashes) > KNOWN:
+                        hashes.clear()
+                    if len(known) > TOGETHER:
+                        known.clear()
+                    shingles = shingles_of(text.as_py(), hashes)
+                    bits = np.array([np.min(stirred(shingles * m)) for m in SKETCHERS]) & np.uint64(1)
+                    known[digest] = (len(shingles), *np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+                rows.append(known[digest])
+            size, one, two = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                                             names=["digest", "size", "one", "two"])
+
+    return run
+
+
+def shapes_of(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, size, one, two) of the wanted digests (unique), once each; no text is shuffled."""
+    held = held_digests(wanted, filter_bits(wanted.count()))
+    shapes = units.where("text is not null").select("digest", "text").mapInArrow(held_shapes(held), "digest long, size int, one long, two long")
+    return written(shapes.dropDuplicates(["digest"]).join(wanted, "digest", "left_semi"))
+
+
+def may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two shapes allow that similarity: by their sizes, and by their sketches with a margin of six deviations, so that of ten million
+    pairs of that similarity about one is lost."""
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("one", "two")), F.lit(0))
+    expected = SKETCH * (1 - similarity) / 2
+    most = math.ceil(expected + 6 * math.sqrt(expected * (1 + similarity) / 2) + 1)
+    sizes = F.least(f"{a}.size", f"{b}.size") >= similarity * F.greatest(f"{a}.size", f"{b}.size") - 1e-6
+    return (F.col(f"{a}.root") != F.col(f"{b}.root")) & sizes & (differ <= most)
 
-def representative_pairs(met: DataFrame, salt: int = 0) -> DataFrame:
-    """(a, b): each digest of (key, digest) with three of its key: the first and last by digest, or by another order for another
-    ``salt``, and the first by yet another."""
-    order = F.xxhash64("digest", F.lit(salt)) if salt else F.col("digest")
-    other = F.xxhash64(F.lit(salt), "digest") if salt else F.xxhash64("digest")
-    marks = met.groupBy("key").agg(*[f(F.struct(x, F.col("digest").alias("to")))["to"].alias(c) for f, x, c in (
-        (F.min, order.alias("o"), "x"), (F.max, order.alias("o"), "y"), (F.min, other.alias("o"), "z"))])
-    to = marks.select("key", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("to"))
-    return met.join(to, "key").where("digest <> to").select(F.least("digest", "to").alias("a"), F.greatest("digest", "to").alias("b")).distinct()
 
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
 
-def band_pairs(met: DataFrame) -> DataFrame:
-    """(a, b): pairs of digests of (key, digest, n) to be compared first: all of a key of ``FEW`` members, of others each member with
-    three of them."""
-    all_of = F.sort_array(F.collect_list("digest")).alias("all")  # at most FEW
-    few = met.where(F.col("n") <= FEW).groupBy("key").agg(all_of).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
-    return written(few.unionByName(representative_pairs(met.where(F.col("n") > FEW))).distinct())
+
+def representative_pairs(met: DataFrame, similarity: float, salt: int = 0) -> DataFrame:
+    """(a, b): each member of (key, digest, root, size, one, two) with those of its key's representatives, the first of some orders, that it
+    may be like."""
+    member = F.struct("digest", "root", "size", "one", "two")
+    marks = met.groupBy("key").agg(F.array(*[
+        F.min(F.struct(F.xxhash64("digest", F.lit(salt * REPRESENTATIVES + i)).alias("o"), member.alias("m")))["m"] for i in range(REPRESENTATIVES)]).alias("marks"))
+    both = met.select("key", member.alias("x")).join(marks, "key").select("x", F.explode(F.array_distinct("marks")).alias("y"))
+    return ordered_pairs(both.where(may_be_alike("x", "y", similarity)))
+
+
+def listed_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the members of a key of (key, digest, root, size, one, two) that may be like each other."""
+    member = F.struct("digest", "root", "size", "one", "two")
+    one, other = met.select("key", member.alias("x")), met.select(F.col("key").alias("_key"), member.alias("y"))
+    return ordered_pairs(one.join(other, (F.col("key") == F.col("_key")) & (F.col("x.root") < F.col("y.root")) & may_be_alike("x", "y", similarity)))
 
 
 def held_texts(held: np.ndarray):
@@ -205,17 +285,24 @@ def texts_of(units: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose word shingles have at least that Jaccard similarity."""
+    """The pairs whose word shingles, as hashes of 64 bits, have at least that Jaccard similarity."""
     texts = texts_of(units, written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("_b")), "b")
     return written(both.where(alike(similarity)("_a", "_b")).select("a", "b"))
 
 
-def still_open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of (key, digest, ...) whose key has members of several components (node, root), with their component as ``root``."""
-    named = keyed.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return written(named.join(several, "key"))
+def joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of (key, digest, root, ...) with their roots after those links; only roots that a link joins enter the components."""
+    of = rooted.select("digest", "root").distinct()
+    edges = links.join(of.select(F.col("digest").alias("a"), F.col("root").alias("_a")), "a").join(of.select(F.col("digest").alias("b"), F.col("root").alias("_b")), "b")
+    moved = components(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return rooted.join(moved, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+
+
+def still_open(rooted: DataFrame) -> DataFrame:
+    """The rows of (key, digest, root, ...) whose key has members of several components."""
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return written(rooted.join(several, "key", "left_semi"))
 
 
 def list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +313,7 @@ def list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for r, text in enumerate(batch.column(1).to_pylist()):
             if len(hashes) > KNOWN:
                 hashes.clear()
-            words = text.encode("utf-8", "replace").split(b" ")
-            found.append(np.unique(rolling(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), SHINGLE)))
+            found.append(shingles_of(text, hashes))
             row.append(r)
             sizes.append(len(found[-1]))
         each = np.repeat(np.array(row, np.int64), sizes)
@@ -247,50 +333,47 @@ def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
     return written(first.select(F.col("shingle").alias("key"), "digest", "size"))
 
 
-def rest_links(members: DataFrame, links: DataFrame, roots: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): ``links``, whose components are ``roots``, and what else is alike among the members (digest).
+def rest_links(open_rows: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): what is alike among the digests of (digest, root, size, one, two), unless their roots are the same, enough to connect it.
 
-    Members that have a rare shingle in common and are not linked yet, directly or not, are compared: with three of the shingle and, as long
-    as that links much, with three others; then all pairs that are left."""
-    keyed = rare_shingles(texts_of(units, members), similarity)
-    salt, linked = 0, 1
+    Members that have a rare shingle in common and are not linked yet, directly or not, are compared: with representatives of the shingle
+    and, as long as that links something, with others; then what is left, each pair by size and sketch before anything is listed."""
+    keyed = rare_shingles(texts_of(units, written(open_rows.select("digest"))), similarity)
+    left = still_open(keyed.select("key", "digest").join(open_rows, "digest"))
+    salt, links = 0, []
     while True:
-        left = still_open(keyed, roots)
         by_root = left.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("key").agg(F.sum("s").alias("n"), F.sum(F.col("s") * F.col("s")).alias("same"))
         n, pairs = by_root.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not n:
-            return links
-        every = pairs <= ALL_LEFT * n or not linked
-        if every:
-            one, other = (left.select("key", F.col("digest").alias(c), F.col("root").alias(f"root_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
-            alike_sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-            chosen = one.join(other, "key").where((F.col("root_a") < F.col("root_b")) & alike_sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            salt += 1
-            chosen = representative_pairs(left, salt)
-        more = verified(written(chosen), units, similarity)
-        links = written(links.unionByName(more).distinct())
+            break
+        every = pairs <= ALL_LEFT * n or (links and links[-1].isEmpty())
+        salt += 1
+        links.append(verified(written(listed_pairs(left, similarity) if every else representative_pairs(left, similarity, salt)), units, similarity))
         if every:
-            return links
-        linked = not more.isEmpty()
-        roots = components(links) if linked else roots
-        keyed = left.drop("root")
+            break
+        left = still_open(joined(left, links[-1]))
+    return reduce(DataFrame.unionByName, links, units.sparkSession.createDataFrame([], "a long, b long") if not links else links.pop(0))
 
 
 def near_links(units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): pairs of different texts (digest, bands, text) whose word shingles have at least that Jaccard similarity, enough to connect
     all such pairs that share a band.
 
-    Equal texts are folded first. Of a band of few all pairs are compared, of a larger one each member with three of it. If that does
-    not connect the whole band, its members are compared by their rare shingles, which leaves out no pair of that similarity."""
-    met = shared_keys(units.where("bands is not null").groupBy("digest").agg(F.min("bands").alias("bands")).select("digest", F.explode("bands").alias("key")))
-    links = verified(band_pairs(met), units, similarity)
-    large = met.where(F.col("n") > FEW).select("key", "digest")
+    Equal texts are folded first. Of a band of few all pairs are compared, of a larger one each member with representatives. If that does
+    not connect the whole band, its members are compared by their rare shingles, which leaves out no pair of that similarity. Sizes and
+    sketches decide which pairs' texts are looked at."""
+    keys = shared_keys(units)
+    shapes = shapes_of(units, written(keys.select("digest").distinct()))
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = written(keys.join(counts, "key").join(shapes, "digest").withColumn("root", F.col("digest")))
+    few, large = met.where(F.col("n") <= FEW), met.where(F.col("n") > FEW)
+    links = verified(written(listed_pairs(few, similarity).unionByName(representative_pairs(large, similarity)).distinct()), units, similarity)
     if large.isEmpty():
         return links
-    roots = components(links)
-    members = written(still_open(large, roots).select("digest").distinct())
-    return links if members.isEmpty() else rest_links(members, links, roots, units, similarity)
+    roots = components(links).select(F.col("node").alias("digest"), F.col("root").alias("_root"))
+    left = still_open(large.join(roots, "digest", "left").withColumn("root", F.coalesce("_root", "root")).select("key", "digest", "root", "size", "one", "two"))
+    open_rows = written(left.drop("key").distinct())
+    return links if open_rows.isEmpty() else written(links.unionByName(rest_links(open_rows, units, similarity)).distinct())
 
 
 def held_by(held: np.ndarray):
