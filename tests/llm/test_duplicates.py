@@ -261,3 +261,30 @@ def test_passages_wrapped_differently_are_found(spark):
     for xs in by.values():
         assert sum(x.kept for x in xs) == 1 and len({x.id // 3 for x in xs}) == 1
         assert len({tuple(texts[x.id][x.word:x.word + x.words]) for x in xs}) == 1
+
+
+def test_spans_are_repeated_word_for_word(spark):
+    r = random.Random(20)
+    stock = [words(r, 6) for _ in range(60)]
+    rows, phrases = [], set(range(1000, 1012))
+    for p in range(30):
+        passage, line = words(r, 60), words(r, 30)
+        for c in range(3):  # inside a line, and as a line with a phrase behind it
+            rows.append((3 * p + c, words(r, r.randrange(1, 40)) + " " + passage + " " + words(r, r.randrange(1, 40)), "s"))
+            rows.append((200 + 3 * p + c, words(r, 9) + "\n" + line + "\n" + r.choice(stock), "s"))
+    rows += [(i, "\n".join(r.sample(stock, 8)), "s") for i in phrases]
+    units = paragraphs.repeated(tables.documents(spark, rows))
+    got = paragraphs.spans(units).collect()
+    texts = {i: (t or "").lower().split() for i, t, _ in rows}
+    plain = {i: " " + " ".join(t) + " " for i, t in texts.items()}
+    for x in got:
+        stretch = " " + " ".join(texts[x.id][x.word:x.word + x.words]) + " "
+        assert x.words >= paragraphs.LEAST_SPAN and any(stretch in t for i, t in plain.items() if i != x.id)
+    found = {x.id for x in got}
+    assert {200 + i for i in range(90)} <= found and not found & phrases
+    assert len(found & set(range(90))) >= 86
+    by = {}
+    for x in got:
+        by.setdefault(x.id, []).append(x.words)
+    assert all(30 <= max(by[i]) <= 36 for i in range(200, 290))
+    assert paragraphs.spans(units.where("false")).count() == 0

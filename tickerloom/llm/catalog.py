@@ -138,7 +138,7 @@ def op9_exact_top_k(spark, folder):
 
 @query("op7_substring_dedup")
 def op7_substring_dedup(spark, folder):
-    found = paragraphs.repeated(table(spark, folder, "documents").select("doc_id", "text"))
+    found = paragraphs.spans(paragraphs.repeated(table(spark, folder, "documents").select("doc_id", "text")))
     return found.select(F.col("id").alias("doc_id"), "word", "words", "class_id", "kept")
 
 
