@@ -42,6 +42,8 @@ LEAST_SPAN = 15
 SAME = 16
 KNOWN = 200_000
 TOGETHER = 20_000
+#: Hashes made at once; shingles that need more are hashed for one multiplier after another, which stays in the processor's cache.
+AT_ONCE = 100_000
 #: Shingles that a task keeps of the texts it compares (8 bytes each).
 KEPT_SHINGLES = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,12 +88,16 @@ def part_starts(words: np.ndarray) -> list[int]:
     return sorted(cuts | {0})
 
 
+def minima(shingles: np.ndarray, starts: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The least hashes [paragraph, multiplier] of consecutive runs of shingles."""
+    if len(shingles) * len(multipliers) <= AT_ONCE:  # one pass over a small matrix
+        return np.minimum.reduceat(stirred(multipliers[:, None] * shingles[None, :]), starts, axis=1).T
+    return np.stack([np.minimum.reduceat(stirred(shingles * m), starts) for m in multipliers], axis=1)
+
+
 def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Band keys [paragraph, band] of consecutive runs of shingles."""
-    if len(shingles) <= TOGETHER:
-        least = np.minimum.reduceat(stirred(shingles[:, None] * MULTIPLIERS[None, :]), starts, axis=0)
-    else:  # bounds the memory of a very long text
-        least = np.stack([np.minimum.reduceat(stirred(shingles * m), starts) for m in MULTIPLIERS], axis=1)
+    least = minima(shingles, starts, MULTIPLIERS)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(starts), 1))
     for j in range(ROWS):
         keys = keys * STEP + least[:, j::ROWS]
@@ -223,7 +229,7 @@ def held_shapes(held: np.ndarray):
                     if len(known) > TOGETHER:
                         known.clear()
                     shingles = shingles_of(text.as_py(), hashes)
-                    bits = np.array([np.min(stirred(shingles * m)) for m in SKETCHERS]) & np.uint64(1)
+                    bits = minima(shingles, np.zeros(1, np.int64), SKETCHERS)[0] & np.uint64(1)
                     known[digest] = (len(shingles), *np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
                 rows.append(known[digest])
             size, one, two = zip(*rows) if rows else ((), (), ())
