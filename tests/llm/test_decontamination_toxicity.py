@@ -189,3 +189,24 @@ def test_decoding_follows_the_best_path():
 
     for text in ("1d10t", "aab.b", "t-00-l", "m.o.r", "ssss", "a", "l33t$"):
         assert decoder.decode(text) == walk(text)[1]
+
+
+def test_words_left_undecoded_have_no_weight():
+    """Every token against decoding it: short words over letters, doubled letters, leet signs, fillers and outer signs."""
+    r = random.Random(21)
+    model = np.log(np.random.default_rng(2).dirichlet(np.ones(toxicity.SIGNS) * 0.3, (toxicity.SIGNS, toxicity.SIGNS)) + 1e-9).astype(np.float32)
+    decoder = toxicity.Decoder(model)
+    weighted = ["sto", "il", "a", "tes", "ba.", "lee"]
+    weights = {f: 2.0 for w in weighted for f in toxicity.features(w)} | {f: 3.0 for f in toxicity.features("stoat")}
+    known = toxicity.Weights(decoder, weights, frozenset(w[:toxicity.STEM] for w in [*weighted, "stoat"]))
+    words = {"".join(r.choice("sstoailebx13@0.-'!(^") for _ in range(r.randrange(1, 8))) for _ in range(30_000)} | {"s t o a t", "b a .", "...", "!!", "", "st0at!"}
+    for word in sorted(words):
+        assert known[word] == max((weights.get(f, 0.0) for w in decoder.words(word) for f in toxicity.features(w)), default=0.0), word
+    assert sum(known[w] > 0 for w in words) > 100
+
+
+def test_single_signs_are_found_as_by_the_plain_pattern():
+    r = random.Random(22)
+    for _ in range(5000):
+        text = "".join(r.choice("ab.  \t\n") for _ in range(r.randrange(0, 25)))
+        assert toxicity.tokens(text) == set(text.split()) | {m.group(0) for m in toxicity.SINGLES.finditer(text)}

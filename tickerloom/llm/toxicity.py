@@ -32,7 +32,11 @@ DOUBTFUL = re.compile(r"(.)\1|[0-9@$!|+€£¡(.\-_*~'`^:;,/\\·•#%&=]")
 LETTER = re.compile(r"[^\W\d_]")
 OUTER = ".,;:!?|*#%&\"'()[]{}<>«»„“”…-_~`"
 SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S(?!\S)){2,}")
+#: What every run of single signs holds, found faster than the run itself.
+IN_SINGLES = re.compile(r"[ \t]\S[ \t]{1,2}\S(?!\S)")
 PREFIXES = range(3, 9)
+#: Signs of a feature's stem: all features of a word begin with them, for no beginning is shorter.
+STEM = 3
 #: Labelled rows the classifier is fitted on at most, chosen by a hash of their id.
 SAMPLE = 20_000
 #: Toxic rows of the sample that must hold a feature.
@@ -97,6 +101,30 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((three + 5 * double) / (three.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
+def core_of(token: str) -> str:
+    return token.strip(OUTER) if token[-1:] not in "!" else token.rstrip("?.,;:").strip("\"'([{<«„“")
+
+
+def may_begin(core: str, stems: frozenset[str]) -> bool:
+    """False only if no way through the lattice of the core gives a word that begins with one of the stems. Follows the first signs of all outputs."""
+    if not core:
+        return False
+    if " " in core or not LETTER.match(core):  # several words, or signs at the front that may go
+        return True
+    begun, before = {""}, ""
+    for x in core:
+        longer = {b + y for b in begun for y in x + LEET.get(x, "")}
+        if any(b[-1] in OUTER or (len(b) == STEM and b in stems) for b in longer):  # outer signs may be stripped
+            return True
+        if not (x in FILLERS or (x == before and LETTER.match(x))):
+            begun = set()
+        begun |= {b for b in longer if len(b) < STEM}
+        if not begun:
+            return False
+        before = x
+    return not begun.isdisjoint(stems)
+
+
 class Decoder:
     """The most likely word behind an obfuscated one: Viterbi over the lattice of what each sign may stand for."""
 
@@ -141,7 +169,7 @@ class Decoder:
 
     def words(self, token: str) -> list[str]:
         """The restored words of a lower-case token, or of single signs set apart by blanks. A token whose lattice has one path is its own."""
-        core = token.strip(OUTER) if token[-1:] not in "!" else token.rstrip("?.,;:").strip("\"'([{<«„“")
+        core = core_of(token)
         if not LETTER.search(core):
             return [core] if core else []
         if DOUBTFUL.search(core) or " " in core:
@@ -156,43 +184,59 @@ def features(word: str) -> list[int]:
 
 def tokens(text: str | None) -> set[str]:
     low = (text or "").lower()
-    return set(low.split()) | {m.group(0) for m in SINGLES.finditer(low)}
+    found = set(low.split())
+    if IN_SINGLES.search(low):
+        found.update(m.group(0) for m in SINGLES.finditer(low))
+    return found
 
 
 def count_features(model: np.ndarray):
-    """Rows of the sample that hold each feature, by label and half, summed over a task."""
+    """Rows of the sample that hold each feature, by label and half, summed over a task; and the feature's stem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, known = Decoder(model), {}
         for batch in batches:
-            counts: dict[int, list[int]] = {}
+            counts: dict[int, list] = {}
             for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
-                held = set()
+                held = {}
                 for t in tokens(text):
                     got = known.get(t)
                     if got is None:
                         if len(known) > KNOWN // 4:
                             known.clear()
-                        got = known[t] = [f for w in decoder.words(t) for f in features(w)]
+                        got = known[t] = {f: w[:STEM] for w in decoder.words(t) for f in features(w)}
                     held.update(got)
                 at = 2 * half + label
-                for f in held:
-                    counts.setdefault(f, [0, 0, 0, 0])[at] += 1
-            columns = list(zip(*counts.values())) if counts else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64())] + [pa.array(c, pa.int64()) for c in columns], names=["feature", "c0", "t0", "c1", "t1"])
+                for f, stem in held.items():
+                    if f not in counts:
+                        counts[f] = [0, 0, 0, 0, stem]
+                    counts[f][at] += 1
+            columns = list(zip(*counts.values())) if counts else [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64())] + [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.string())],
+                                             names=["feature", "c0", "t0", "c1", "t1", "stem"])
 
     return run
 
 
 class Weights(dict):
-    """Token to the largest weight of its features; 0 if none speaks for toxicity."""
+    """Token to the largest weight of its features; 0 if none speaks for toxicity.
+
+    Only tokens of which a word may begin with the stem of a weighted feature are decoded: all others have no weight whatever they stand for."""
 
-    def __init__(self, decoder: Decoder, weights: dict[int, float]):
+    def __init__(self, decoder: Decoder, weights: dict[int, float], stems: frozenset[str]):
         super().__init__()
-        self.decoder, self.weights = decoder, weights
+        self.decoder, self.weights, self.stems = decoder, weights, stems
+        self.sure: dict[str, bool] = {}
 
     def __missing__(self, token: str) -> float:
-        found = max((self.weights.get(f, 0.0) for w in self.decoder.words(token) for f in features(w)), default=0.0)
+        core = core_of(token)
+        stem = core[:STEM]
+        begins = self.sure.get(stem)
+        if begins is None:
+            begins = may_begin(core, self.stems)
+            if len(stem) == STEM and stem.isalpha() and not DOUBTFUL.search(stem):  # letters that stand for themselves decide, whatever follows
+                self.sure[stem] = begins
+        found = max((self.weights.get(f, 0.0) for w in self.decoder.words(token) for f in features(w)), default=0.0) if begins else 0.0
         self[token] = found
         return found
 
@@ -200,15 +244,16 @@ class Weights(dict):
         """The largest and second largest weight of the text's tokens and the logarithm of how many have one."""
         if len(self) > KNOWN:
             self.clear()
+            self.sure.clear()
         held = sorted(x for x in map(self.__getitem__, tokens(text)) if x > 0)
         return (held[-1] if held else 0.0, held[-2] if len(held) > 1 else 0.0, math.log1p(len(held)))
 
 
-def evidence_of(model: np.ndarray, halves: dict[int, dict[int, float]]):
+def evidence_of(model: np.ndarray, halves: dict[int, tuple[dict[int, float], frozenset[str]]]):
     """The evidence in sample rows, weighed by what the other half of the sample says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = {h: Weights(Decoder(model), halves[1 - h]) for h in (0, 1)}
+        weights = {h: Weights(Decoder(model), *halves[1 - h]) for h in (0, 1)}
         for batch in batches:
             text, label, half = (c.to_pylist() for c in batch.columns)
             found = [weights[h].evidence(t) for t, h in zip(text, half)]
@@ -230,10 +275,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return b
 
 
-def scorer(model: np.ndarray, weights: dict[int, float], coefficients: np.ndarray):
+def scorer(model: np.ndarray, weights: dict[int, float], stems: frozenset[str], coefficients: np.ndarray):
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Weights(Decoder(model), weights)
+        known = Weights(Decoder(model), weights, stems)
         for texts in batches:
             x = np.array([known.evidence(t) for t in texts], dtype=float).reshape(-1, 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ coefficients[:3] + coefficients[3], -30, 30))), dtype="float64")
@@ -271,26 +316,27 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int
         scored = rows.withColumn("score", F.lit(1.0 if total[1] else 0.0))
     else:
         model = character_model(rows.select(text))
-        counts = fitting.mapInArrow(count_features(model), "feature long, c0 long, t0 long, c1 long, t1 long").groupBy("feature").agg(
-            *[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]).where(F.col("t0") + F.col("t1") >= support)
+        counts = fitting.mapInArrow(count_features(model), "feature long, c0 long, t0 long, c1 long, t1 long, stem string").groupBy("feature").agg(
+            *[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")], F.min("stem").alias("stem")).where(F.col("t0") + F.col("t1") >= support)
         seen = counts.collect()  # bounded by what ``sample`` rows hold
 
         def weigh(toxic: int, clean: int, of_toxic: int, of_clean: int) -> float:
             return math.log((toxic + 0.5) / (of_toxic + 1)) - math.log((clean + 0.5) / (of_clean + 1))
 
-        def table(halves: tuple[int, ...], least: int) -> dict[int, float]:
+        def table(halves: tuple[int, ...], least: int) -> tuple[dict[int, float], frozenset[str]]:
             of = [sum(sizes.get((h, y), 0) for h in halves) for y in (0, 1)]
-            made = {}
+            made, stems = {}, set()
             for r in seen:
                 toxic, clean = sum(r[f"t{h}"] for h in halves), sum(r[f"c{h}"] for h in halves)
                 if toxic >= least and (w := weigh(toxic, clean, of[1], of[0])) > 1:
                     made[r["feature"]] = w
-            return made
+                    stems.add(r["stem"])
+            return made, frozenset(stems)
 
         crossed = {0: table((0,), support // 2), 1: table((1,), support // 2)}
         evidence = np.array([tuple(r) for r in fitting.select("text", "label", "half").mapInArrow(evidence_of(model, crossed), "a double, b double, c double, label int").collect()], dtype=float)
         coefficients = logistic(evidence[:, :3], evidence[:, 3])
-        scored = rows.withColumn("score", scorer(model, table((0, 1), support), coefficients)(text))
+        scored = rows.withColumn("score", scorer(model, *table((0, 1), support), coefficients)(text))
     judged = scored.withColumns({"held_out": held_out, "predicted": (F.col("score") >= 0.5).cast("int")})
     return unseal(judged, names, ("held_out", "score", "predicted"))
 
