@@ -93,11 +93,34 @@ def test_chat_round_trip(spark):
 def test_chat_budget_and_history(spark):
     rows = [(1, 0, "system", "be nice")] + [(1, t, "user" if t % 2 else "assistant", "w " * 6) for t in range(1, 41)]
     made = sorted(chat.windows(turns(spark, rows), budget=100, history=30).collect(), key=lambda x: x.window)
-    assert len(made) > 5 and all(x.tokens <= 100 + 10 for x in made)
+    assert len(made) > 5 and all(x.tokens <= 100 for x in made)
     assert [x.n_context for x in made[1:]] == [1 + 3] * (len(made) - 1) and made[0].n_context == 0
     assert sum(len(x.loss) for x in made) == 20
 
 
+def test_chat_windows_over_budget_hold_one_new_turn_and_no_history(spark):
+    """Turns of all lengths behind system turns of all lengths: only the system turn and a single turn may be over the budget; no room is wasted on avoidable cuts."""
+    r = random.Random(8)
+    rows = []
+    for c in range(150):
+        system = r.choice([None, 2, 20, 55, 70, 94, 95, 96, 97, 200])
+        if system:
+            rows.append((c, 0, "system", "s " * system))
+        rows += [(c, t, r.choice(["user", "assistant"]), "w " * r.choice([0, 1, 5, 20, 40, 60, 90, 96, 97, 300])) for t in range(1, r.randrange(2, 25))]
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((role, len(text.split()) + chat.TEMPLATE_TOKENS))
+    over = 0
+    for x in chat.read_back(chat.windows(turns(spark, rows), budget=100, history=30)).collect():
+        lead = by[x.conv_id][0][1] if by[x.conv_id][0][0] == "system" else 0
+        fresh = [len(t.text.split()) + chat.TEMPLATE_TOKENS for t in x.turns if t.role != "system"]
+        assert x.tokens - lead - sum(fresh) <= 30
+        if x.tokens > 100:
+            over += 1
+            assert lead >= 100 and x.tokens - lead <= 100 or len(fresh) <= 1 and x.tokens == lead + sum(fresh)
+    assert over > 20
+
+
 def test_chat_empty(spark):
     assert chat.digests(chat.windows(turns(spark, []))).count() == 0
     assert chat.windows(turns(spark, [(1, 0, "user", "a")])).select(F.size("loss")).first()[0] == 0

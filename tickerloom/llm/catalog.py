@@ -107,11 +107,16 @@ l AS (SELECT *, pos = 1 AND role = 'system' AS lead,
              + (length(role) - length(replace(role, ':', '')))
              + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(role) - length(replace(role, '</turn>', ''))) // 7
              + CAST(coalesce(list_sum(list_transform(regexp_extract_all(role || chr(10) || text, '#{3,}'), lambda x: length(x) - 2)), 0) AS BIGINT) AS long FROM n),
-b AS (SELECT *, greatest(384 - coalesce(sum(CASE WHEN lead THEN tokens END) OVER (PARTITION BY conv_id), 0), 129) AS stretch,
+r AS (SELECT *, 512 - coalesce(sum(CASE WHEN lead THEN tokens END) OVER (PARTITION BY conv_id), 0) AS beside,
              coalesce(sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
-w AS (SELECT *, CAST(before AS BIGINT) // CAST(stretch AS BIGINT) AS w FROM b),
-s AS (SELECT conv_id, w, min(before) AS start FROM w WHERE NOT lead GROUP BY ALL),
-h AS (SELECT w.conv_id, sum(CASE WHEN s.start - w.before <= 128 THEN w.long ELSE 0 END) AS more FROM w JOIN s ON s.conv_id = w.conv_id AND s.w = w.w + 1 AND NOT w.lead GROUP BY 1),
+m AS (SELECT *, CAST(CASE WHEN beside > 0 THEN beside ELSE 512 END AS BIGINT) AS room FROM r),
+b AS (SELECT *, least(128, (room - 1) // 2) AS history, CAST(before AS BIGINT) // (room - least(128, (room - 1) // 2)) AS stretch FROM m),
+t AS (SELECT conv_id, stretch, sum(tokens) AS told, max(pos) AS final, count(*) AS turns FROM b WHERE NOT lead GROUP BY ALL),
+w AS (SELECT b.*, 2 * b.stretch + CASE WHEN NOT lead AND told > room - history AND pos = final AND turns > 1 THEN 1 ELSE 0 END AS w
+      FROM b LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.stretch = b.stretch),
+s AS (SELECT conv_id, w, min(before) AS start, sum(tokens) AS fresh FROM w WHERE NOT lead GROUP BY ALL),
+h AS (SELECT w.conv_id, sum(w.long) AS more FROM w JOIN s ON s.conv_id = w.conv_id AND s.w > w.w AND NOT w.lead
+      AND s.start - w.before <= least(w.history, w.room - s.fresh) GROUP BY 1),
 k AS (SELECT conv_id, count(DISTINCT CASE WHEN NOT lead OR w = 0 THEN w END) AS windows, max(CASE WHEN lead THEN long ELSE 0 END) AS lead_long FROM w GROUP BY 1)
 SELECT w.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,

@@ -32,9 +32,11 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, trained_rol
     """(conv_id, window, n_context, tokens, formatted, loss): training examples of the conversations.
 
     Turns in order have prefix sums of tokens (words and the template's own). The token stream behind a leading system turn is cut into
-    stretches of ``budget`` less ``history`` and the system turn's tokens (at least ``history`` + 1); a window's new turns are those that start in its stretch,
-    so turns stay whole and only a last turn may reach beyond. In front stand the system turn and as many of the turns before as ``history``
-    tokens hold: the ``n_context`` first turns, which are repeats (but for the system turn in the first window). ``loss`` lists the spans, in code points from 0, of the texts of
+    stretches of ``budget`` less the system turn's tokens and ``history`` (which gives way, to less than half of what the system turn leaves); a window's new turns
+    are those that start in its stretch, whole. If the last of several reaches so far beyond that they are more than a stretch, it is a window of its own (an odd
+    number). In front stand the system turn and as many of the turns before as ``history`` tokens, and the room that the new turns leave, hold:
+    the ``n_context`` first turns, which are repeats (but for the system turn in the first window). So a window is over the budget only if the system turn and a
+    single turn are, or the system turn is by itself (then windows are cut as if there were none). ``loss`` lists the spans, in code points from 0, of the texts of
     ``trained_role`` that are new in the window; repeated ones are masked, so each is trained on once.
 
     Null texts and roles are empty ones; rows of the same turn stand in the order of role and text, null turns last; rows with a null
@@ -50,17 +52,31 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, trained_rol
     placed = lead.select("*", F.coalesce(F.sum(F.when(F.col("_lead"), F.col("_tokens"))).over(whole), F.lit(0)).alias("_system"),
                          F.coalesce(F.sum(F.when(F.col("_lead"), F.lit(0)).otherwise(F.col("_tokens"))).over(
                              Window.partitionBy("conv_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    stretch = F.greatest(F.lit(budget - history) - F.col("_system"), F.lit(history + 1))
-    cut = placed.withColumn("window", F.floor(F.col("_before") / stretch).cast("bigint"))
-    # a turn can be history of the next stretch only, for history is shorter than a stretch
-    next_start = F.min(F.when(~F.col("_lead"), F.col("_before"))).over(Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, 1))
-    known = cut.withColumn("_next", next_start)
+    left = budget - F.col("_system")
+    roomy = placed.withColumn("_room", F.when(left > 0, left).otherwise(F.lit(budget)).cast("bigint"))
+    held = roomy.withColumn("_history", F.least(F.lit(history).cast("bigint"), F.floor((F.col("_room") - 1) / 2)))
+    stretched = held.withColumn("_stretch", F.floor(F.col("_before") / (F.col("_room") - F.col("_history"))))
+    told_new = F.when(~F.col("_lead"), F.col("_tokens"))
+    stretch = Window.partitionBy("conv_id", "_stretch")
+    beyond = ~F.col("_lead") & (F.sum(told_new).over(stretch) > F.col("_room") - F.col("_history")) & (F.col("_at") == F.max("_at").over(stretch)) \
+        & (F.count(told_new).over(stretch) > 1)
+    cut = stretched.withColumn("window", (2 * F.col("_stretch") + beyond.cast("int")).cast("bigint"))
+    summed = cut.withColumn("_fresh", F.sum(told_new).over(Window.partitionBy("conv_id", "window")))
     last = F.max("window").over(whole)
-    new = F.struct(F.col("window").alias("window"), F.lit(True).alias("new"))
-    repeat = F.struct((F.col("window") + 1).alias("window"), F.lit(False).alias("new"))
-    is_history = ~F.col("_lead") & (F.col("_next") - F.col("_before") <= history)
+
+    def new_in(number: Column, new: bool) -> Column:
+        return F.struct(number.alias("window"), F.lit(new).alias("new"))
+
+    def following(ahead: int) -> Column:
+        """The first turn of the window so many numbers ahead."""
+        return F.min(F.when(~F.col("_lead"), F.struct("_before", "_fresh"))).over(Window.partitionBy("conv_id").orderBy("window").rangeBetween(ahead, ahead))
+
+    # a turn can be history of its own stretch's second window and of the next stretch's two, for history is shorter than a stretch
+    known = summed.withColumns({f"_next{k}": following(k) for k in (1, 2, 3)})
+    repeats = [F.when(F.col(f"_next{k}._before") - F.col("_before") <= F.least(F.col("_history"), F.col("_room") - F.col(f"_next{k}._fresh")),
+                      new_in(F.col("window") + k, False)) for k in (1, 2, 3)]
     copies = F.when(F.col("_lead"), F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_last")), lambda w: F.struct(w.alias("window"), (w == 0).alias("new")))) \
-        .when(is_history, F.array(new, repeat)).otherwise(F.array(new))
+        .otherwise(F.filter(F.array(new_in(F.col("window"), True), *repeats), lambda c: c.isNotNull()))
     spread = known.withColumn("_last", last).select(
         "conv_id", "_at", "_lead", "_tokens", F.concat(F.lit(OPEN), escape_role(F.col("_role")), F.lit(BETWEEN)).alias("_head"),
         escape(F.col("_text")).alias("_body"), (F.col("_role") == trained_role).alias("_trained"), F.explode(copies).alias("_copy"))
