@@ -210,3 +210,8 @@ def test_single_signs_are_found_as_by_the_plain_pattern():
     for _ in range(5000):
         text = "".join(r.choice("ab.  \t\n") for _ in range(r.randrange(0, 25)))
         assert toxicity.tokens(text) == set(text.split()) | {m.group(0) for m in toxicity.SINGLES.finditer(text)}
+
+
+def test_stems_survive_as_numbers():
+    assert all(toxicity.stem_of(toxicity.stem_number(x)) == x for x in ("", "a", "ab", "abc", "\u00fc\u20ac$", "\U0010ffff" * 3))
+    assert toxicity.stem_number("\U0010ffff" * 3) < 2 ** 63

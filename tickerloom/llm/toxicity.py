@@ -125,6 +125,15 @@ def may_begin(core: str, stems: frozenset[str]) -> bool:
     return not begun.isdisjoint(stems)
 
 
+def stem_number(stem: str) -> int:
+    """The signs of a stem as one long, so that sums by feature stay a hash aggregate."""
+    return sum(ord(x) << 21 * i for i, x in enumerate(stem))
+
+
+def stem_of(number: int) -> str:
+    return "".join(chr(x) for x in (number >> 21 * i & 0x1FFFFF for i in range(STEM)) if x)
+
+
 class Decoder:
     """The most likely word behind an obfuscated one: Viterbi over the lattice of what each sign may stand for."""
 
@@ -204,7 +213,7 @@ def count_features(model: np.ndarray):
                     if got is None:
                         if len(known) > KNOWN // 4:
                             known.clear()
-                        got = known[t] = {f: w[:STEM] for w in decoder.words(t) for f in features(w)}
+                        got = known[t] = {f: stem for w in decoder.words(t) for stem in (stem_number(w[:STEM]),) for f in features(w)}
                     held.update(got)
                 at = 2 * half + label
                 for f, stem in held.items():
@@ -212,7 +221,7 @@ def count_features(model: np.ndarray):
                         counts[f] = [0, 0, 0, 0, stem]
                     counts[f][at] += 1
             columns = list(zip(*counts.values())) if counts else [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64())] + [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.string())],
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64())] + [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.int64())],
                                              names=["feature", "c0", "t0", "c1", "t1", "stem"])
 
     return run
@@ -316,7 +325,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int
         scored = rows.withColumn("score", F.lit(1.0 if total[1] else 0.0))
     else:
         model = character_model(rows.select(text))
-        counts = fitting.mapInArrow(count_features(model), "feature long, c0 long, t0 long, c1 long, t1 long, stem string").groupBy("feature").agg(
+        counts = fitting.mapInArrow(count_features(model), "feature long, c0 long, t0 long, c1 long, t1 long, stem long").groupBy("feature").agg(
             *[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")], F.min("stem").alias("stem")).where(F.col("t0") + F.col("t1") >= support)
         seen = counts.collect()  # bounded by what ``sample`` rows hold
 
@@ -330,7 +339,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int
                 toxic, clean = sum(r[f"t{h}"] for h in halves), sum(r[f"c{h}"] for h in halves)
                 if toxic >= least and (w := weigh(toxic, clean, of[1], of[0])) > 1:
                     made[r["feature"]] = w
-                    stems.add(r["stem"])
+                    stems.add(stem_of(r["stem"]))
             return made, frozenset(stems)
 
         crossed = {0: table((0,), support // 2), 1: table((1,), support // 2)}
