@@ -114,11 +114,13 @@ def time_decay_weights(train: DataFrame, alpha: float = 0.997, keys: Sequence[st
 
 def regime_filter(train: DataFrame, current: DataFrame, keys: Sequence[str] = ("fold",),
                   min_rows: int = 50) -> DataFrame:
-    """Rows of the fold's current regime; a fold with fewer than ``min_rows`` of them keeps all its rows."""
+    """Rows of the fold's current regime; a fold with fewer than ``min_rows`` of them keeps all its rows.
+
+    The rule has a row for each fold, which the settings bound, and is broadcast: joined by fold, a fold's rows would meet in one task."""
     key = list(keys)
     hits = (train.groupBy(*key, "regime").agg(F.count(F.lit(1)).alias("_hits"))
-            .join(current.withColumnRenamed("current_regime", "regime"), key + ["regime"]))
+            .join(F.broadcast(current.withColumnRenamed("current_regime", "regime")), key + ["regime"]))
     rule = current.join(hits.select(*key, "_hits"), key, "left")
-    joined = train.join(rule, key)
+    joined = train.join(F.broadcast(rule), key)
     few = F.coalesce("_hits", F.lit(0)) < min_rows
     return joined.where(few | (F.col("regime") == F.col("current_regime"))).select(*train.columns)
