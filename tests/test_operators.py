@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.config import FoldSettings, RegimeSettings
 from tickerloom.functions.scan import exact_quantiles, most_frequent, ranges_of, sorted_scan
-from tickerloom.functions.series import Series, apply_stages, expanding_pct_rank, sum_chain, with_ewm
+from tickerloom.functions.series import Rolled, Series, apply_stages, expanding_pct_rank, sum_chain, with_ewm, with_rolled
 from tickerloom.operators import alignment, cleaning, features, folds, metrics, models, portfolio, quality, regime, tabular
 from tickerloom.sources import tables
 
@@ -218,3 +218,25 @@ def test_split_shares(spark):
     df = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(1000)], "id int, c string")
     out = tabular.stratified_split(df, "id", "c").groupBy("c").agg(F.sum(F.col("is_train").cast("int")).alias("n")).collect()
     assert {r["c"]: r["n"] for r in out} == {"big": 720, "small": 80}
+
+
+def test_rolled_deviations_and_correlations_by_brute_force(spark):
+    """Missing values, constant windows, a level far from zero, short series, a null key; no frame is summed anew for each row."""
+    r = np.random.default_rng(2)
+    df = pd.DataFrame({"k": ["a"] * 80 + ["b"] * 3 + [None] * 30, "t": r.permutation(113), "x": np.round(r.normal(size=113), 2) + 1e9, "y": r.normal(size=113)})
+    df.loc[20:40, "x"], df.loc[r.random(113) < 0.1, "y"] = 1e9 + 0.1, None
+    rows = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in row) for row in df.itertuples(index=False)], "k string, t int, x double, y double")
+    found = with_rolled(rows, {"sd": Rolled("y", 10, 4), "flat": Rolled("x", 5), "corr": Rolled("x", 10, 4, "y")}, Series(("k",), ("t",))).toPandas()
+    same = lambda v, want: (pd.isna(v) and want is None) or v == pytest.approx(want, rel=1e-6, abs=1e-9)
+    for k in ("a", "b", None):
+        mine = found[found.k.isna() if k is None else found.k == k].sort_values("t").reset_index(drop=True)
+        for i, row in mine.iterrows():
+            ten, five = mine.iloc[max(0, i - 9):i + 1], mine.iloc[max(0, i - 4):i + 1]
+            pairs = ten.dropna(subset=["y"])
+            level = pairs.x - 1e9
+            assert same(row.sd, pairs.y.std() if len(pairs) >= 4 else None)
+            assert same(row.flat, (five.x - 1e9).std() if len(five) == 5 else None) and (len(five) < 5 or five.x.nunique() > 1 or row.flat == 0.0)
+            assert same(row["corr"], level.corr(pairs.y) if len(pairs) >= 4 and level.nunique() > 1 else None)
+    panel = spark.createDataFrame([("a", 1, 0.1, 0.2)], "ticker string, date int, returns double, index_returns double")
+    plan = features.build(panel, [features.index_correlation()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "covar_samp" not in plan and "-59" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.catalog import inputs as src
 from tickerloom.catalog.registry import query, r
 from tickerloom.functions.series import (
-    Series, apply_stages, expanding_pct_rank, extreme_chain, merge_stages, part_sum_chain, sum_chain, with_ewm)
+    Rolled, Series, apply_stages, expanding_pct_rank, extreme_chain, merge_stages, part_sum_chain, sum_chain, with_ewm, with_rolled)
 from tickerloom.operators import cleaning, features as fe
 from tickerloom.operators.alignment import align_index_returns
 
@@ -279,7 +279,7 @@ def _ffill(spark, d):
 @query("wn09_rolling_corr", f"WITH {src.SQL_BARS} SELECT ticker, date, {r(corr('close', 'volume', 20, 10) + ' AS corr_20')} "
        f"FROM bars {WINDOWS}")
 def _corr(spark, d):
-    return src.bars(spark, d).select("ticker", "date", K.rolling_corr("close", "volume", 20, 10).alias("corr_20"))
+    return with_rolled(src.bars(spark, d).select("ticker", "date", "close", "volume"), {"corr_20": Rolled("close", 20, 10, "volume")}, K).select("ticker", "date", "corr_20")
 
 
 @query("wn10_expanding_pct_rank", f"WITH {src.SQL_BARS}, n AS (SELECT ticker, date, close, row_number() OVER "

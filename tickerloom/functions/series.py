@@ -226,6 +226,59 @@ def with_ewm(df: DataFrame, x: str, spans: Sequence[int], series: Series = Serie
     return out.select(*df.columns, *[F.col(p.output).alias(f"{prefix}_{span}") for p, span in zip(plans, spans)])
 
 
+@dataclass(frozen=True)
+class Rolled:
+    """A trailing standard deviation (ddof=1) of ``x`` over ``n`` rows or, with ``y``, the correlation on pairwise complete rows; NULL until
+    ``min_periods`` (default ``n``) values are present and, for a correlation, where a side is constant."""
+
+    x: str
+    n: int
+    min_periods: int | None = None
+    y: str | None = None
+
+
+def with_rolled(df: DataFrame, rolled: dict[str, Rolled], series: Series) -> DataFrame:
+    """Adds the columns of ``rolled``, read from columns of ``df``.
+
+    A series is read once, in order, by its task, which the calendar bounds like a window group. A window's values are taken against its last known
+    one, then against their mean: no digits are lost to a level far from zero, and a constant window's deviation is exactly 0."""
+    if not rolled:
+        return df
+    order, sources = list(series.order), sorted({c for r in rolled.values() for c in (r.x, r.y) if c})
+    schema = T.StructType([*df.schema, *(T.StructField(name, T.DoubleType()) for name in rolled)])
+
+    def windows(value: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
+        """[row, place]: differences from the mean of the known values of each window, 0 where none is known."""
+        last = np.maximum.accumulate(np.where(known, np.arange(len(value)), 0))
+        before = np.zeros(n - 1)
+        inside = np.lib.stride_tricks.sliding_window_view(np.concatenate([before > 0, known]), n)
+        apart = np.where(inside, np.lib.stride_tricks.sliding_window_view(np.concatenate([before, value]), n) - value[last][:, None], 0.0)
+        return np.where(inside, apart - (apart.sum(axis=1) / np.maximum(inside.sum(axis=1), 1))[:, None], 0.0)
+
+    def added(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order], null_placement="at_start"))
+        known = {c: table[f"_of_{c}"].is_valid().to_numpy() for c in sources}
+        values = {c: pc.fill_null(table[f"_of_{c}"], 0.0).to_numpy() for c in sources}
+        table = table.drop_columns([f"_of_{c}" for c in sources])
+        for name, r in rolled.items():
+            both = known[r.x] if r.y is None else known[r.x] & known[r.y]
+            count = np.convolve(both, np.ones(r.n, np.int64))[:len(both)]
+            fine = (count >= (r.n if r.min_periods is None else r.min_periods)) & (count > 1)
+            with np.errstate(all="ignore"):
+                a = windows(values[r.x], both, r.n)
+                found = np.sqrt((a * a).sum(axis=1) / (count - 1))
+                if r.y is not None:
+                    b = windows(values[r.y], both, r.n)
+                    spread = found * np.sqrt((b * b).sum(axis=1) / (count - 1))
+                    fine &= spread != 0
+                    found = (a * b).sum(axis=1) / (count - 1) / spread
+            table = table.append_column(name, pa.array(found, pa.float64(), mask=~fine, from_pandas=False))
+        return table
+
+    told = df.select("*", *[F.col(c).cast("double").alias(f"_of_{c}") for c in sources])
+    return told.groupBy(*series.keys).applyInArrow(added, schema)
+
+
 def expanding_pct_rank(df: DataFrame, x: str, out: str, min_periods: int, series: Series) -> DataFrame:
     """Average rank of each value within its own history, divided by the history's length.
 

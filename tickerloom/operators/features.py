@@ -17,25 +17,28 @@ from pyspark.sql import functions as F
 from tickerloom.config import FeatureSettings, TargetSettings
 from tickerloom.functions.columns import clip, div
 from tickerloom.functions.series import (
-    Series, Stage, apply_stages, ewm_chain, extreme_chain, merge_stages, part_sum_chain, sum_chain)
+    Rolled, Series, Stage, apply_stages, ewm_chain, extreme_chain, merge_stages, part_sum_chain, sum_chain, with_rolled)
 from tickerloom.operators.alignment import align_index_returns
 from tickerloom.operators.cleaning import STOCKS, feature_columns
 
 
 @dataclass
 class FeatureSet:
-    """Stages, then outputs over their columns. ``extra_lag`` shifts single outputs further than the common lag."""
+    """Stages, then outputs over their columns. ``extra_lag`` shifts single outputs further than the common lag. ``rolled`` are deviations and
+    correlations of the panel's own columns, which are there before the first stage."""
 
     stages: list[Stage]
     outputs: dict[str, Column]
     extra_lag: dict[str, int] = field(default_factory=dict)
+    rolled: dict[str, Rolled] = field(default_factory=dict)
 
 
 def build(df: DataFrame, sets: Sequence[FeatureSet], lag: int = 1, series: Series = STOCKS, fill: bool = False
           ) -> DataFrame:
     """Adds every output shifted by ``lag``. With ``fill`` a missing value takes the last known one: the newest non-null
     value at least ``lag`` rows back is shift and forward fill in a single window function."""
-    merged = apply_stages(df, merge_stages(*[s.stages for s in sets]))
+    rolled = {name: r for s in sets for name, r in s.rolled.items()}
+    merged = apply_stages(with_rolled(df, rolled, series), merge_stages(*[s.stages for s in sets]))
     staged, outputs = {}, []
     for s in sets:
         for name, column in s.outputs.items():
@@ -96,16 +99,19 @@ def atr(period: int = 14, k: Series = STOCKS) -> FeatureSet:
 
 
 def _moments(column: str, period: int, k: Series) -> list[Stage]:
-    """Mean and deviation; the deviation keeps Spark's own frame aggregate, which is exactly 0 on a constant window."""
+    """The mean; ``_deviations`` has the deviation beside it."""
     total = sum_chain(k, column, period)
-    return merge_stages([{f"_{column}_sd{period}": k.rolling("std", column, period)}], total.stages) + [
-        {f"_{column}_ma{period}": F.col(total.output) / F.lit(float(period))}]
+    return total.stages + [{f"_{column}_ma{period}": F.col(total.output) / F.lit(float(period))}]
+
+
+def _deviations(column: str, *periods: int) -> dict[str, Rolled]:
+    return {f"_{column}_sd{p}": Rolled(column, p) for p in periods}
 
 
 def bollinger_pct_b(period: int = 20, width: float = 2.0, k: Series = STOCKS) -> FeatureSet:
     band = F.lit(width) * F.col(f"_close_sd{period}")
     lower, upper = F.col(f"_close_ma{period}") - band, F.col(f"_close_ma{period}") + band
-    return FeatureSet(_moments("close", period, k), {"boll_pctb": div(F.col("close") - lower, upper - lower)})
+    return FeatureSet(_moments("close", period, k), {"boll_pctb": div(F.col("close") - lower, upper - lower)}, rolled=_deviations("close", period))
 
 
 def garman_klass_vol(period: int = 20, negative_as_zero: bool = True, k: Series = STOCKS) -> FeatureSet:
@@ -119,8 +125,7 @@ def garman_klass_vol(period: int = 20, negative_as_zero: bool = True, k: Series
 
 
 def realized_vol(period: int = 20, k: Series = STOCKS) -> FeatureSet:
-    return FeatureSet([{f"_rv{period}": k.rolling("std", "returns", period)}],
-                      {f"realized_vol_{period}": F.col(f"_rv{period}")})
+    return FeatureSet([], {f"realized_vol_{period}": F.col(f"_rv{period}")}, rolled={f"_rv{period}": Rolled("returns", period)})
 
 
 # volume ---------------------------------------------------------------------------------------------------------
@@ -180,7 +185,7 @@ def adx(period: int = 14, k: Series = STOCKS) -> FeatureSet:
 # mean reversion -------------------------------------------------------------------------------------------------
 def zscore_vs_ma(periods: Sequence[int] = (20, 60), k: Series = STOCKS) -> FeatureSet:
     return FeatureSet(merge_stages(*[_moments("close", p, k) for p in periods]), {
-        f"zscore_{p}": div(F.col("close") - F.col(f"_close_ma{p}"), f"_close_sd{p}") for p in periods})
+        f"zscore_{p}": div(F.col("close") - F.col(f"_close_ma{p}"), f"_close_sd{p}") for p in periods}, rolled=_deviations("close", *periods))
 
 
 def distance_from_extremes(period: int = 252, min_periods: int = 60, k: Series = STOCKS) -> FeatureSet:
@@ -241,7 +246,7 @@ def flow_proxy(name: str, z_period: int, mean_period: int, min_periods: int, k:
     # Shorter histories count: rows before the series and NULL rows enter as 0 and are left out of the count.
     value, count = (part_sum_chain(k, f"{signed}_{c}", mean_period, lead) for c in "0n")
     mean = F.when(F.col(count.output) >= min_periods, div(value.output, count.output))
-    return FeatureSet(merge_stages(stages, value.stages, count.stages), {name: mean})
+    return FeatureSet(merge_stages(stages, value.stages, count.stages), {name: mean}, rolled=_deviations("volume", z_period))
 
 
 def flow_proxies(mode: str = "full", k: Series = STOCKS) -> list[FeatureSet]:
@@ -252,9 +257,8 @@ def flow_proxies(mode: str = "full", k: Series = STOCKS) -> list[FeatureSet]:
 
 def index_correlation(periods: Sequence[int] = (20, 60), min_periods: int = 10, k: Series = STOCKS) -> FeatureSet:
     """Needs ``index_returns`` on the panel (``align_index_returns``)."""
-    return FeatureSet(
-        [{f"_icorr{p}": k.rolling_corr("returns", "index_returns", p, min_periods) for p in periods}],
-        {f"index_corr_{p}": F.col(f"_icorr{p}") for p in periods})
+    return FeatureSet([], {f"index_corr_{p}": F.col(f"_icorr{p}") for p in periods},
+                      rolled={f"_icorr{p}": Rolled("returns", p, min_periods, "index_returns") for p in periods})
 
 
 # groups ---------------------------------------------------------------------------------------------------------
