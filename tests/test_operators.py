@@ -240,3 +240,14 @@ def test_rolled_deviations_and_correlations_by_brute_force(spark):
     panel = spark.createDataFrame([("a", 1, 0.1, 0.2)], "ticker string, date int, returns double, index_returns double")
     plan = features.build(panel, [features.index_correlation()])._jdf.queryExecution().optimizedPlan().toString()
     assert "covar_samp" not in plan and "-59" not in plan
+
+
+def test_a_cache_reads_rows_that_are_there_once(spark, folder, monkeypatch):
+    """The cache query marks its rows twice and builds from them; the bars are made once."""
+    from tickerloom.catalog import panel_queries
+
+    plans, marked = [], tables.table_fingerprint
+    monkeypatch.setattr(tables, "table_fingerprint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or marked(df))
+    assert panel_queries._cache(spark, folder).count() > 1000
+    assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
+    assert marked(spark.range(0)).first().content_hash is None
