@@ -251,3 +251,10 @@ def test_a_cache_reads_rows_that_are_there_once(spark, folder, monkeypatch):
     assert panel_queries._cache(spark, folder).count() > 1000
     assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
     assert marked(spark.range(0)).first().content_hash is None
+
+
+def test_index_correlation_makes_its_bars_once(spark, folder):
+    from tickerloom.catalog.all import QUERIES
+
+    found = QUERIES["fe24_index_correlation"].build(spark, folder)
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 1000

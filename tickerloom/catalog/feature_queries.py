@@ -12,6 +12,7 @@ from tickerloom.functions.series import (
     Rolled, Series, apply_stages, expanding_pct_rank, extreme_chain, merge_stages, part_sum_chain, sum_chain, with_ewm, with_rolled)
 from tickerloom.operators import cleaning, features as fe
 from tickerloom.operators.alignment import align_index_returns
+from tickerloom.session import stored
 
 K = cleaning.STOCKS
 WINDOWS = ("WINDOW k AS (PARTITION BY ticker ORDER BY date), "
@@ -33,8 +34,8 @@ def panel(spark, d):
     return cleaning.derive_bar_columns(src.bars(spark, d))
 
 
-def index_panel(spark, d):
-    return cleaning.process_index(src.whole_index(spark, d))
+def index_panel(spark, d, made=None):
+    return cleaning.process_index(src.whole_index(spark, d, made))
 
 
 SQL_STEPS = src.SQL_PANEL + f""",
@@ -140,9 +141,11 @@ def feature_sql(names, table=SQL_FEATURES) -> str:
 def _feature(name: str, sets, names):
     @query(name, feature_sql(names))
     def build(spark, d):
-        df = panel(spark, d)
         if any(n.startswith("index_corr") for n in names):
-            df = align_index_returns(df, index_panel(spark, d))
+            made = stored(src.bars(spark, d))  # read for the panel and for the index
+            df = align_index_returns(cleaning.derive_bar_columns(made), index_panel(spark, d, made))
+        else:
+            df = panel(spark, d)
         return fe.build(df, sets()).select("ticker", "date", *names)
 
 

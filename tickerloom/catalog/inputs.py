@@ -84,9 +84,9 @@ def index_bars(spark: SparkSession, folder: str) -> DataFrame:
         *[F.avg(c).alias(c) for c in ("open", "high", "low", "close")], F.sum("volume").alias("volume"))
 
 
-def whole_index(spark: SparkSession, folder: str) -> DataFrame:
-    """One equal-weight index of all tickers."""
-    return bars(spark, folder).groupBy(F.lit("ALL").alias("series_id"), "date").agg(
+def whole_index(spark: SparkSession, folder: str, made: DataFrame | None = None) -> DataFrame:
+    """One equal-weight index of all tickers. ``made``: the bars, if they are there already."""
+    return (bars(spark, folder) if made is None else made).groupBy(F.lit("ALL").alias("series_id"), "date").agg(
         *[F.avg(c).alias(c) for c in ("open", "high", "low", "close")], F.sum("volume").alias("volume"))
 
 
