@@ -1,5 +1,6 @@
 """Steps whose work must spread over tasks and grow with their rows."""
 
+import datetime as dt
 import math
 
 import pytest
@@ -55,3 +56,20 @@ def test_regime_filter_never_gathers_a_fold(spark):
         assert folds.regime_filter(rows, current, min_rows=10_000).count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_days_are_joined_without_a_shuffle_of_rows(spark, tmp_path):
+    """The mark of validation and the weight by age come from a row for each fold and day; only the day of the cut is ranked."""
+    data = [(fold, dt.date(2020, 1, 1) + dt.timedelta(days=d), f"t{(7 * i + d) % 11:02d}", float(i)) for fold in (0, 1) for d in range(12) for i in range(11)]
+    rows = spark.createDataFrame([*data, (0, None, "t00", 0.0), (None, dt.date(2020, 1, 1), "t00", 0.0)], "fold int, date date, ticker string, x double")
+    split = folds.train_valid_split(rows, fraction=0.3, min_rows=5)
+    weighted = folds.time_decay_weights(rows, 0.9)
+    for made in (split, weighted):
+        assert "BroadcastHashJoin" in made._jdf.queryExecution().sparkPlan().toString()
+    found = split.collect()
+    for fold in (0, 1):
+        last = sorted(((r["date"], r["ticker"]) for r in found if r["fold"] == fold), reverse=True)
+        assert len(last) == 132 and {(r["date"], r["ticker"]) for r in found if r["fold"] == fold and r["is_valid"]} == set(last[:39])
+        mine = [r for r in weighted.collect() if r["fold"] == fold]
+        assert len(mine) == 132 and abs(sum(r["weight"] for r in mine) - 132) < 1e-9
+    assert {r["fold"] for r in found} == {0, 1}
