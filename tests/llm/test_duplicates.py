@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 
@@ -288,3 +289,64 @@ def test_spans_are_repeated_word_for_word(spark):
         by.setdefault(x.id, []).append(x.words)
     assert all(30 <= max(by[i]) <= 36 for i in range(200, 290))
     assert paragraphs.spans(units.where("false")).count() == 0
+
+
+def plain_cuts(codes):
+    """Where a stretch of words is cut: at hashes of three words that are the least of REACH on either side, and along one word again and again."""
+    three, reach = [int(x) for x in paragraphs.rolling(codes, 3)], paragraphs.REACH
+    cuts = {0} | {i for i, x in enumerate(three) if all(x < y for y in three[max(0, i - reach):i]) and all(x <= y for y in three[i + 1:i + 1 + reach])}
+    i = 0
+    while i < len(three) - 1:
+        end = i
+        while end < len(three) - 1 and three[end] == three[end + 1]:
+            end += 1
+        cuts |= set(range(i, end, paragraphs.SAME))
+        i = end + 1
+    return sorted(cuts)
+
+
+def test_units_of_many_texts_are_made_at_once(monkeypatch):
+    r = random.Random(21)
+    texts = [None, "", " \n ", "a b c d", " A  b\tc\x0bd\x0ce ", "of " * 300, "q r s t u " + "of " * 90 + "\n" + "of " * 50]
+    texts += ["".join(r.choice(["a", "Bb", "ö", "x\x1cy"]) + r.choice([" ", " ", "  ", "\n"]) for _ in range(r.randrange(150))) for _ in range(60)]
+    texts += ["\n".join(words(r, r.randrange(1, 130)) for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    expected = []
+    for i, text in enumerate(texts):
+        spans, place, stream, banded = set(), 0, [], set()
+        for line in (text or "").encode().lower().split(b"\n"):
+            found = line.split()
+            stream += found
+            n = len(found)
+            if n >= paragraphs.SHINGLE:
+                spans.add((place, place + n))
+                banded |= {(place, place + n)} if n >= paragraphs.LEAST_BANDED else set()
+            if n > paragraphs.LONG:
+                cuts = plain_cuts(np.array([xxhash.xxh64_intdigest(w) for w in found], np.uint64))
+                spans |= {(place + a, place + b) for a, b in zip(cuts, cuts[1:] + [n]) if b - a >= paragraphs.SHINGLE}
+            place += n
+        if place > paragraphs.LONG:
+            cuts = plain_cuts(np.array([xxhash.xxh64_intdigest(w) for w in stream], np.uint64))
+            spans |= {(a, b) for a, b in zip(cuts, cuts[1:] + [place]) if b - a >= paragraphs.SHINGLE}
+        for a, b in spans:
+            plain = b" ".join(stream[a:b])
+            expected.append((i, a, b - a, xxhash.xxh64_intdigest(plain) - (1 << 63), plain.decode() if (a, b) in banded else None))
+    calls, rolling = [], paragraphs.rolling
+    monkeypatch.setattr(paragraphs, "rolling", lambda codes, length: calls.append(length) or rolling(codes, length))
+    batch = pa.record_batch({"row": list(range(len(texts))), "id": list(range(len(texts))), "text": texts})
+    units = [u for b in paragraphs.list_units([batch, batch.slice(0, 0)]) for u in b.to_pylist()]
+    assert len(calls) <= 4  # not for each line
+    got = [(u["row"], u["word"], u["words"], u["digest"], u["text"]) for u in units]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    for u in units:
+        assert (u["bands"] is None) == (u["text"] is None)
+        if u["bands"]:
+            codes = np.array([xxhash.xxh64_intdigest(w) for w in u["text"].encode().split(b" ")], np.uint64)
+            assert u["bands"] == paragraphs.signatures(rolling(codes, paragraphs.SHINGLE), np.array([0]))[0].view(np.int64).tolist()
+
+
+def test_least_hashes_of_blocks_are_those_of_each_paragraph():
+    lengths = np.array([3, 20_000, 1, 1, 9_000, 4, 4_000, 4_000])
+    shingles, starts = np.random.default_rng(5).integers(0, 2 ** 63, lengths.sum()).astype(np.uint64), np.cumsum(lengths) - lengths
+    found = paragraphs.minima(shingles, starts, paragraphs.MULTIPLIERS)
+    for i, (a, n) in enumerate(zip(starts, lengths)):
+        assert (found[i] == paragraphs.stirred(paragraphs.MULTIPLIERS[:, None] * shingles[None, a:a + n]).min(axis=1)).all()

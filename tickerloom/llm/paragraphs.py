@@ -42,11 +42,15 @@ LEAST_SPAN = 15
 SAME = 16
 KNOWN = 200_000
 TOGETHER = 20_000
-#: Hashes made at once; shingles that need more are hashed for one multiplier after another, which stays in the processor's cache.
+#: Hashes made at once; shingles that need more are hashed for one multiplier after another, about IN_CACHE of them at a time.
 AT_ONCE = 100_000
+IN_CACHE = 8_000
+#: Bytes of text cut into units at once; a longer text is taken by itself.
+PIECE = 1 << 20
 #: Shingles that a task keeps of the texts it compares (8 bytes each).
 KEPT_SHINGLES = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
+LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 MULTIPLIERS, SKETCHERS = (np.random.default_rng(seed).integers(1, 2 ** 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed, n in ((7, BANDS * ROWS), (8, SKETCH)))
 
 
@@ -70,29 +74,62 @@ def rolling(words: np.ndarray, length: int) -> np.ndarray:
     return stirred(found)
 
 
-def part_starts(words: np.ndarray) -> list[int]:
-    """Where the parts of a long paragraph begin. Whether a word begins one depends on the words around it alone, so a passage
-    is cut alike wherever it stands."""
-    three = rolling(words, 3)
-    n = len(three)
-    least = np.ones(n, np.bool_)
-    for d in range(1, REACH + 1):
-        least[d:] &= three[d:] < three[:-d]
-        least[:-d] &= three[:-d] <= three[d:]
-    cuts = set(np.nonzero(least)[0].tolist())
-    same = three[1:] == three[:-1]
+def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of runs of those lengths, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(lengths.sum()) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def part_starts(three: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, word): where the parts of long stretches of words begin, in order. ``three`` has the hash of three words from each word of
+    the batch on. Whether a word begins a part depends on the words around it alone, so a passage is cut alike wherever it stands."""
+    within = lengths - 2
+    first = np.cumsum(within) - within + REACH * np.arange(1, len(starts) + 1)  # stretches lie apart by REACH places that are never the least
+    hashes = np.full(within.sum() + REACH * (len(starts) + 1), LARGEST)
+    hashes[places(first, within)] = three[places(starts, within)]
+    n = len(hashes) - 2 * REACH
+    least = hashes[:n + REACH + 1].copy()  # of REACH hashes from a place on
+    for d in range(1, REACH):
+        np.minimum(least, hashes[d:d + len(least)], out=least)
+    middle = hashes[REACH:REACH + n]
+    cuts = [first, np.nonzero((middle < least[:n]) & (middle <= least[REACH + 1:]))[0] + REACH]
+    same = (hashes[1:] == hashes[:-1]) & (hashes[1:] != LARGEST)
     if same.any():  # one word again and again: parts of equal length from where it begins
         edges = np.diff(np.concatenate(([0], same.astype(np.int8), [0])))
-        for a, b in zip(np.nonzero(edges == 1)[0].tolist(), np.nonzero(edges == -1)[0].tolist()):
-            cuts.update(range(a, b, SAME))
-    return sorted(cuts | {0})
+        cuts += [np.arange(a, b, SAME) for a, b in zip(np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0])]
+    found = np.unique(np.concatenate(cuts))
+    stretch = np.searchsorted(first, found, "right") - 1
+    return stretch, found - first[stretch] + starts[stretch]
+
+
+def parts(three: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, word, words) of the parts of SHINGLE words or more."""
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    stretch, word = part_starts(three, starts, lengths)
+    last = np.append(stretch[1:] != stretch[:-1], True)
+    long = np.where(last, (starts + lengths)[stretch], np.append(word[1:], 0)) - word
+    whole = long >= SHINGLE
+    return stretch[whole], word[whole], long[whole]
 
 
 def minima(shingles: np.ndarray, starts: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     """The least hashes [paragraph, multiplier] of consecutive runs of shingles."""
     if len(shingles) * len(multipliers) <= AT_ONCE:  # one pass over a small matrix
         return np.minimum.reduceat(stirred(multipliers[:, None] * shingles[None, :]), starts, axis=1).T
-    return np.stack([np.minimum.reduceat(stirred(shingles * m), starts) for m in multipliers], axis=1)
+    found = np.empty((len(starts), len(multipliers)), np.uint64)
+    block = starts // IN_CACHE
+    edges = np.concatenate(([0], np.nonzero(block[1:] != block[:-1])[0] + 1, [len(starts)]))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        a, b = starts[i], starts[j] if j < len(starts) else len(shingles)
+        some, at, h, shifted = shingles[a:b], starts[i:j] - a, np.empty(b - a, np.uint64), np.empty(b - a, np.uint64)
+        for k, m in enumerate(multipliers):  # as ``stirred``, in place
+            np.multiply(some, m, out=h)
+            np.bitwise_xor(h, np.right_shift(h, np.uint64(31), out=shifted), out=h)
+            np.multiply(h, STEP, out=h)
+            np.bitwise_xor(h, np.right_shift(h, np.uint64(29), out=shifted), out=h)
+            found[i:j, k] = np.minimum.reduceat(h, at)
+    return found
 
 
 def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -104,59 +141,67 @@ def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return stirred(keys)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of whole rows with about so many bytes of text each."""
+    begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.nonzero(begin[1:] != begin[:-1])[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, id, word, words, digest, bands, text) of the paragraphs of texts, of the parts of long ones, and of the parts
     of texts of more than LONG words without regard to their lines.
 
     A paragraph is a line of at least SHINGLE words, A to Z in lower case; ``word`` is the place of its first word in the text. Only whole
-    paragraphs of LEAST_BANDED words have bands and text."""
-    hashes = WordHashes()
-    for batch in batches:
-        row, at, long, digests, bands, texts = [], [], [], [], [], []
-        for r, text in enumerate(batch.column(2).to_pylist()):
-            if len(hashes) > KNOWN:
-                hashes.clear()
-            place, banded, runs, starts, total, stream, listed = 0, [], [], [], 0, [], set()
-            for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
-                words = line.split()
-                n = len(words)
-                if n >= SHINGLE:
-                    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-                    cuts = part_starts(codes) if n > LONG else [0]
-                    spans = [(0, n)] + ([(a, b) for a, b in zip(cuts, cuts[1:] + [n]) if b - a >= SHINGLE] if len(cuts) > 1 else [])
-                    for a, b in spans:
-                        row.append(r)
-                        at.append(place + a)
-                        long.append(b - a)
-                        digests.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])) - (1 << 63))
-                        bands.append(None)
-                        texts.append(None)
-                        listed.add((place + a, place + b))
-                    if n >= LEAST_BANDED:
-                        banded.append(len(row) - len(spans))
-                        texts[banded[-1]] = b" ".join(words).decode("utf-8", "replace")
-                        runs.append(rolling(codes, SHINGLE))
-                        starts.append(total)
-                        total += len(runs[-1])
-                place += n
-                stream += words
-            if place > LONG:  # the whole text as one stream of words, whatever its lines
-                cuts = part_starts(np.fromiter(map(hashes.__getitem__, stream), np.uint64, place))
-                for a, b in zip(cuts, cuts[1:] + [place]):
-                    if b - a >= SHINGLE and (a, b) not in listed:
-                        row.append(r)
-                        at.append(a)
-                        long.append(b - a)
-                        digests.append(xxhash.xxh64_intdigest(b" ".join(stream[a:b])) - (1 << 63))
-                        bands.append(None)
-                        texts.append(None)
-            if runs:
-                for i, keys in zip(banded, signatures(np.concatenate(runs), np.array(starts)).view(np.int64).tolist()):
-                    bands[i] = keys
-        taken = pa.array(row, pa.int64())
+    paragraphs of LEAST_BANDED words have bands and text. Words, hashes and cuts are made for many texts at once."""
+    for batch in (piece for whole in batches for piece in slices(whole, 2, PIECE)):
+        lines = pc.split_pattern(pc.ascii_lower(pc.fill_null(batch.column(2), "")), "\n")
+        split = pc.ascii_split_whitespace(lines.flatten())
+        words = split.flatten()
+        real = pc.greater(pc.binary_length(words), 0)  # blanks at the ends of a line leave empty words
+        line_words = np.bincount(pc.list_parent_indices(split).filter(real).to_numpy(), minlength=len(split))
+        words = words.filter(real).cast(pa.binary())
+        line_at = np.cumsum(line_words) - line_words
+        of = pc.list_parent_indices(lines).to_numpy()
+        text_words = np.bincount(of, line_words, batch.num_rows).astype(np.int64)
+        text_at = np.cumsum(text_words) - text_words
+
+        coded = words.dictionary_encode()
+        codes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
+        three = rolling(codes, 3)
+        paragraph, long = np.nonzero(line_words >= SHINGLE)[0], np.nonzero(line_words > LONG)[0]
+        stretch, part, part_words = parts(three, line_at[long], line_words[long])
+        cut = part_words < line_words[long][stretch]  # a paragraph of one part is listed once
+        within, part, part_words = of[long][stretch][cut], part[cut], part_words[cut]
+        at, length = np.concatenate((line_at[paragraph], part)), np.concatenate((line_words[paragraph], part_words))
+        long = np.nonzero(text_words > LONG)[0]  # the whole text as one stream of words, whatever its lines
+        stretch, part, part_words = parts(three, text_at[long], text_words[long])
+        new = ~np.isin(part << 32 | part_words, at << 32 | length)
+        row = np.concatenate((of[paragraph], within, long[stretch][new]))
+        at, length = np.concatenate((at, part[new])), np.concatenate((length, part_words[new]))
+
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py()
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        begins = np.append(0, ends)
+        digests = np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(begins[at].tolist(), (begins[at + length] - 1).tolist())), np.uint64, len(at))
+
+        banded = np.nonzero(line_words[paragraph] >= LEAST_BANDED)[0]  # paragraphs are the first units
+        lengths = length[banded] - SHINGLE + 1
+        keys = signatures(rolling(codes, SHINGLE)[places(at[banded], lengths)], np.cumsum(lengths) - lengths) if len(banded) else np.zeros((0, BANDS), np.uint64)
+        texts = pc.binary_join(pa.ListArray.from_arrays(np.append(line_at, len(words)).astype(np.int32), words), b" ").cast(pa.string())
+        order = np.argsort(row, kind="stable")
+        has = np.full(len(row), -1)
+        has[banded] = np.arange(len(banded))
+        has = has[order]
+        of_line = np.zeros(len(row), np.int64)
+        of_line[banded] = paragraph[banded]
+        bands = pa.ListArray.from_arrays(np.append(0, np.cumsum((has >= 0) * BANDS)).astype(np.int32), keys[has[has >= 0]].view(np.int64).ravel(), mask=pa.array(has < 0))
+        taken = pa.array(row[order])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(at, pa.int64()), pa.array(long, pa.int64()), pa.array(digests, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["row", "id", "word", "words", "digest", "bands", "text"])
+            [batch.column(0).take(taken), batch.column(1).take(taken), pa.array((at - text_at[row])[order]), pa.array(length[order]),
+             pa.array((digests ^ np.uint64(1 << 63)).view(np.int64)[order]), bands, texts.take(pa.array(of_line[order], mask=has < 0))],
+            names=["row", "id", "word", "words", "digest", "bands", "text"])
 
 
 def shingles_of(text: str, hashes: WordHashes) -> np.ndarray:
@@ -436,7 +481,8 @@ def spans(units: DataFrame, least_words: int = LEAST_SPAN) -> DataFrame:
     follows = F.col("word") == F.col("_last.end")
     pair = F.xxhash64("_last.class", "class_id")
     shared = placed.where(follows).select(pair.alias("_pair"), "row").groupBy("_pair").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
-    beside = placed.withColumn("_pair", F.when(follows, pair)).join(shared.select("_pair", F.lit(True).alias("_both")), "_pair", "left")
+    alone = F.xxhash64("row", "word", "words")  # looked up in vain or not heeded: rows that follow nothing are many, and so dealt to all tasks
+    beside = placed.withColumn("_pair", F.when(follows, pair).otherwise(alone)).join(shared.select("_pair", F.lit(True).alias("_both")), "_pair", "left")
     begins = F.when(F.col("_last").isNull() | (F.col("word") > F.col("_last.end")) | (follows & F.col("_both").isNull()), 1).otherwise(0)
     longest = F.max_by("class_id", F.struct("words", (-F.col("class_id")).alias("order"))).alias("class_id")
     found = beside.withColumn("_span", F.sum(begins).over(side)).groupBy("row", "kept", "_span").agg(
