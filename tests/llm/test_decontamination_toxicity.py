@@ -215,3 +215,44 @@ def test_single_signs_are_found_as_by_the_plain_pattern():
 def test_stems_survive_as_numbers():
     assert all(toxicity.stem_of(toxicity.stem_number(x)) == x for x in ("", "a", "ab", "abc", "\u00fc\u20ac$", "\U0010ffff" * 3))
     assert toxicity.stem_number("\U0010ffff" * 3) < 2 ** 63
+
+
+def test_tokens_whose_ways_weigh_the_same_are_not_decoded(monkeypatch):
+    model = np.log(np.random.default_rng(3).dirichlet(np.ones(toxicity.SIGNS) * 0.3, (toxicity.SIGNS, toxicity.SIGNS)) + 1e-9).astype(np.float32)
+    decoder, decoded = toxicity.Decoder(model), []
+
+    class Counted(toxicity.Decoder):
+        def decode(self, written_):
+            decoded.append(written_)
+            return super().decode(written_)
+
+    weights = {f: 2.0 for f in toxicity.features("stall")} | {f: 3.0 for f in toxicity.features("steel")}
+    known = toxicity.Weights(Counted(model), weights, frozenset({"sta", "ste"}))
+    assert known["steppe"] == 3.0 and known["staffer's"] == 2.0 and known["stollen"] == 0.0 and not decoded  # by their beginnings, whatever the rest stands for
+    for word in ("stall", "steel", "st-all", "s t a l l", "st33l", "ste.e.l"):  # ways that differ in weight, or many of them
+        assert known[word] == max((weights.get(f, 0.0) for w in decoder.words(word) for f in toxicity.features(w)), default=0.0), word
+    assert decoded
+    # the same when most tokens have been forgotten in between
+    r = random.Random(23)
+    tokens = ["".join(r.choice("staeel3-pp") for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    plain = {t: max((weights.get(f, 0.0) for w in decoder.words(t) for f in toxicity.features(w)), default=0.0) for t in tokens}
+    monkeypatch.setattr(toxicity, "KNOWN", 5)
+    known = toxicity.Weights(decoder, weights, frozenset({"sta", "ste"}))
+    for _ in range(3):
+        for i in range(0, len(tokens), 4):
+            held = sorted(plain[t] for t in set(tokens[i:i + 4]) if plain[t] > 0)
+            assert known.evidence(" ".join(tokens[i:i + 4]))[0] == (held[-1] if held else 0.0)
+            assert len(known) <= 9 and len(known.older) <= 9
+
+
+def test_ways_are_all_outputs_of_the_lattice():
+    r = random.Random(24)
+    for _ in range(3000):
+        core = "".join(r.choice("aabl1|.-é²") for _ in range(r.randrange(0, 7)))
+        found, before = [""], ""
+        for x in core:
+            options = [x, *toxicity.LEET.get(x, "")] + ([""] if x in toxicity.FILLERS or (x == before and toxicity.LETTER.match(x)) else [])
+            found, before = [b + y for b in found for y in options], x
+        got = toxicity.ways(core, 100_000)
+        assert sorted(got) == sorted(found)
+        assert toxicity.ways(core, 2) == (got if len(got) <= 2 else None)

@@ -29,6 +29,8 @@ FILLERS = frozenset(".-_*~'`^:;,/\\·•|#%&=")
 #: than one that was put in.
 SUBSTITUTED, FILLED, REPEATED, SPACED, PARTED = -2.0, -3.0, -4.5, -1.0, -4.0
 DOUBTFUL = re.compile(r"(.)\1|[0-9@$!|+€£¡(.\-_*~'`^:;,/\\·•#%&=]")
+#: What has more than one way through the lattice: a sign after the same one, and the signs above.
+AMBIGUOUS = re.compile(r"(?<=(.))\1|" + DOUBTFUL.pattern.split("|", 1)[1])
 LETTER = re.compile(r"[^\W\d_]")
 OUTER = ".,;:!?|*#%&\"'()[]{}<>«»„“”…-_~`"
 SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S(?!\S)){2,}")
@@ -42,6 +44,8 @@ SAMPLE = 20_000
 #: Toxic rows of the sample that must hold a feature.
 SUPPORT = 4
 KNOWN = 200_000
+#: Ways through the lattice of a token that are looked up before it is decoded.
+WAYS = 4
 CHARS = 400_000
 
 
@@ -146,15 +150,23 @@ class Decoder:
         model, states = self.model, {0: (0.0, None)}
         before = ""
         for x in written_:
-            own = code(x)
-            arcs = [(own, x, 0.0)] + [(CODE[y], y, SUBSTITUTED) for y in LEET.get(x, "")]
+            own, leet = code(x), LEET.get(x, "")
+            if own and not leet and x not in FILLERS and (x != before or not LETTER.match(x)):  # one arc, nothing may be left out
+                found = {}
+                for state, (score, path) in states.items():
+                    s, to = score + model[state * SIGNS + own], state % SIGNS * SIGNS + own
+                    if to not in found or found[to][0] < s:
+                        found[to] = (s, (path, x))
+                states, before = found, x
+                continue
+            arcs = [(own, x, 0.0)] + [(CODE[y], y, SUBSTITUTED) for y in leet]
             if x == " ":
                 drop = SPACED
             elif x == before and LETTER.match(x):
                 drop = REPEATED
             else:
                 drop = FILLED if x in FILLERS else None
-            found: dict[int, tuple] = {}
+            found = {}
             for state, (score, path) in states.items():
                 if drop is not None and (state not in found or found[state][0] < score + drop):
                     found[state] = (score + drop, path)
@@ -227,33 +239,87 @@ def count_features(model: np.ndarray):
     return run
 
 
+def ways(core: str, most: int = WAYS) -> list[str] | None:
+    """All outputs of the lattice of a core without blanks, or None if there are more than ``most``."""
+    found, at = [""], 0
+    for m in AMBIGUOUS.finditer(core):
+        i = m.start()
+        x, held = core[i], core[at:i]
+        options = [x, *LEET.get(x, "")]
+        if x in FILLERS or (core[i - 1:i] == x and LETTER.match(x)):
+            options.append("")
+        found, at = [b + held + y for b in found for y in options], i + 1
+        if len(found) > most:
+            return None
+    return [b + core[at:] for b in found]
+
+
+class Beginnings(dict):
+    """The largest weight of a word's beginnings up to one of them; a beginning that many words share is hashed once."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, beginning: str) -> float:
+        found = self.weights.get(xxhash.xxh64_intdigest(beginning + "\x00") >> 1, 0.0)
+        if len(beginning) > PREFIXES[0]:
+            found = max(found, self[beginning[:-1]])
+        self[beginning] = found
+        return found
+
+
 class Weights(dict):
     """Token to the largest weight of its features; 0 if none speaks for toxicity.
 
-    Only tokens of which a word may begin with the stem of a weighted feature are decoded: all others have no weight whatever they stand for."""
+    Only tokens of which a word may begin with the stem of a weighted feature are looked at: all others have no weight whatever they stand for;
+    and a token is decoded only if its ways through the lattice are many or differ in weight. Of tokens seen long ago the older half is forgotten."""
 
     def __init__(self, decoder: Decoder, weights: dict[int, float], stems: frozenset[str]):
         super().__init__()
         self.decoder, self.weights, self.stems = decoder, weights, stems
         self.sure: dict[str, bool] = {}
+        self.beginnings = Beginnings(weights)
+        self.older: dict[str, float] = {}
+
+    def of_word(self, word: str) -> float:
+        """The largest weight of the word and its beginnings."""
+        found, n = self.weights.get(xxhash.xxh64_intdigest(word) >> 1, 0.0), min(len(word) - 1, PREFIXES[-1])
+        return max(found, self.beginnings[word[:n]]) if n >= PREFIXES[0] else found
+
+    def of_core(self, token: str, core: str) -> float:
+        if " " not in core:
+            if not DOUBTFUL.search(core) or not LETTER.search(core):
+                return self.of_word(core)
+            outputs = ways(core)
+            if outputs is not None:
+                found = {self.of_word(x.strip(OUTER) or core) for x in outputs}
+                if len(found) == 1:
+                    return found.pop()
+        return max(map(self.of_word, self.decoder.words(token)), default=0.0)
 
     def __missing__(self, token: str) -> float:
-        core = core_of(token)
-        stem = core[:STEM]
-        begins = self.sure.get(stem)
-        if begins is None:
-            begins = may_begin(core, self.stems)
-            if len(stem) == STEM and stem.isalpha() and not DOUBTFUL.search(stem):  # letters that stand for themselves decide, whatever follows
-                self.sure[stem] = begins
-        found = max((self.weights.get(f, 0.0) for w in self.decoder.words(token) for f in features(w)), default=0.0) if begins else 0.0
+        found = self.older.get(token)
+        if found is None:
+            core = core_of(token)
+            stem = core[:STEM]
+            begins = self.sure.get(stem)
+            if begins is None:
+                begins = may_begin(core, self.stems)
+                if len(stem) == STEM and stem.isalpha() and not DOUBTFUL.search(stem):  # letters that stand for themselves decide, whatever follows
+                    self.sure[stem] = begins
+            found = self.of_core(token, core) if begins else 0.0
         self[token] = found
         return found
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """The largest and second largest weight of the text's tokens and the logarithm of how many have one."""
         if len(self) > KNOWN:
-            self.clear()
-            self.sure.clear()
+            self.older = dict(self)
+            for held in (self, self.sure, self.beginnings):
+                held.clear()
+        if len(self.beginnings) > KNOWN:
+            self.beginnings.clear()
         held = sorted(x for x in map(self.__getitem__, tokens(text)) if x > 0)
         return (held[-1] if held else 0.0, held[-2] if len(held) > 1 else 0.0, math.log1p(len(held)))
 
