@@ -6,8 +6,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.config import FoldSettings
 from tickerloom.functions.series import Series, expanding_pct_rank
-from tickerloom.operators import folds, tracking
+from tickerloom.operators import folds, models, tracking
 
 
 def plan(df) -> str:
@@ -73,3 +74,29 @@ def test_days_are_joined_without_a_shuffle_of_rows(spark, tmp_path):
         mine = [r for r in weighted.collect() if r["fold"] == fold]
         assert len(mine) == 132 and abs(sum(r["weight"] for r in mine) - 132) < 1e-9
     assert {r["fold"] for r in found} == {0, 1}
+
+
+def test_folds_are_dealt_without_copies_of_their_rows(spark, tmp_path, monkeypatch):
+    """Rows lie in several folds; what is written has a row for each fold and day, and the one day of each fold that is ranked."""
+    monkeypatch.setattr("tickerloom.session.shared_folder", lambda spark: str(tmp_path))
+    data = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), f"t{i:02d}", 1, float(i), 0) for d in range(100) for i in range(9)]
+    table = spark.createDataFrame(data, "date date, ticker string, regime int, x double, label int")
+    ends = [folds.Fold(k, dt.date(2020, 1, 1), dt.date(2020, 2, 10 + k), dt.date(2020, 2, 11 + k), dt.date(2020, 3, 30)) for k in range(3)]
+    rows = models.fold_rows(table, ends, FoldSettings(min_test_rows=1))
+    made = {p.name: spark.read.parquet(str(p)) for p in tmp_path.iterdir()}
+    assert made and all("x" not in t.columns or t.count() <= 3 * 9 for t in made.values())
+    got = {r["fold"]: (r["n"], r["v"]) for r in rows.train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_valid").cast("int")).alias("v")).collect()}
+    assert got == {k: (n, int(n * 0.2)) for k, n in ((0, 41 * 9), (1, 42 * 9), (2, 43 * 9))} and rows.test.where("fold = 0").count() == 49 * 9
+    assert rows.train.where("is_valid").exceptAll(rows.train.where("is_valid")).isEmpty()
+
+
+def test_files_of_a_shuffle_go_with_its_statement(spark):
+    """Another reader of the same plan makes them anew."""
+    from tickerloom.session import apply_settings
+
+    held = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    known = lambda: sum(held.containsShuffle(i) for i in range(3000))
+    counts = apply_settings(spark).range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = known()
+    first = counts.collect()
+    assert known() <= before and sorted(map(tuple, first)) == sorted(map(tuple, counts.collect()))
