@@ -237,6 +237,31 @@ class Rolled:
     y: str | None = None
 
 
+def _apart(value: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
+    """[row, place]: differences from the mean of the known values of each window, 0 where none is known."""
+    last = np.maximum.accumulate(np.where(known, np.arange(len(value)), 0))
+    before = np.zeros(n - 1)
+    inside = np.lib.stride_tricks.sliding_window_view(np.concatenate([before > 0, known]), n)
+    apart = np.where(inside, np.lib.stride_tricks.sliding_window_view(np.concatenate([before, value]), n) - value[last][:, None], 0.0)
+    return np.where(inside, apart - (apart.sum(axis=1) / np.maximum(inside.sum(axis=1), 1))[:, None], 0.0)
+
+
+def _rolled(x: np.ndarray, known: np.ndarray, n: int, min_periods: int | None, y: np.ndarray | None = None, y_known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Deviations or correlations of ``Rolled`` and where they are known, from values in order."""
+    both = known if y is None else known & y_known
+    count = np.convolve(both, np.ones(n, np.int64))[:len(both)]
+    fine = (count >= (n if min_periods is None else min_periods)) & (count > 1)
+    with np.errstate(all="ignore"):
+        a = _apart(x, both, n)
+        found = np.sqrt((a * a).sum(axis=1) / (count - 1))
+        if y is not None:
+            b = _apart(y, both, n)
+            spread = found * np.sqrt((b * b).sum(axis=1) / (count - 1))
+            fine = fine & (spread != 0)
+            found = (a * b).sum(axis=1) / (count - 1) / spread
+    return found, fine
+
+
 def with_rolled(df: DataFrame, rolled: dict[str, Rolled], series: Series) -> DataFrame:
     """Adds the columns of ``rolled``, read from columns of ``df``.
 
@@ -247,31 +272,13 @@ def with_rolled(df: DataFrame, rolled: dict[str, Rolled], series: Series) -> Dat
     order, sources = list(series.order), sorted({c for r in rolled.values() for c in (r.x, r.y) if c})
     schema = T.StructType([*df.schema, *(T.StructField(name, T.DoubleType()) for name in rolled)])
 
-    def windows(value: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
-        """[row, place]: differences from the mean of the known values of each window, 0 where none is known."""
-        last = np.maximum.accumulate(np.where(known, np.arange(len(value)), 0))
-        before = np.zeros(n - 1)
-        inside = np.lib.stride_tricks.sliding_window_view(np.concatenate([before > 0, known]), n)
-        apart = np.where(inside, np.lib.stride_tricks.sliding_window_view(np.concatenate([before, value]), n) - value[last][:, None], 0.0)
-        return np.where(inside, apart - (apart.sum(axis=1) / np.maximum(inside.sum(axis=1), 1))[:, None], 0.0)
-
     def added(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order], null_placement="at_start"))
         known = {c: table[f"_of_{c}"].is_valid().to_numpy() for c in sources}
         values = {c: pc.fill_null(table[f"_of_{c}"], 0.0).to_numpy() for c in sources}
         table = table.drop_columns([f"_of_{c}" for c in sources])
         for name, r in rolled.items():
-            both = known[r.x] if r.y is None else known[r.x] & known[r.y]
-            count = np.convolve(both, np.ones(r.n, np.int64))[:len(both)]
-            fine = (count >= (r.n if r.min_periods is None else r.min_periods)) & (count > 1)
-            with np.errstate(all="ignore"):
-                a = windows(values[r.x], both, r.n)
-                found = np.sqrt((a * a).sum(axis=1) / (count - 1))
-                if r.y is not None:
-                    b = windows(values[r.y], both, r.n)
-                    spread = found * np.sqrt((b * b).sum(axis=1) / (count - 1))
-                    fine &= spread != 0
-                    found = (a * b).sum(axis=1) / (count - 1) / spread
+            found, fine = _rolled(values[r.x], known[r.x], r.n, r.min_periods, *((values[r.y], known[r.y]) if r.y else ()))
             table = table.append_column(name, pa.array(found, pa.float64(), mask=~fine, from_pandas=False))
         return table
 
@@ -279,6 +286,123 @@ def with_rolled(df: DataFrame, rolled: dict[str, Rolled], series: Series) -> Dat
     return told.groupBy(*series.keys).applyInArrow(added, schema)
 
 
+def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, missing where b is missing or 0."""
+    return a / np.where(b == 0, np.nan, b)
+
+
+class Held:
+    """The rows of one series, in order, that a task holds: columns as doubles, NaN for NULL, and what was computed from them by name.
+
+    Sums, extremes and exponential means are built from blocks of 4, 16, 64, ... rows as the chains above are, in the same order of additions."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self.n = table, len(table)
+        self.held: dict[str, np.ndarray] = {}
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        return self.once(column, lambda: pc.cast(self.table[column], pa.float64()).to_numpy())
+
+    def once(self, name: str, of) -> np.ndarray:
+        if name not in self.held:
+            self.held[name] = of()
+        return self.held[name]
+
+    def lag(self, x: np.ndarray, n: int, before: float = np.nan) -> np.ndarray:
+        """The value ``n`` rows back, ``before`` where there is no such row."""
+        if n == 0:
+            return x
+        out = np.full(self.n, before)
+        out[n:] = x[:max(self.n - n, 0)]
+        return out
+
+    def diff(self, column: str) -> np.ndarray:
+        return self.once(f"diff {column}", lambda: self[column] - self.lag(self[column], 1))
+
+    def change(self, column: str, n: int) -> np.ndarray:
+        return quotient(self[column], self.lag(self[column], n)) - 1
+
+    def filled(self, x: np.ndarray) -> np.ndarray:
+        """Each row's last known value."""
+        return x[np.maximum.accumulate(np.where(np.isnan(x), 0, np.arange(self.n)))]
+
+    def sum(self, name: str, of, n: int, before: float = np.nan) -> np.ndarray:
+        """``sum_chain`` or, with ``before`` 0, ``part_sum_chain`` of a named column; ``of`` makes it (a column of the rows if None)."""
+        return self.once(f"sum {n} {before} {name}", lambda: self._sum(name, of, n, before))
+
+    def _sum(self, name: str, of, n: int, before: float) -> np.ndarray:
+        current, size = self.once(name, of) if of else self[name], 1
+        blocks = {1: current}
+        while size * RADIX <= n:
+            wider = current
+            for j in range(1, RADIX):
+                wider = wider + self.lag(current, size * j, before)
+            size *= RADIX
+            current = blocks[size] = wider
+        out, offset = None, 0
+        while offset < n:
+            while size > n - offset:
+                size //= RADIX
+            part = self.lag(blocks[size], offset, before)
+            out, offset = part if out is None else out + part, offset + size
+        return out
+
+    def mean(self, column: str, n: int) -> np.ndarray:
+        return self.sum(column, None, n) / float(n)
+
+    def extreme(self, how: str, column: str, n: int, min_periods: int | None = None) -> np.ndarray:
+        """``extreme_chain``."""
+        return self.once(f"{how} {n} {min_periods} {column}", lambda: self._extreme(how, column, n, min_periods))
+
+    def _extreme(self, how: str, column: str, n: int, min_periods: int | None) -> np.ndarray:
+        pick = {"max": np.fmax, "min": np.fmin}[how]
+        current, size = self[column], 1
+        while size * RADIX <= n:
+            wider = current
+            for j in range(1, RADIX):
+                wider = pick(wider, self.lag(current, size * j))
+            current, size = wider, size * RADIX
+        out = current
+        for offset in sorted({min(o, n - size) for o in range(0, n, size)}):
+            out = pick(out, self.lag(current, offset))
+        return np.where(np.arange(1, self.n + 1) >= (n if min_periods is None else min_periods), out, np.nan)
+
+    def ewm(self, name: str, of, span: int) -> np.ndarray:
+        """``ewm_chain``."""
+        return self.once(f"ewm {span} {name}", lambda: self._ewm(self.once(name, of) if of else self[name], span))
+
+    def _ewm(self, x: np.ndarray, span: int) -> np.ndarray:
+        decay = 1.0 - 2.0 / (span + 1.0)
+        current, reach = (1.0 - decay) * x, 1
+        current[:1] = x[:1]
+        while decay > 0 and decay ** reach >= 1e-17 and reach < self.n:  # beyond the series there is nothing to add
+            known, wider = np.where(np.isnan(current), 0.0, current), current
+            for j in range(1, RADIX):
+                wider = wider + decay ** (reach * j) * self.lag(known, reach * j, 0.0)
+            current, reach = wider, reach * RADIX
+        return current
+
+    def known_mean(self, name: str, n: int, min_periods: int) -> np.ndarray:
+        """Trailing mean of the known values; missing until ``min_periods`` are."""
+        x = self[name]
+        known = ~np.isnan(x)
+        count = np.convolve(known, np.ones(n, np.int64))[:self.n]
+        total = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1), np.where(known, x, 0.0)]), n).sum(axis=1)
+        return np.where(count >= min_periods, quotient(total, count.astype(float)), np.nan)
+
+    def _of(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        known = ~np.isnan(self[name])
+        return np.where(known, self[name], 0.0), known
+
+    def std(self, name: str, n: int, min_periods: int | None = None) -> np.ndarray:
+        """The trailing deviation of ``Rolled``."""
+        return self.once(f"std {n} {min_periods} {name}", lambda: (lambda found, fine: np.where(fine, found, np.nan))(*_rolled(*self._of(name), n, min_periods)))
+
+    def correlation(self, x: str, y: str, n: int, min_periods: int) -> np.ndarray:
+        found, fine = _rolled(*self._of(x), n, min_periods, *self._of(y))
+        return np.where(fine, found, np.nan)
+
+
 def expanding_pct_rank(df: DataFrame, x: str, out: str, min_periods: int, series: Series) -> DataFrame:
     """Average rank of each value within its own history, divided by the history's length.
 

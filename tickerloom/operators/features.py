@@ -1,278 +1,262 @@
 """Technical, microstructure and flow features of a processed panel.
 
-A feature set is a list of stages plus row-level outputs; ``build`` merges any number of them, so the whole matrix is a
-handful of stacked projections over one ``partition by ticker order by date`` and is shuffled and sorted once. Every
-output is shifted by ``lag`` rows at the end, which keeps a row's features free of its own bar.
+A feature set is a number of named outputs, each a function of one series' rows. ``build`` reads every series once, in order, by its
+task, which the calendar bounds, and computes all sets there over whole columns: a sum that several outputs need is taken once, and the
+rows are shuffled once. Every output is shifted by ``lag`` rows at the end, which keeps a row's features free of its own bar.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerloom.config import FeatureSettings, TargetSettings
-from tickerloom.functions.columns import clip, div
-from tickerloom.functions.series import (
-    Rolled, Series, Stage, apply_stages, ewm_chain, extreme_chain, merge_stages, part_sum_chain, sum_chain, with_rolled)
+from tickerloom.functions.columns import div
+from tickerloom.functions.series import Held, Series, apply_stages, quotient
 from tickerloom.operators.alignment import align_index_returns
 from tickerloom.operators.cleaning import STOCKS, feature_columns
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get these functions with the plan, executors need no copy of the package
+
 
 @dataclass
 class FeatureSet:
-    """Stages, then outputs over their columns. ``extra_lag`` shifts single outputs further than the common lag. ``rolled`` are deviations and
-    correlations of the panel's own columns, which are there before the first stage."""
+    """Outputs as functions of a series' rows. ``extra_lag`` shifts single outputs further than the common lag."""
 
-    stages: list[Stage]
-    outputs: dict[str, Column]
+    outputs: dict[str, Callable[[Held], np.ndarray]]
     extra_lag: dict[str, int] = field(default_factory=dict)
-    rolled: dict[str, Rolled] = field(default_factory=dict)
 
 
 def build(df: DataFrame, sets: Sequence[FeatureSet], lag: int = 1, series: Series = STOCKS, fill: bool = False
           ) -> DataFrame:
     """Adds every output shifted by ``lag``. With ``fill`` a missing value takes the last known one: the newest non-null
-    value at least ``lag`` rows back is shift and forward fill in a single window function."""
-    rolled = {name: r for s in sets for name, r in s.rolled.items()}
-    merged = apply_stages(with_rolled(df, rolled, series), merge_stages(*[s.stages for s in sets]))
-    staged, outputs = {}, []
-    for s in sets:
-        for name, column in s.outputs.items():
-            rows_back = lag + s.extra_lag.get(name, 0)
-            if fill:
-                staged[f"_out_{name}"] = column
-                frame = series.window.rowsBetween(Window.unboundedPreceding, -rows_back)
-                outputs.append(F.last(f"_out_{name}", ignorenulls=True).over(frame).alias(name))
-            else:
-                outputs.append(series.shift(column, rows_back).alias(name))
-    return apply_stages(merged, [staged]).select(*df.columns, *outputs)
+    value at least ``lag`` rows back is forward fill and shift."""
+    outputs = {name: (of, lag + s.extra_lag.get(name, 0)) for s in sets for name, of in s.outputs.items()}
+    order = list(series.order)
+
+    def added(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order], null_placement="at_start")).combine_chunks()
+        rows, columns = Held(table), list(table.columns)
+        with np.errstate(all="ignore"):
+            for of, back in outputs.values():
+                found = of(rows)
+                found = rows.lag(rows.filled(found) if fill else found, back)
+                columns.append(pa.array(found, pa.float64(), mask=np.isnan(found)))
+        return pa.table(columns, names=[*table.column_names, *outputs])
+
+    schema = T.StructType([*df.schema, *(T.StructField(name, T.DoubleType()) for name in outputs)])
+    return df.groupBy(*series.keys).applyInArrow(added, schema)
 
 
 # momentum -------------------------------------------------------------------------------------------------------
-def rsi(period: int = 14, k: Series = STOCKS) -> FeatureSet:
-    change = F.col("_d1")
-    gain, loss = sum_chain(k, "_gain", period, lead=2), sum_chain(k, "_loss", period, lead=2)
-    return FeatureSet(
-        merge_stages([{"_d1": k.diff("close")}, {"_gain": clip(change, lo=0.0), "_loss": clip(-change, lo=0.0)}],
-                     gain.stages, loss.stages),
-        {f"rsi_{period}": F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + div(gain.output, loss.output))})
+def rsi(period: int = 14) -> FeatureSet:
+    def of(r: Held) -> np.ndarray:
+        change = r.diff("close")
+        gain, loss = r.sum("gain", lambda: np.maximum(change, 0.0), period), r.sum("loss", lambda: np.maximum(-change, 0.0), period)
+        return 100.0 - 100.0 / (1.0 + quotient(gain, loss))
 
+    return FeatureSet({f"rsi_{period}": of})
 
-def macd(fast: int = 12, slow: int = 26, signal: int = 9, k: Series = STOCKS) -> FeatureSet:
-    ema_fast, ema_slow = ewm_chain(k, f"ema{fast}", "close", fast), ewm_chain(k, f"ema{slow}", "close", slow)
-    line_stages = merge_stages(ema_fast.stages, ema_slow.stages)
-    line_stages.append({"_macd": F.col(ema_fast.output) - F.col(ema_slow.output)})
-    ema_signal = ewm_chain(k, "macdsig", "_macd", signal)
-    line = F.col("_macd")
-    return FeatureSet(line_stages + ema_signal.stages, {
-        "macd_line": line, "macd_signal": F.col(ema_signal.output), "macd_hist": line - F.col(ema_signal.output)})
 
+def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> FeatureSet:
+    def line(r: Held) -> np.ndarray:
+        return r.once(f"macd {fast} {slow}", lambda: r.ewm("close", None, fast) - r.ewm("close", None, slow))
 
-def rate_of_change(periods: Sequence[int] = (5, 10, 20), k: Series = STOCKS) -> FeatureSet:
-    return FeatureSet([{f"_roc{p}": k.pct_change("close", p) for p in periods}],
-                      {f"roc_{p}": F.col(f"_roc{p}") for p in periods})
+    def mean(r: Held) -> np.ndarray:
+        return r.ewm(f"macd {fast} {slow}", lambda: line(r), signal)
 
+    return FeatureSet({"macd_line": line, "macd_signal": mean, "macd_hist": lambda r: line(r) - mean(r)})
 
-def stochastic_k(period: int = 14, k: Series = STOCKS) -> FeatureSet:
-    lo, hi = extreme_chain(k, "min", "low", period), extreme_chain(k, "max", "high", period)
-    span = F.col(hi.output) - F.col(lo.output)
-    return FeatureSet(merge_stages(lo.stages, hi.stages),
-                      {"stoch_k": F.lit(100.0) * div(F.col("close") - F.col(lo.output), span)})
 
+def rate_of_change(periods: Sequence[int] = (5, 10, 20)) -> FeatureSet:
+    return FeatureSet({f"roc_{p}": lambda r, p=p: r.change("close", p) for p in periods})
 
-# volatility -----------------------------------------------------------------------------------------------------
-def _true_range_stages(period: int, k: Series) -> list[Stage]:
-    # greatest() skips NULL, so the first row (no previous close) is high - low.
-    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")),
-                            F.abs(F.col("low") - F.col("_pc")))
-    total = sum_chain(k, "_tr", period, lead=2)
-    stages = merge_stages([{"_pc": k.shift("close")}, {"_tr": true_range}], total.stages)
-    return stages + [{f"_atr{period}": F.col(total.output) / F.lit(float(period))}]
 
+def stochastic_k(period: int = 14) -> FeatureSet:
+    def of(r: Held) -> np.ndarray:
+        lo, hi = r.extreme("min", "low", period), r.extreme("max", "high", period)
+        return 100.0 * quotient(r["close"] - lo, hi - lo)
+
+    return FeatureSet({"stoch_k": of})
 
-def atr(period: int = 14, k: Series = STOCKS) -> FeatureSet:
-    return FeatureSet(_true_range_stages(period, k), {f"atr_{period}": F.col(f"_atr{period}")})
 
+# volatility -----------------------------------------------------------------------------------------------------
+def _atr(r: Held, period: int) -> np.ndarray:
+    def true_range() -> np.ndarray:
+        before = r.lag(r["close"], 1)
+        # A missing side is left out, so the first row (no previous close) is high - low.
+        return np.fmax(np.fmax(r["high"] - r["low"], np.abs(r["high"] - before)), np.abs(r["low"] - before))
 
-def _moments(column: str, period: int, k: Series) -> list[Stage]:
-    """The mean; ``_deviations`` has the deviation beside it."""
-    total = sum_chain(k, column, period)
-    return total.stages + [{f"_{column}_ma{period}": F.col(total.output) / F.lit(float(period))}]
+    return r.sum("true range", true_range, period) / float(period)
 
 
-def _deviations(column: str, *periods: int) -> dict[str, Rolled]:
-    return {f"_{column}_sd{p}": Rolled(column, p) for p in periods}
+def atr(period: int = 14) -> FeatureSet:
+    return FeatureSet({f"atr_{period}": lambda r: _atr(r, period)})
 
 
-def bollinger_pct_b(period: int = 20, width: float = 2.0, k: Series = STOCKS) -> FeatureSet:
-    band = F.lit(width) * F.col(f"_close_sd{period}")
-    lower, upper = F.col(f"_close_ma{period}") - band, F.col(f"_close_ma{period}") + band
-    return FeatureSet(_moments("close", period, k), {"boll_pctb": div(F.col("close") - lower, upper - lower)}, rolled=_deviations("close", period))
+def bollinger_pct_b(period: int = 20, width: float = 2.0) -> FeatureSet:
+    def of(r: Held) -> np.ndarray:
+        mean, band = r.mean("close", period), width * r.std("close", period)
+        return quotient(r["close"] - (mean - band), (mean + band) - (mean - band))
 
+    return FeatureSet({"boll_pctb": of})
 
-def garman_klass_vol(period: int = 20, negative_as_zero: bool = True, k: Series = STOCKS) -> FeatureSet:
+
+def garman_klass_vol(period: int = 20, negative_as_zero: bool = True) -> FeatureSet:
     """``negative_as_zero`` is the fast-mode rule; otherwise a negative mean gives NULL."""
-    log_range, log_body = F.ln(div("high", "low")), F.ln(div("close", "open"))
-    daily = F.lit(0.5) * log_range * log_range - F.lit(2.0 * math.log(2.0) - 1.0) * log_body * log_body
-    total = sum_chain(k, "_gk", period, lead=1)
-    mean = F.col(total.output) / F.lit(float(period))
-    value = F.sqrt(clip(mean, lo=0.0)) if negative_as_zero else F.when(mean >= 0, F.sqrt(mean))
-    return FeatureSet(merge_stages([{"_gk": daily}], total.stages), {"gk_vol": value})
+    def daily(r: Held) -> np.ndarray:
+        spread, body = (np.log(np.where(x > 0, x, np.nan)) for x in (quotient(r["high"], r["low"]), quotient(r["close"], r["open"])))
+        return 0.5 * spread * spread - (2.0 * math.log(2.0) - 1.0) * body * body
+
+    def of(r: Held) -> np.ndarray:
+        mean = r.sum("garman klass", lambda: daily(r), period) / float(period)
+        return np.sqrt(np.maximum(mean, 0.0) if negative_as_zero else np.where(mean >= 0, mean, np.nan))
+
+    return FeatureSet({"gk_vol": of})
 
 
-def realized_vol(period: int = 20, k: Series = STOCKS) -> FeatureSet:
-    return FeatureSet([], {f"realized_vol_{period}": F.col(f"_rv{period}")}, rolled={f"_rv{period}": Rolled("returns", period)})
+def realized_vol(period: int = 20) -> FeatureSet:
+    return FeatureSet({f"realized_vol_{period}": lambda r: r.std("returns", period)})
 
 
 # volume ---------------------------------------------------------------------------------------------------------
-def obv_z(period: int = 60, min_periods: int = 20, k: Series = STOCKS) -> FeatureSet:
-    return FeatureSet(
-        [{"_d1": k.diff("close")},
-         {"_obv": k.cumsum(F.signum("_d1") * F.col("volume"))},
-         {"_obv_ma": k.rolling("mean", "_obv", period, min_periods),
-          "_obv_sd": k.rolling("std", "_obv", period, min_periods)}],
-        {"obv_z": div(F.col("_obv") - F.col("_obv_ma"), "_obv_sd")})
+def obv_z(period: int = 60, min_periods: int = 20) -> FeatureSet:
+    def of(r: Held) -> np.ndarray:
+        signed = np.sign(r.diff("close")) * r["volume"]
+        total = np.where(np.isnan(signed), np.nan, np.cumsum(np.nan_to_num(signed, nan=0.0)))
+        r.held["obv"] = total
+        return quotient(total - r.known_mean("obv", period, min_periods), r.std("obv", period, min_periods))
+
+    return FeatureSet({"obv_z": of})
+
 
+def volume_ma_ratio(period: int = 20) -> FeatureSet:
+    return FeatureSet({"vol_ma_ratio": lambda r: quotient(r["volume"], r.mean("volume", period))})
 
-def volume_ma_ratio(period: int = 20, k: Series = STOCKS) -> FeatureSet:
-    total = sum_chain(k, "volume", period)
-    return FeatureSet(total.stages, {"vol_ma_ratio": div("volume", F.col(total.output) / F.lit(float(period)))})
 
+def vwap_ratio(period: int = 20) -> FeatureSet:
+    def of(r: Held) -> np.ndarray:
+        money = r.sum("money", lambda: (r["high"] + r["low"] + r["close"]) / 3.0 * r["volume"], period)
+        return quotient(r["close"], quotient(money, r.sum("volume", None, period)))
 
-def vwap_ratio(period: int = 20, k: Series = STOCKS) -> FeatureSet:
-    typical = (F.col("high") + F.col("low") + F.col("close")) / F.lit(3.0)
-    money, volume = sum_chain(k, "_pv", period, lead=1), sum_chain(k, "volume", period)
-    return FeatureSet(merge_stages([{"_pv": typical * F.col("volume")}], money.stages, volume.stages),
-                      {"vwap_ratio": div("close", div(money.output, volume.output))})
+    return FeatureSet({"vwap_ratio": of})
 
 
 # trend ----------------------------------------------------------------------------------------------------------
-def ema(spans: Sequence[int] = (20, 50, 200), k: Series = STOCKS) -> FeatureSet:
-    plans = {s: ewm_chain(k, f"ema{s}", "close", s) for s in spans}
-    return FeatureSet(merge_stages(*[p.stages for p in plans.values()]),
-                      {f"ema_{s}": F.col(p.output) for s, p in plans.items()})
-
-
-def ema_cross(pairs: Sequence[tuple[int, int]] = ((20, 50), (50, 200)), k: Series = STOCKS) -> FeatureSet:
-    plans = {s: ewm_chain(k, f"ema{s}", "close", s) for s in sorted({s for pair in pairs for s in pair})}
-    return FeatureSet(merge_stages(*[p.stages for p in plans.values()]), {
-        f"ema_cross_{f}_{s}": div(F.col(plans[f].output) - F.col(plans[s].output), "close") for f, s in pairs})
-
-
-def adx(period: int = 14, k: Series = STOCKS) -> FeatureSet:
-    up = F.when(F.col("_dh") > 0, F.col("_dh")).when(F.col("_dh").isNotNull(), F.lit(0.0))
-    down = F.when(F.col("_dl") > 0, F.col("_dl")).when(F.col("_dl").isNotNull(), F.lit(0.0))
-    # The first row has no difference: its comparison is not true, so plus becomes 0 while minus stays NULL.
-    plus = F.when(F.col("_up") > F.col("_down"), F.col("_up")).otherwise(F.lit(0.0))
-    minus = F.when(F.col("_up") > F.col("_down"), F.lit(0.0)).otherwise(F.col("_down"))
-    plus_sum, minus_sum = sum_chain(k, "_pdm", period, lead=3), sum_chain(k, "_mdm", period, lead=3)
-    scale = F.lit(100.0 / period)
-    dx = F.lit(100.0) * div(F.abs(F.col("_dip") - F.col("_dim")), F.col("_dip") + F.col("_dim"))
-    stages = merge_stages(
-        _true_range_stages(period, k),
-        [{"_dh": k.diff("high"), "_dl": -k.diff("low")}, {"_up": up, "_down": down}, {"_pdm": plus, "_mdm": minus}],
-        plus_sum.stages, minus_sum.stages)
-    stages += [{"_dip": scale * div(plus_sum.output, f"_atr{period}"),
-                "_dim": scale * div(minus_sum.output, f"_atr{period}")}, {"_dx": dx}]
-    total = sum_chain(k, "_dx", period, lead=len(stages))
-    return FeatureSet(merge_stages(stages, total.stages), {f"adx_{period}": F.col(total.output) / F.lit(float(period))})
+def ema(spans: Sequence[int] = (20, 50, 200)) -> FeatureSet:
+    return FeatureSet({f"ema_{s}": lambda r, s=s: r.ewm("close", None, s) for s in spans})
+
+
+def ema_cross(pairs: Sequence[tuple[int, int]] = ((20, 50), (50, 200))) -> FeatureSet:
+    return FeatureSet({f"ema_cross_{f}_{s}": lambda r, f=f, s=s: quotient(r.ewm("close", None, f) - r.ewm("close", None, s), r["close"]) for f, s in pairs})
+
+
+def adx(period: int = 14) -> FeatureSet:
+    def index(r: Held) -> np.ndarray:
+        up, down = (np.where(d > 0, d, np.where(np.isnan(d), np.nan, 0.0)) for d in (r.diff("high"), -r.diff("low")))
+        # The first row has no difference: its comparison is not true, so plus becomes 0 while minus stays NULL.
+        plus = r.sum("plus", lambda: np.where(up > down, up, 0.0), period)
+        minus = r.sum("minus", lambda: np.where(up > down, 0.0, down), period)
+        plus, minus = ((100.0 / period) * quotient(x, _atr(r, period)) for x in (plus, minus))
+        return 100.0 * quotient(np.abs(plus - minus), plus + minus)
+
+    return FeatureSet({f"adx_{period}": lambda r: r.sum(f"dx {period}", lambda: index(r), period) / float(period)})
 
 
 # mean reversion -------------------------------------------------------------------------------------------------
-def zscore_vs_ma(periods: Sequence[int] = (20, 60), k: Series = STOCKS) -> FeatureSet:
-    return FeatureSet(merge_stages(*[_moments("close", p, k) for p in periods]), {
-        f"zscore_{p}": div(F.col("close") - F.col(f"_close_ma{p}"), f"_close_sd{p}") for p in periods}, rolled=_deviations("close", *periods))
+def zscore_vs_ma(periods: Sequence[int] = (20, 60)) -> FeatureSet:
+    return FeatureSet({f"zscore_{p}": lambda r, p=p: quotient(r["close"] - r.mean("close", p), r.std("close", p)) for p in periods})
+
 
+def distance_from_extremes(period: int = 252, min_periods: int = 60) -> FeatureSet:
+    def of(how: str) -> Callable[[Held], np.ndarray]:
+        return lambda r: quotient(r["close"] - r.extreme(how, "close", period, min_periods), r.extreme(how, "close", period, min_periods))
 
-def distance_from_extremes(period: int = 252, min_periods: int = 60, k: Series = STOCKS) -> FeatureSet:
-    top = extreme_chain(k, "max", "close", period, min_periods)
-    bottom = extreme_chain(k, "min", "close", period, min_periods)
-    hi, lo = F.col(top.output), F.col(bottom.output)
-    return FeatureSet(
-        merge_stages(top.stages, bottom.stages),
-        {"dist_52w_high": div(F.col("close") - hi, hi), "dist_52w_low": div(F.col("close") - lo, lo)})
+    return FeatureSet({"dist_52w_high": of("max"), "dist_52w_low": of("min")})
 
 
 def lagged_returns(days: Sequence[int] = (1, 2, 3, 5, 10, 20)) -> FeatureSet:
     names = {f"ret_lag_{d}": d - 1 for d in days}
-    return FeatureSet([], {n: F.col("returns") for n in names}, names)
+    return FeatureSet({n: lambda r: r["returns"] for n in names}, names)
 
 
 # microstructure -------------------------------------------------------------------------------------------------
 def limit_proximity(limit_pct: float = 0.07) -> FeatureSet:
-    floor_, ceil_ = F.col("ref_price") * F.lit(1.0 - limit_pct), F.col("ref_price") * F.lit(1.0 + limit_pct)
-    return FeatureSet([], {"cb_proximity": div(F.col("close") - floor_, ceil_ - floor_)})
+    def of(r: Held) -> np.ndarray:
+        floor, ceiling = r["ref_price"] * (1.0 - limit_pct), r["ref_price"] * (1.0 + limit_pct)
+        return quotient(r["close"] - floor, ceiling - floor)
 
+    return FeatureSet({"cb_proximity": of})
 
-def _limit_hits() -> Column:
-    return (F.col("is_limit_up") + F.col("is_limit_down")).cast("double")
 
+def _hits(r: Held, window: int) -> np.ndarray:
+    return r.sum("hits", lambda: r["is_limit_up"] + r["is_limit_down"], window, 0.0)
 
-def limit_hit_count(windows: Sequence[int] = (5, 10), k: Series = STOCKS) -> FeatureSet:
-    sums = {w: part_sum_chain(k, "_hit", w, lead=1) for w in windows}
-    return FeatureSet(merge_stages([{"_hit": _limit_hits()}], *[c.stages for c in sums.values()]),
-                      {f"limit_hit_{w}d": F.col(c.output) for w, c in sums.items()})
 
+def limit_hit_count(windows: Sequence[int] = (5, 10)) -> FeatureSet:
+    return FeatureSet({f"limit_hit_{w}d": lambda r, w=w: _hits(r, w) for w in windows})
 
-def limit_direction_ratio(window: int = 10, k: Series = STOCKS) -> FeatureSet:
-    hits, ups = part_sum_chain(k, "_hit", window, lead=1), part_sum_chain(k, "_up1", window, lead=1)
-    return FeatureSet(
-        merge_stages([{"_hit": _limit_hits(), "_up1": F.col("is_limit_up").cast("double")}], hits.stages, ups.stages),
-        {f"limit_dir_ratio_{window}d": div(ups.output, hits.output)})
+
+def limit_direction_ratio(window: int = 10) -> FeatureSet:
+    return FeatureSet({f"limit_dir_ratio_{window}d": lambda r: quotient(r.sum("is_limit_up", None, window, 0.0), _hits(r, window))})
 
 
 def intraday_range_ratio(limit_pct: float = 0.07) -> FeatureSet:
-    allowed = F.lit(2.0 * limit_pct) * F.col("ref_price")
-    return FeatureSet([], {"intraday_range_ratio": div(F.col("high") - F.col("low"), allowed)})
+    return FeatureSet({"intraday_range_ratio": lambda r: quotient(r["high"] - r["low"], 2.0 * limit_pct * r["ref_price"])})
 
 
 def close_in_range() -> FeatureSet:
-    return FeatureSet([], {"close_in_range": div(F.col("close") - F.col("low"), F.col("high") - F.col("low"))})
+    return FeatureSet({"close_in_range": lambda r: quotient(r["close"] - r["low"], r["high"] - r["low"])})
 
 
 # flow -----------------------------------------------------------------------------------------------------------
-def flow_proxy(name: str, z_period: int, mean_period: int, min_periods: int, k: Series = STOCKS) -> FeatureSet:
+def flow_proxy(name: str, z_period: int, mean_period: int, min_periods: int) -> FeatureSet:
     """Volume z-score signed by the day's move, then averaged."""
-    z = div(F.col("volume") - F.col(f"_volume_ma{z_period}"), f"_volume_sd{z_period}")
-    stages = merge_stages([{"_ret1": k.pct_change("close")}], _moments("volume", z_period, k))
-    signed = f"_zsign{z_period}"
-    stages += [{signed: z * F.signum("_ret1")},
-               {f"{signed}_0": F.coalesce(signed, F.lit(0.0)), f"{signed}_n": F.when(F.col(signed).isNotNull(), 1.0).otherwise(0.0)}]
-    lead = len(stages)
-    # Shorter histories count: rows before the series and NULL rows enter as 0 and are left out of the count.
-    value, count = (part_sum_chain(k, f"{signed}_{c}", mean_period, lead) for c in "0n")
-    mean = F.when(F.col(count.output) >= min_periods, div(value.output, count.output))
-    return FeatureSet(merge_stages(stages, value.stages, count.stages), {name: mean}, rolled=_deviations("volume", z_period))
-
-
-def flow_proxies(mode: str = "full", k: Series = STOCKS) -> list[FeatureSet]:
+    def signed(r: Held) -> np.ndarray:
+        return r.once(f"signed {z_period}", lambda: quotient(r["volume"] - r.mean("volume", z_period), r.std("volume", z_period)) * np.sign(r.change("close", 1)))
+
+    def of(r: Held) -> np.ndarray:
+        # Shorter histories count: rows before the series and NULL rows enter as 0 and are left out of the count.
+        value = r.sum(f"signed {z_period} or 0", lambda: np.nan_to_num(signed(r), nan=0.0, posinf=math.inf, neginf=-math.inf), mean_period, 0.0)
+        count = r.sum(f"signed {z_period} known", lambda: 1.0 - np.isnan(signed(r)), mean_period, 0.0)
+        return np.where(count >= min_periods, quotient(value, count), np.nan)
+
+    return FeatureSet({name: of})
+
+
+def flow_proxies(mode: str = "full") -> list[FeatureSet]:
     if mode == "fast":
-        return [flow_proxy("ff_proxy_vol_20", 20, 20, 5, k), flow_proxy("ff_proxy_vol_60", 20, 60, 10, k)]
-    return [flow_proxy("ff_proxy_vol_20", 20, 20, 5, k), flow_proxy("ff_proxy_vol_60", 60, 60, 5, k)]
+        return [flow_proxy("ff_proxy_vol_20", 20, 20, 5), flow_proxy("ff_proxy_vol_60", 20, 60, 10)]
+    return [flow_proxy("ff_proxy_vol_20", 20, 20, 5), flow_proxy("ff_proxy_vol_60", 60, 60, 5)]
 
 
-def index_correlation(periods: Sequence[int] = (20, 60), min_periods: int = 10, k: Series = STOCKS) -> FeatureSet:
+def index_correlation(periods: Sequence[int] = (20, 60), min_periods: int = 10) -> FeatureSet:
     """Needs ``index_returns`` on the panel (``align_index_returns``)."""
-    return FeatureSet([], {f"index_corr_{p}": F.col(f"_icorr{p}") for p in periods},
-                      rolled={f"_icorr{p}": Rolled("returns", p, min_periods, "index_returns") for p in periods})
+    return FeatureSet({f"index_corr_{p}": lambda r, p=p: r.correlation("returns", "index_returns", p, min_periods) for p in periods})
 
 
 # groups ---------------------------------------------------------------------------------------------------------
-def technical_sets(mode: str = "full", k: Series = STOCKS) -> list[FeatureSet]:
+def technical_sets(mode: str = "full") -> list[FeatureSet]:
     return [
-        rsi(k=k), macd(k=k), rate_of_change(k=k), stochastic_k(k=k), atr(k=k), bollinger_pct_b(k=k),
-        garman_klass_vol(negative_as_zero=mode == "fast", k=k), realized_vol(k=k), obv_z(k=k), volume_ma_ratio(k=k),
-        vwap_ratio(k=k), ema(k=k), ema_cross(k=k), adx(k=k), zscore_vs_ma(k=k), distance_from_extremes(k=k),
+        rsi(), macd(), rate_of_change(), stochastic_k(), atr(), bollinger_pct_b(),
+        garman_klass_vol(negative_as_zero=mode == "fast"), realized_vol(), obv_z(), volume_ma_ratio(),
+        vwap_ratio(), ema(), ema_cross(), adx(), zscore_vs_ma(), distance_from_extremes(),
         lagged_returns(),
     ]
 
 
-def microstructure_sets(limit_pct: float = 0.07, k: Series = STOCKS) -> list[FeatureSet]:
-    return [limit_proximity(limit_pct), limit_hit_count(k=k), limit_direction_ratio(k=k),
+def microstructure_sets(limit_pct: float = 0.07) -> list[FeatureSet]:
+    return [limit_proximity(limit_pct), limit_hit_count(), limit_direction_ratio(),
             intraday_range_ratio(limit_pct), close_in_range()]
 
 
@@ -313,12 +297,12 @@ def build_feature_matrix(bars: DataFrame, index_bars: DataFrame | None = None,
     The last ``horizon`` rows of a ticker have no label and are dropped; ``keep_tail`` keeps them with label 0.
     """
     k, mode = STOCKS, features.mode
-    sets = technical_sets(mode, k) + microstructure_sets(features.limit_pct, k) + flow_proxies(mode, k)
+    sets = technical_sets(mode) + microstructure_sets(features.limit_pct) + flow_proxies(mode)
     panel = bars
     if index_bars is not None and mode == "full":
         panel = align_index_returns(panel, index_bars)
-        sets.append(index_correlation(min_periods=features.corr_min_periods, k=k))
-    # The target comes first and travels along, so the wide feature projection stays the last window of the plan.
+        sets.append(index_correlation(min_periods=features.corr_min_periods))
+    # The target comes first and travels along, so the wide rows of features pass no window.
     # Filled before the tail is cut: a fill only looks back, so the order of the two does not matter.
     targeted = with_target(panel, target.horizon, target.drop_threshold, k)
     matrix = build(targeted, sets, features.min_lag, k, fill=True).drop("index_returns")
