@@ -3,12 +3,14 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.config import FoldSettings
 from tickerloom.functions.series import Series, expanding_pct_rank
-from tickerloom.operators import folds, models, tracking
+from tickerloom.operators import folds, models, statistics, tracking
+from tickerloom.session import removed, stored_rounded
 
 
 def plan(df) -> str:
@@ -100,3 +102,34 @@ def test_files_of_a_shuffle_go_with_its_statement(spark):
     before = known()
     first = counts.collect()
     assert known() <= before and sorted(map(tuple, first)) == sorted(map(tuple, counts.collect()))
+
+
+def test_drift_and_leakage_take_all_features_in_one_pass(spark):
+    """Rows are not multiplied by features; the figures are those of long tables and of numpy. A constant, an empty and a scarce column."""
+    r = np.random.default_rng(2)
+    data = [(i, float(v), 7.1, None, float(v) if i % 300 == 0 else None, float(w)) for i, (v, w) in enumerate(r.normal(size=(900, 2)))]
+    rows = spark.createDataFrame(data, "id int, a double, b double, c double, d double, fwd_return double").withColumn("fwd_return", F.when(F.col("id") % 9 != 0, F.col("a") + F.col("fwd_return"))).repartition(5)
+    names, old, new = list("abcd"), rows.where("id < 500"), rows.where("id >= 500")
+    found = statistics.feature_psi(old, new, names)
+    assert "Generate" not in plan(found)
+    want = {x["feature"]: x["psi"] for x in statistics.psi_table(statistics.long_features(old, names), statistics.long_features(new, names)).collect()}
+    assert {x["feature"]: x["psi"] for x in found.collect()} == pytest.approx(want, rel=1e-12) and set(want) == {"a", "b"}
+    told = {x["feature"]: x for x in statistics.leakage_check(rows, names).collect()}
+    pairs = rows.where("fwd_return is not null").toPandas()
+    assert told["a"]["corr"] == pytest.approx(np.corrcoef(pairs.a, pairs.fwd_return)[0, 1], rel=1e-12) and told["a"]["n_pairs"] == 800 and told["a"]["suspicious"]
+    assert [(told[n]["n_pairs"], told[n]["corr"], told[n]["suspicious"]) for n in "bc"] == [(800, None, False), (0, None, False)] and not told["d"]["suspicious"]
+    assert [x["n_pairs"] for x in statistics.leakage_check(rows.limit(0), names).collect()] == [0] * 4
+
+
+def test_rounded_rows_are_read_as_the_same_doubles(spark, tmp_path, monkeypatch):
+    """Whole millionths where they are exact, else the double itself; the rows can be deleted."""
+    monkeypatch.setattr("tickerloom.session.shared_folder", lambda spark: str(tmp_path))
+    r = np.random.default_rng(3)
+    values = [None, float("nan"), float("inf"), -1e300, 0.0, 1e9, 999999999.999999, 123456789.1234565, 2.5e-7, -7.0000005, *np.round(r.normal(size=500) * 10.0 ** r.integers(-5, 9, 500), 7).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    read = stored_rounded(df, ["x"], f"{tmp_path}/rows")
+    assert read.columns == ["i", "x"]
+    both = df.select("i", F.round("x", 6).alias("want")).join(read, "i")
+    assert both.where("NOT (want <=> x)").isEmpty() and both.count() == len(values)
+    removed(spark, f"{tmp_path}/rows")
+    assert list(tmp_path.iterdir()) == []

@@ -13,7 +13,7 @@ from tickerloom.config import FoldSettings, ModelSettings
 from tickerloom.operators import attribution as at, boosting as bo, cleaning as cl, folds as fo, metrics as me, models as mo, quality as qa, tabular as tb
 from tickerloom.operators import reports as rp, tracking as tr
 from tickerloom.plans import plugins
-from tickerloom.session import cut_lineage, stored
+from tickerloom.session import cut_lineage, stored, stored_rounded
 from tickerloom.sources import tables as io
 from tickerloom.streaming import metrics as sm
 
@@ -387,7 +387,7 @@ def _study(spark, d):
     at = (spark.sparkContext.applicationId, d)
     if at not in _FITTED:
         # The features are written once; the tables below are read from these rows.
-        m = stored(matrix(spark, d, "fast").select("date", "ticker", mo.LABEL, *[(F.round(n, 6) + F.lit(0.0)).alias(n) for n in NAMES]), measured=True)
+        m = stored_rounded(matrix(spark, d, "fast").select("date", "ticker", mo.LABEL, *NAMES), NAMES)
         regime = stored(regime_table(spark, d))
         rows = mo.fold_rows(mo.training_table(m, regime, NAMES), fo.data_folds(m, FOLDS), FOLDS)
         _FITTED[at] = rows, regime, mo.fit_folds(rows, regime, NAMES)

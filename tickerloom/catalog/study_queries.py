@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tickerloom.catalog import inputs as src
 from tickerloom.catalog.feature_queries import FULL_MATRIX_SQL, SQL_FEATURES, matrix
 from tickerloom.catalog.panel_queries import (
-    DEFAULT_FOLDS_SQL, SQL_CDF, SQL_SCORES, regime_table, scratch)
+    DEFAULT_FOLDS_SQL, SQL_CDF, SQL_SCORES, regime_table)
 from tickerloom.catalog.registry import query, r
 from tickerloom.config import FoldSettings, RegimeSettings
 from tickerloom.functions.columns import hash_uniform, poisson_one_cdf
 from tickerloom.operators import alignment as al, cleaning as cl, folds as fo, markov as mk, metrics as me, models as mo, regime as rg, segmentation as sg
 from tickerloom.operators import reports as rp, statistics as st
+from tickerloom.session import new_folder, removed, stored, stored_rounded
 
 # regimes --------------------------------------------------------------------------------------------------------
 W60 = "(PARTITION BY series_id ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
@@ -560,11 +561,12 @@ PSI_NAMES = list(SQL_FEATURES)  # every feature of the matrix
 
 @query("st06_feature_psi", f"{FULL_MATRIX_SQL}, {_psi_sql(PSI_NAMES, 'matrix', 'year(date) < 1999', 'year(date) >= 1999')} SELECT feature, {r('psi')}, psi >= 0.25 AS drifted FROM psi")
 def _feature_psi(spark, d):
-    # Read three times below, so it is stored once first, as a study does.
-    path = f"{scratch(spark)}/matrix"
-    matrix(spark, d).select("date", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in PSI_NAMES]).write.parquet(path)
-    m = spark.read.parquet(path)
-    return st.feature_psi(m.where(F.year("date") < 1999), m.where(F.year("date") >= 1999), PSI_NAMES)
+    # Read three times below, so it is stored once first, as a study does, and goes when the few rows of the result are there.
+    folder = new_folder(spark, "matrix")
+    m = stored_rounded(matrix(spark, d).select("date", *PSI_NAMES), PSI_NAMES, folder)
+    found = stored(st.feature_psi(m.where(F.year("date") < 1999), m.where(F.year("date") >= 1999), PSI_NAMES).coalesce(1))
+    removed(spark, folder)
+    return found
 
 
 KS_P = ("CASE WHEN lam < 0.05 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: 2.0 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam))), 0.0), 1.0) END")

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.columns import div, hash_uniform, normal_cdf, poisson_one
 from tickerloom.functions.scan import sorted_scan
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get these functions with the plan, executors need no copy of the package
+
 LOSS_NAMES = {"brier": "brier", "squared": "brier", "logloss": "logloss", "absolute": "absolute"}
 
 
@@ -170,6 +178,11 @@ def psi_table(reference: DataFrame, current: DataFrame, bins: int = 10, min_rows
     placed = placed.withColumn("bin", F.least(F.greatest(slot, F.lit(0)), F.lit(bins - 1)).cast("int"))
     counts = placed.groupBy("feature", "bin").agg(
         F.count(F.when(F.col("_cur") == 0, 1)).alias("_r"), F.count(F.when(F.col("_cur") == 1, 1)).alias("_c"))
+    return _shares(counts, min_rows)
+
+
+def _shares(counts: DataFrame, min_rows: int) -> DataFrame:
+    """(feature, psi) of (feature, bin, _r, _c), the rows of a bin on both sides."""
     # At most ``bins`` rows per feature from here on. A bin empty on both sides adds (eps - eps) * ln(1) = 0: no row needed.
     whole = Window.partitionBy("feature")
     shares = counts.select("feature", "_r", "_c", F.sum("_r").over(whole).alias("_nr"), F.sum("_c").over(whole).alias("_nc"))
@@ -183,10 +196,50 @@ def population_stability_index(reference: DataFrame, current: DataFrame, value:
     return psi_table(long_features(reference, [value]), long_features(current, [value]), bins, 1).select("psi")
 
 
-def feature_psi(train: DataFrame, test: DataFrame, names: Sequence[str], threshold: float = 0.25, bins: int = 10
+def _known(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column's values, 0 where there is none, and where there are some."""
+    c = batch.column(column)
+    return pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
+
+
+def feature_psi(train: DataFrame, test: DataFrame, names: Sequence[str], threshold: float = 0.25, bins: int = 10, min_rows: int = 10
                 ) -> DataFrame:
-    table = psi_table(long_features(train, names), long_features(test, names), bins)
-    return table.withColumn("drifted", F.col("psi") >= threshold).orderBy(F.col("psi").desc(), "feature")
+    """``psi_table`` of the columns of wide tables: rows are not multiplied by the features, tasks hand on ``bins`` counts for each. ``train`` is read twice."""
+    wide = lambda df: df.select(*[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+        seen = np.zeros(len(names), bool)
+        for batch in batches:
+            for i in range(len(names)):
+                v, known = _known(batch, f"x{i}")
+                v = v[known & ~np.isnan(v)]
+                if len(v):
+                    seen[i], lo[i], hi[i] = True, min(lo[i], v.min()), max(hi[i], v.max())
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(lo[at]), pa.array(hi[at])], names=["place", "lo", "hi"])
+
+    spans = {}
+    for r in wide(train).mapInArrow(ends, "place int, lo double, hi double").groupBy("place").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():  # a row for each feature
+        spans[r["place"]] = (r["lo"] - 0.5, 1.0 / bins) if r["lo"] == r["hi"] else (r["lo"], (r["hi"] - r["lo"]) / bins)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(names), 2, bins), np.int64)
+        for batch in batches:
+            now = batch.column("now").to_numpy(zero_copy_only=False)
+            for i, (lo, width) in spans.items():
+                v, known = _known(batch, f"x{i}")
+                known &= ~np.isnan(v)
+                with np.errstate(all="ignore"):
+                    slot = np.clip(np.nan_to_num(np.floor((v[known] - lo) / width)), 0, bins - 1).astype(np.int64)
+                n[i] += np.bincount(now[known] * bins + slot, minlength=2 * bins).reshape(2, bins)
+        place, bin_ = (x.ravel() for x in np.indices((len(names), bins)))
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(bin_, pa.int32()), pa.array(n[:, 0].ravel()), pa.array(n[:, 1].ravel())], names=["place", "bin", "_r", "_c"])
+
+    both = wide(train).withColumn("now", F.lit(0)).unionByName(wide(test).withColumn("now", F.lit(1)))
+    counts = both.mapInArrow(counted, "place int, bin int, _r long, _c long").groupBy("place", "bin").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
+    named = counts.where("_r + _c > 0").select(F.array(*[F.lit(n) for n in names])[F.col("place")].alias("feature"), "bin", "_r", "_c")
+    return _shares(named, min_rows).withColumn("drifted", F.col("psi") >= threshold).orderBy(F.col("psi").desc(), "feature")
 
 
 def ks_two_sample(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
@@ -210,15 +263,44 @@ def ks_two_sample(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
 # leakage --------------------------------------------------------------------------------------------------------
 def leakage_check(matrix: DataFrame, names: Sequence[str], target: str = "fwd_return", limit: float = 0.5,
                   min_pairs: int = 50) -> DataFrame:
-    """Features whose correlation with the target is suspicious. All features in one aggregate of one scan."""
-    measures = []
-    for n in names:
-        both = F.col(n).isNotNull() & F.col(target).isNotNull()
-        x, y = F.when(both, F.col(n)), F.when(both, F.col(target))
-        corr = div(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-        measures.append(F.struct(F.lit(n).alias("feature"), F.count(x).alias("n_pairs"), corr.alias("corr")).alias(n))
-    wide = matrix.agg(*measures)
-    rows = wide.select(F.explode(F.array(*[F.col(n) for n in names])).alias("_r")).select("_r.*")
+    """Features whose correlation with the target is suspicious. All features in one scan: a task hands on the moments of each feature's pairs, which are
+    taken about their means and put together by feature, a row for each task."""
+    kinds = "place int, n long, x double, y double, xx double, yy double, xy double"
+
+    def joined(a: tuple, b: tuple) -> tuple:
+        """Moments of both (number, means, sums of squares and products about the means)."""
+        n = a[0] + b[0]
+        dx, dy, w = b[1] - a[1], b[2] - a[2], a[0] * b[0] / n
+        return n, a[1] + dx * b[0] / n, a[2] + dy * b[0] / n, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            y, told = _known(batch, "y")
+            for i in range(len(names)):
+                x, known = _known(batch, f"x{i}")
+                both = known & told
+                if both.any():
+                    a, b = x[both], y[both]
+                    u, v = a - a[0], b - b[0]  # a constant column has no deviation
+                    mu, mv = u.mean(), v.mean()
+                    u, v = u - mu, v - mv
+                    part = (len(a), float(a[0] + mu), float(b[0] + mv), float(u @ u), float(v @ v), float(u @ v))
+                    held[i] = joined(held[i], part) if i in held else part
+        yield pa.RecordBatch.from_pylist([dict(zip(("place", "n", "x", "y", "xx", "yy", "xy"), (i, *m), strict=True)) for i, m in held.items()], schema=pa.schema(
+            [("place", pa.int32()), ("n", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "xx", "yy", "xy"))]))
+
+    def whole(table: pa.Table) -> pa.Table:
+        rows = sorted(tuple(r.values()) for r in table.to_pylist())
+        found = functools.reduce(joined, [r[1:] for r in rows])
+        return pa.table([pa.array([v], t) for v, t in zip((rows[0][0], *found), table.schema.types, strict=True)], names=table.column_names)
+
+    told = matrix.select(F.col(target).cast("double").alias("y"), *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)]).mapInArrow(moments, kinds)
+    every = matrix.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, feature string")
+    found = every.join(told.groupBy("place").applyInArrow(whole, kinds), "place", "left").orderBy("place")
+    less = F.col("n") - 1
+    corr = F.when(F.col("n") > 1, div(F.col("xy") / less, F.sqrt(F.col("xx") / less) * F.sqrt(F.col("yy") / less)))
+    rows = found.select("feature", F.coalesce("n", F.lit(0)).cast("long").alias("n_pairs"), corr.alias("corr"))
     return rows.withColumn("suspicious", (F.col("n_pairs") >= min_pairs) & F.coalesce(F.abs("corr") > limit, F.lit(False)))
 
 

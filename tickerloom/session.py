@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -76,6 +78,20 @@ def stored(df: DataFrame, measured: bool = False, folder: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_rounded(df: DataFrame, columns: Sequence[str], folder: str | None = None) -> DataFrame:
+    """The rows as a table, ``columns`` rounded to six digits. They are written as whole millionths, a third of the bytes of doubles, and read as the same doubles:
+    a whole number below 2 ** 51 divided by a million is the double next to the decimal. What lies beyond, or is NaN or infinite, is written beside as it is."""
+    folder = folder or new_folder(df.sparkSession, "table")
+    rest, told = [c for c in df.columns if c not in columns], df.select(*[c for c in df.columns if c not in columns], *[F.round(F.col(c).cast("double"), 6).alias(c) for c in columns])
+    small = {c: F.abs(c) < F.lit(1e9) for c in columns}
+    told = told.select(*rest, *[F.when(small[c], F.rint(F.col(c) * F.lit(1e6)).cast("long")).alias(f"m{i}") for i, c in enumerate(columns)],
+                       *[F.when(~small[c], F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)])
+    told.write.options(**{"parquet.enable.dictionary": "false", "compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}).parquet(folder)
+    at = {c: i for i, c in enumerate(columns)}
+    read = df.sparkSession.read.schema(told.schema).parquet(folder)
+    return read.select(*[F.coalesce(F.col(f"m{at[c]}").cast("double") / F.lit(1e6), F.col(f"d{at[c]}")).alias(c) if c in at else F.col(c) for c in df.columns])
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a table of ``stored`` that nothing will read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
